@@ -12,6 +12,7 @@ from tessera.llm.html_text import extract_text
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.mixing import mix
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.oracles import SQL
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.sharding import shard
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
@@ -95,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
