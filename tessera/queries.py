@@ -11,11 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.functions import charset, codec_math, matching, pixels, rle, values
-from tessera.operators import dictionary, frames, negotiation, query_retrieve
+from tessera.functions import charset, codec_math, matching, pdu, pixels, png, rle, values
+from tessera.operators import dictionary, frames, images, negotiation, query_retrieve
 from tessera.operators.query_retrieve import Hierarchy
 from tessera.plans import dims
-from tessera.sources import dicom_json, part10
+from tessera.sources import dicom_json, files, part10
 from tessera.streaming import messages as stream_messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -633,3 +633,86 @@ def store_stream(spark, sf_dir):
     stream = stream_messages.message_stream(spark, sf_dir, schema, "events.parquet")
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
     return stream_messages.run_available(stream, folder, lambda b: stream_messages.answered(b, providers, "event_type").select("event_id", "status"))
+
+
+# ---- protocol units, images, file names ----
+
+
+@query("SELECT doc_id, CAST(greatest(1, ceil(length(text) / 1012.0)) AS INT) AS n_pdvs, md5(text) AS digest, true AS framed FROM documents")
+def p_data_roundtrip(spark, sf_dir):
+    """Each text as one P-DATA-TF of several PDVs, decoded again and joined."""
+    text = F.col("text")
+    n = F.greatest(F.lit(1), F.ceil(F.length(text) / 1012)).cast("int")
+    control = lambda k: F.when(k == n - 1, pdu.LAST).otherwise(0)
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.lit(3).alias("context"), control(k).alias("control"), F.substring(text, k * 1012 + 1, F.lit(1012)).cast("binary").alias("data")))
+    own = table(spark, sf_dir, "documents").select("doc_id", pdu.p_data(parts).alias("unit"))
+    own = own.withColumn("pdvs", pdu.pdvs(pdu.body(F.col("unit"))))
+    last = F.transform("pdvs", lambda p: pdu.is_last(p["control"]))
+    framed = (pdu.kind(F.col("unit")) == pdu.P_DATA_TF) & (F.array_position(last, True) == F.size("pdvs")) & F.forall("pdvs", lambda p: p["context"] == 3)
+    return own.select("doc_id", F.size("pdvs").alias("n_pdvs"), F.md5(pdu.join_bytes(F.transform("pdvs", lambda p: p["data"]))).alias("digest"), framed.alias("framed"))
+
+
+@query("""
+SELECT s_suppkey, upper(substr(s_name, 1, 16)) AS called, 'TESSERA' AS calling, 2 * (s_nationkey % 3) + 1 AS id, '1.2.' || s_nationkey AS abstract, '1.2.840.10008.1.2,1.2.840.10008.1.2.1' AS transfer FROM supplier
+""")
+def associate_roundtrip(spark, sf_dir):
+    """An association request of each supplier, encoded and decoded."""
+    own = table(spark, sf_dir, "supplier")
+    context = F.struct((2 * (F.col("s_nationkey") % 3) + 1).alias("id"), F.concat(F.lit("1.2."), F.col("s_nationkey").cast("string")).alias("abstract"), F.array(F.lit(negotiation.IMPLICIT_LE), F.lit(negotiation.EXPLICIT_LE)).alias("transfer"))
+    unit = pdu.associate_rq(F.upper("s_name"), F.lit("TESSERA"), F.array(context), F.lit(65536))
+    own = own.select("s_suppkey", pdu.body(unit).alias("body"))
+    called, calling = pdu.associate_titles(F.col("body"))
+    offered = F.filter(pdu.associate_items(F.col("body")), lambda i: i["type"] == pdu.CONTEXT_RQ)
+    own = own.select("s_suppkey", called.alias("called"), calling.alias("calling"), F.explode(offered).alias("i"))
+    number, abstract, transfer = pdu.context_rq(F.col("i.data"))
+    return own.select("s_suppkey", "called", "calling", number.alias("id"), abstract.alias("abstract"), F.array_join(transfer, ",").alias("transfer"))
+
+
+@query("SELECT event_id, 32 AS group_length, 48 AS code, CAST(event_id % 65536 AS BIGINT) AS message FROM events")
+def command_roundtrip(spark, sf_dir):
+    """Echo commands as command sets, parsed as implicit little-endian data sets."""
+    message = F.col("event_id") % 65536
+    data = pdu.command_set([pdu.command_element(0x00000100, pdu.little_endian(F.lit(0x0030), 2)), pdu.command_element(0x00000110, pdu.little_endian(message, 2)), pdu.command_element(0x00000800, pdu.little_endian(F.lit(0x0101), 2))])
+    own = table(spark, sf_dir, "events").select("event_id", data.alias("set"))
+    le = lambda at, n: F.conv(F.concat(*[F.hex(F.substring("set", at + k + 1, 1)) for k in reversed(range(n))]), 16, 10)
+    return own.select("event_id", (le(8, 4).cast("int") + 2).alias("group_length"), le(20, 2).cast("int").alias("code"), le(30, 2).cast("long").alias("message"))
+
+
+@query("SELECT vec_id, 8 AS height, 8 AS width, true AS same FROM embeddings")
+def png_roundtrip(spark, sf_dir):
+    """Rendered frames as PNG files, read back."""
+    byte = lambda x: F.lpad(F.hex(x % 256), 2, "0")
+    own = frames_of(spark, sf_dir).select("vec_id", F.unhex(F.array_join(F.transform("px", byte), "")).alias("frame"))
+    own = own.withColumn("back", png.png_decode(png.png_encode(F.col("frame"), 8, 8)))
+    return own.select("vec_id", F.col("back.rows").alias("height"), F.col("back.cols").alias("width"), (F.col("frame") == F.col("back.pixels")).alias("same"))
+
+
+@query(_FRAMES + "SELECT vec_id, 0 AS frame, CAST(i AS INT) AS i, p[CAST(i AS INT) + 1] AS p FROM f, LATERAL (SELECT unnest(range(0, 64)) AS i) UNION ALL SELECT vec_id, 1, CAST(i AS INT), p[CAST(64 - i AS INT)] FROM f, LATERAL (SELECT unnest(range(0, 64)) AS i)")
+def image_frames(spark, sf_dir):
+    """Files of two frames of 16-bit samples, written, parsed, projected to the image module and cut into frames."""
+    own = frames_of(spark, sf_dir)
+    both = F.concat("px", F.reverse("px"))
+    low_first = lambda x: F.concat(F.lpad(F.hex(x % 256), 2, "0"), F.lpad(F.hex(F.floor(x / 256)), 2, "0"))
+    none = F.lit(None)
+
+    def row(tag: int, vr: str, s=none, i=none, b=none):
+        return F.struct(F.lit(tag).cast("long").alias("tag"), F.lit(vr).alias("vr"), s.cast("array<string>").alias("s"), i.cast("array<decimal(20,0)>").alias("i"), none.cast("array<double>").alias("f"), b.cast("binary").alias("b"))
+
+    us = lambda v: F.array(F.lit(v))
+    rows = F.array(
+        row(0x00280008, "IS", s=F.array(F.lit("2"))), row(0x00280010, "US", i=us(8)), row(0x00280011, "US", i=us(8)), row(0x00280100, "US", i=us(16)), row(0x00280101, "US", i=us(12)),
+        row(0x7FE00010, "OW", b=F.unhex(F.array_join(F.transform(both, low_first), ""))),
+    )
+    flat = own.select(F.col("vec_id").cast("string").alias("file"), F.explode(rows).alias("e"))
+    elements = flat.select("file", F.lpad(F.hex("e.tag"), 8, "0").alias("path"), F.lit(0).alias("depth"), "e.*", F.lit(None).cast("string").alias("error"))
+    read = images.image_module(part10.parse_elements(part10.write_content(elements), "file", "content"))
+    out = images.frame_bytes(read).select(F.col("file").cast("long").alias("vec_id"), "frame", images.stored_values(F.col("pixels"), F.col("bits_allocated"), F.col("signed")).alias("v"))
+    return out.select("vec_id", "frame", F.posexplode("v").alias("i", "p"))
+
+
+@query("""
+SELECT p_partkey, regexp_replace(p_brand, '[^0-9A-Za-z.]', '_', 'g') || CASE WHEN k > 1 THEN '-' || CAST(k - 1 AS VARCHAR) ELSE '' END || '.dcm' AS name
+FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(p_brand, '[^0-9A-Za-z.]', '_', 'g') ORDER BY p_partkey) AS k FROM part)
+""")
+def store_file_names(spark, sf_dir):
+    return files.file_names(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey").select("p_partkey", "name")
