@@ -631,8 +631,7 @@ def store_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     providers = spark.createDataFrame([("click", 0), ("view", 0xFF00)], "event_type string, status int")
     stream = stream_messages.message_stream(spark, sf_dir, schema, "events.parquet")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return stream_messages.run_available(stream, folder, lambda b: stream_messages.answered(b, providers, "event_type").select("event_id", "status"))
+    return stream_messages.run_available(stream, _folder(spark), lambda b: stream_messages.answered(b, providers, "event_type").select("event_id", "status"))
 
 
 # ---- protocol units, images, file names ----
@@ -716,3 +715,57 @@ FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(p_brand, '[^0-9A-
 """)
 def store_file_names(spark, sf_dir):
     return files.file_names(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey").select("p_partkey", "name")
+
+
+@query("""
+WITH m AS (SELECT *, CAST(coalesce(count(*) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS message FROM conversations)
+SELECT conv_id AS association, message, CAST(count(*) AS BIGINT) AS parts, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM m GROUP BY 1, 2 HAVING bool_or(role = 'assistant')
+""")
+def assemble_stream(spark, sf_dir):
+    """Turns as a stream of fragments with one state for each conversation; a turn of the assistant ends a message."""
+    schema = table(spark, sf_dir, "conversations").schema
+    stream = stream_messages.message_stream(spark, sf_dir, schema, "conversations.parquet").withColumn("last", F.col("role") == "assistant")
+    out = stream_messages.run_available(stream_messages.assembled(stream, "conv_id", "turn", "text", "last"), _folder(spark))
+    return out.select("association", "message", "parts", F.md5("data").alias("digest"))
+
+
+def _folder(spark) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def message_windows(spark, sf_dir):
+    return stream_messages.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
+
+
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS file, md5('(0008,0016) UI [1.2.840.10008.5.1.4.1.1.7] # 25, 1' || chr(10) || '(0008,0018) UI [1.2.3.' || c_custkey || '] # ' || length('1.2.3.' || c_custkey) || ', 1' || chr(10)
+ || '(0010,0010) PN [' || c_name || '] # ' || length(c_name) || ', 1' || chr(10) || '(0010,0020) LO [' || c_custkey || '] # ' || length(CAST(c_custkey AS VARCHAR)) || ', 1' || chr(10) || '(0028,0010) US [' || c_nationkey || '] # ' || length(CAST(c_nationkey AS VARCHAR)) || ', 1') AS dump FROM customer
+""")
+def dataset_dump(spark, sf_dir):
+    """The text dump of each object: a line for each element, in the order of their paths."""
+    own = patient_elements(spark, sf_dir).where("vr != 'FD'")
+    shown = F.array_join(F.coalesce(F.col("s"), F.transform("i", lambda v: v.cast("string"))), "\\")
+    line = values.dump_line(F.col("tag"), F.col("vr"), shown, F.size(F.coalesce(F.col("s"), F.transform("i", lambda v: v.cast("string")))))
+    lines = own.select("file", F.struct("path", line.alias("line")).alias("l")).groupBy("file").agg(F.array_sort(F.collect_list("l")).alias("l"))
+    return lines.select("file", F.md5(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("dump"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN k = 0 THEN 'Implicit VR Little Endian' WHEN k = 1 THEN 'Explicit VR Little Endian' WHEN k = 5 THEN 'RLE Lossless' ELSE NULL END AS name, k <> 0 AS explicit_vr, k = 5 AS encapsulated
+FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 5 ELSE 9 END AS k FROM part)
+""")
+def transfer_syntax_lookup(spark, sf_dir):
+    """Properties of a transfer syntax; an unknown one counts as explicit little endian."""
+    k = F.col("p_partkey") % 4
+    uid = F.when(k == 0, "1.2.840.10008.1.2").when(k == 1, "1.2.840.10008.1.2.1").when(k == 2, "1.2.840.10008.1.2.5").otherwise("1.2.3.4")
+    own = table(spark, sf_dir, "part").select("p_partkey", uid.alias("uid")).join(F.broadcast(dims.dim_transfer_syntax(spark)), "uid", "left")
+    return own.select("p_partkey", "name", F.coalesce("explicit_vr", F.lit(True)).alias("explicit_vr"), F.coalesce("encapsulated", F.lit(False)).alias("encapsulated"))
+
+
+@query(_SAMPLES + "SELECT label, CAST(count(*) AS BIGINT) AS n, min(p) AS low, max(p) AS high, CAST(sum(p) AS BIGINT) AS total FROM s GROUP BY 1")
+def pixel_minmax(spark, sf_dir):
+    """Least and greatest stored value of an image, from those of its frames."""
+    own = frames_of(spark, sf_dir)
+    total = F.aggregate("px", F.lit(0).cast("long"), lambda a, x: a + x)
+    return own.groupBy("label").agg(F.sum(F.size("px").cast("long")).alias("n"), F.min(F.array_min("px")).alias("low"), F.max(F.array_max("px")).alias("high"), F.sum(total).alias("total"))

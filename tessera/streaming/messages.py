@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.plans.dims import STATUS
 
@@ -38,3 +40,27 @@ def run_available(stream: DataFrame, folder: str, transform: Callable[[DataFrame
 def windowed_counts(messages: DataFrame, ts: str, service: str, late: str = "1 day", width: str = "6 hours") -> DataFrame:
     """Messages by window and service, with a watermark for late ones."""
     return messages.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), service).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), service, "n")
+
+
+def assembled(pdvs: DataFrame, association: str, order: str, data: str, is_last: str) -> DataFrame:
+    """(association, message, parts, data): whole messages of a stream of PDVs, numbered from 0 in each association.
+
+    What an association has sent of a message that hasn't ended is its state, so a message may span micro-batches. PDVs of an
+    association arrive in order from batch to batch; within one they are ordered by `order`. State is dropped when a message ends.
+    """
+    own = pdvs.select(F.col(association).alias("association"), F.col(order).alias("seq"), F.col(data).cast("string").alias("data"), F.col(is_last).alias("is_last"))
+    kind = own.schema["association"].dataType.simpleString()
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        number, parts, held = state.get if state.exists else (0, 0, "")
+        rows = sorted((t for f in frames for t in zip(f["seq"], f["data"], f["is_last"], strict=True)), key=lambda r: r[0])
+        out = []
+        for _, piece, last in rows:
+            held, parts = held + (piece or ""), parts + 1
+            if last:
+                out.append((key[0], number, parts, held))
+                number, parts, held = number + 1, 0, ""
+        state.update((number, parts, held))
+        yield pd.DataFrame(out, columns=["association", "message", "parts", "data"])
+
+    return own.groupBy("association").applyInPandasWithState(step, f"association {kind}, message long, parts long, data string", "message long, parts long, data string", "append", GroupStateTimeout.NoTimeout)

@@ -110,3 +110,13 @@ def test_stream_is_stored_once(spark, tmp_path):
     assert sorted((r.service, r.status) for r in out.collect()) == [("echo", 0), ("find", 0x0211)]
     counts = messages.windowed_counts(spark.createDataFrame([("2024-01-01 01:00:00", "a"), ("2024-01-01 02:00:00", "a")], "ts string, s string").withColumn("ts", F.to_timestamp("ts")), "ts", "s")
     assert [r.n for r in counts.collect()] == [2]
+
+
+def test_messages_span_batches(spark, tmp_path):
+    """Half a message in the first file, the rest in the second; each file is a micro-batch of its own."""
+    source, schema = str(tmp_path / "pdvs"), "a long, seq long, d string, last boolean"
+    for rows in ([(1, 0, "x", False), (2, 0, "p", True)], [(1, 2, "z", True), (1, 1, "y", False), (2, 1, "q", False)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(source)
+    out = messages.run_available(messages.assembled(stream, "a", "seq", "d", "last"), str(tmp_path))
+    assert sorted((r.association, r.message, r.parts, r.data) for r in out.collect()) == [(1, 0, 3, "xyz"), (2, 0, 1, "p")]
