@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often it is named in lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def med_predictor(a: Column, b: Column, c: Column) -> Column:
     """JPEG-LS median edge detector: a left, b above, c above left."""
     low, high = F.least(a, b), F.greatest(a, b)
@@ -80,7 +85,31 @@ def wavelet_53(samples: Column, n: int) -> Column:
     high = lambda k: x(2 * k + 1) - F.floor((x(2 * k) + x(2 * k + 2)) / 2).cast("int")
     n_low, n_high = (n + 1) // 2, n // 2
     highs = F.transform(F.sequence(F.lit(0), F.lit(n_high - 1)), high)
-    # high coefficients beyond the edges mirror as their samples do: -1 -> 0, n_high -> n_high - 1
-    d = lambda k: F.get(highs, F.greatest(F.lit(0), F.least(F.lit(n_high - 1), k)).cast("int"))
-    lows = F.transform(F.sequence(F.lit(0), F.lit(n_low - 1)), lambda k: x(2 * k) + F.floor((d(k - 1) + d(k) + 2) / 4).cast("int"))
-    return F.concat(lows, highs)
+
+    def both(highs: Column) -> Column:
+        # high coefficients beyond the edges mirror as their samples do: -1 -> 0, n_high -> n_high - 1
+        d = lambda k: F.get(highs, F.greatest(F.lit(0), F.least(F.lit(n_high - 1), k)).cast("int"))
+        lows = F.transform(F.sequence(F.lit(0), F.lit(n_low - 1)), lambda k: x(2 * k) + F.floor((d(k - 1) + d(k) + 2) / 4).cast("int"))
+        return F.concat(lows, highs)
+
+    return let(highs, both)
+
+
+def wavelet_53_inverse(coefficients: Column, n: int) -> Column:
+    """The samples of one level of `wavelet_53`."""
+    return coefficients if n == 1 else let(coefficients, lambda c: _samples_of(c, n))
+
+
+def _samples_of(coefficients: Column, n: int) -> Column:
+    n_low, n_high = (n + 1) // 2, n // 2
+    d = lambda k: F.get(coefficients, (n_low + F.greatest(F.lit(0), F.least(F.lit(n_high - 1), k))).cast("int"))
+    even = lambda k: F.get(coefficients, k.cast("int")) - F.floor((d(k - 1) + d(k) + 2) / 4).cast("int")
+    evens = F.transform(F.sequence(F.lit(0), F.lit(n_low - 1)), even)
+
+    def sample(pair: Column, i: Column) -> Column:
+        k = F.floor(i / 2).cast("int")
+        x = lambda j: F.get(pair, F.least(j, F.lit(n_low - 1)).cast("int"))
+        odd = d(k) + F.floor((x(k) + F.when(2 * k + 2 > n - 1, x(k)).otherwise(x(k + 1))) / 2).cast("int")
+        return F.when(i % 2 == 0, x(k)).otherwise(odd)
+
+    return let(evens, lambda e: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: sample(e, i)))

@@ -769,3 +769,16 @@ def pixel_minmax(spark, sf_dir):
     own = frames_of(spark, sf_dir)
     total = F.aggregate("px", F.lit(0).cast("long"), lambda a, x: a + x)
     return own.groupBy("label").agg(F.sum(F.size("px").cast("long")).alias("n"), F.min(F.array_min("px")).alias("low"), F.max(F.array_max("px")).alias("high"), F.sum(total).alias("total"))
+
+
+@query(_FRAMES + "SELECT vec_id, CAST(i AS INT) AS i, p[CAST(i AS INT) + 1] AS p FROM f, LATERAL (SELECT unnest(range(0, 8)) AS i)")
+def wavelet_roundtrip(spark, sf_dir):
+    """The first row of each frame through the 5/3 transform and back."""
+    return _exploded(spark, sf_dir, lambda px: codec_math.wavelet_53_inverse(codec_math.wavelet_53(F.slice(px, 1, 8), 8), 8))
+
+
+@query(_NEIGHBOURS + "SELECT vec_id, CAST(k AS INT) AS k, CAST(round(0.299::DOUBLE * a + 0.587::DOUBLE * b + 0.114::DOUBLE * c) AS INT) AS y, CAST(round(-0.16875::DOUBLE * a - 0.33126::DOUBLE * b + 0.5::DOUBLE * c) AS INT) AS cb, CAST(round(0.5::DOUBLE * a - 0.41869::DOUBLE * b - 0.08131::DOUBLE * c) AS INT) AS cr FROM n")
+def ict_forward(spark, sf_dir):
+    y, cb, cr = codec_math.irreversible_colour(F.col("a"), F.col("b"), F.col("c"))
+    whole = lambda c: F.round(c).cast("int")
+    return _neighbours(spark, sf_dir).select("vec_id", "k", whole(y).alias("y"), whole(cb).alias("cb"), whole(cr).alias("cr"))
