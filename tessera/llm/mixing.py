@@ -81,8 +81,8 @@ def mix(
     Equal ids and repeated rows are each mixed; without documents or words nothing is taken.
 
     The order within a source is that of md5(seed, id); a source is cut into buckets of that order of about `rows_per_bucket`
-    rows, summed first, so that no task holds a whole source. The tables of sources and blocks have a size that the
-    parameters bound (blocks_per_source + 1 rows a source).
+    rows, summed first, so that no task holds a whole source. How much is chosen before a word follows from its block's shard by
+    arithmetic, so the tables that are joined have a row for each source, or `shards_per_source` rows.
     """
     sized = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"),
@@ -108,16 +108,14 @@ def mix(
     shards = shards.withColumn("first", bound(F.col("shard"))).withColumn("n", bound(F.col("shard") + 1) - F.col("first"))
     shards = sainte_lague(shards, ["source"], ["shard"], "n", "rest").withColumn("quota", F.least("quota", "n"))
     start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce("source", F.lit("")), F.col("shard"))), 1, 15), 16, 10).cast("long")
-    shards = shards.withColumn("start", F.pmod(start, F.col("n")))
-    blocks = shards.select("source", "first", "n", "quota", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    chosen = (F.pmod(F.col("i") - F.col("start"), F.col("n")) < F.col("quota")).cast("long")
-    blocks = blocks.select("source", (F.col("first") + F.col("i")).alias("block"), chosen.alias("chosen"))
-    upto = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("chosen").over(upto), F.lit(0)) * block)
+    # the chosen blocks of a shard are a run that goes round: [start, start + quota), where it passes the end also from 0
+    earlier = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = shards.withColumn("start", F.pmod(start, F.col("n"))).withColumn("before", F.coalesce(F.sum("quota").over(earlier), F.lit(0)))
+    shards = checkpoint(shards.select("source", "shard", "first", "n", "quota", "start", "before"))
 
     # where each document stands in the stream of its source
     buckets = F.greatest(F.lit(1), F.ceil(F.col("rows") / rows_per_bucket)).cast("long")
-    placed = sized.alias("d").join(F.broadcast(quotas.select(F.col("source").alias("s"), "source_size", "target", "passes", buckets.alias("buckets"))), F.col("d.source").eqNullSafe(F.col("s"))).drop("s")
+    placed = sized.alias("d").join(F.broadcast(quotas.select(F.col("source").alias("s"), "source_size", "target", "passes", "rest", "blocks", buckets.alias("buckets"))), F.col("d.source").eqNullSafe(F.col("s"))).drop("s")
     placed = placed.withColumn("bucket", F.floor(F.shiftright("h", 36) * F.col("buckets") / F.lit(1 << 24)))
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("offset", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -125,22 +123,28 @@ def mix(
     placed = placed.withColumn("begin", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.alias("a").join(sums.select("source", "bucket", "offset").alias("b"), _same("a", "b", ["source"]) + [F.col("a.bucket") == F.col("b.bucket")])
     placed = placed.select("a.*", (F.col("a.begin") + F.col("b.offset")).alias("at"))
-    small = (n_sources * (blocks_per_source + 1)) <= 1 << 18
-    table = F.broadcast(blocks) if small else blocks
+    small = n_sources * shards_per_source <= 1 << 16
+    table = F.broadcast(shards) if small else shards
     for name, edge in (("low", F.col("at")), ("high", F.col("at") + F.col("size"))):
-        placed = placed.withColumn(f"{name}_block", F.floor(edge / block).cast("long"))
-        own = table.select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("chosen").alias("c"), F.col("before").alias("o"))
-        placed = placed.join(own, F.col("source").eqNullSafe(F.col("s")) & (F.col(f"{name}_block") == F.col("b")), "left")
-        # an edge at the very end of the stream lies in no block: nothing is chosen beyond it
-        placed = placed.withColumn(name, F.col("o") + F.col("c") * (edge - F.col(f"{name}_block") * block)).drop("s", "b", "c", "o")
-    all_chosen = F.broadcast(blocks.groupBy("source").agg((F.sum("chosen") * block).alias("all"))).alias("e")
-    placed = placed.alias("a").join(all_chosen, _same("a", "e", ["source"])).select("a.*", "all")
-    taken = F.col("size") * F.col("passes") + F.when(F.col("size") > 0, F.coalesce("high", "all") - F.col("low")).otherwise(0)
+        # the words chosen of a stream before one of its words, from the shard that the word lies in
+        placed = placed.withColumn("b", F.floor(edge / block).cast("long"))
+        placed = placed.withColumn("k", F.floor(((F.col("b") + 1) * F.least("blocks", F.lit(shards_per_source)) - 1) / F.col("blocks")).cast("long")).alias("p")
+        placed = placed.join(table.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.k") == F.col("t.shard")), "left")
+        i, end, none = F.col("p.b") - F.col("t.first"), F.col("t.start") + F.col("t.quota"), F.lit(0)
+        ahead = F.greatest(none, F.least(i, end, F.col("t.n")) - F.col("t.start")) + F.least(i, F.greatest(none, end - F.col("t.n")))
+        chosen = (F.pmod(i - F.col("t.start"), F.col("t.n")) < F.col("t.quota")).cast("long")
+        words = (F.col("t.before") + ahead) * block + chosen * (edge - F.col("p.b") * block)
+        # a stream may end where a block ends: that edge lies in no block, and all that is chosen is before it
+        placed = placed.select("p.*", F.when(F.col("t.shard").isNull(), F.col("p.rest") * block).otherwise(words).alias(name)).drop("b", "k")
+    taken = F.col("size") * F.col("passes") + F.col("high") - F.col("low")
     return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents as the mix takes them: each whole text as often as it is taken whole, and the first words of the rest."""
+    """The documents as the mix takes them: each whole text as often as it is taken whole, and the first words of the rest.
+
+    Rows of equal id are taken alike, as one of them was mixed; rows of which nothing is taken are left out.
+    """
     rest, copies = F.col("__taken") % F.col("__size"), F.floor(F.col("__taken") / F.col("__size")).cast("int")
     ways = F.concat(F.array_repeat(F.lit(-1).cast("long"), copies), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     own = mixed.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("taken").alias("__taken"), F.col("size").alias("__size")).dropDuplicates(["__id"])
