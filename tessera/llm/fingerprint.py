@@ -42,21 +42,28 @@ def shown(leaves: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
-    """Adds `<prefix>fingerprint`, "root:sections" with the leaves of every section, and `<prefix>leaves`, its distinct leaves.
+    """Adds `<prefix>fingerprint`, "root:sections" with the leaves of every section.
 
-    Null counts as the empty text, which has one empty paragraph. Columns with these names are replaced.
+    Null counts as the empty text, which has one empty paragraph. A column of that name is replaced.
     """
     full, cut = f"__{prefix}full", f"__{prefix}cut"
     df = df.withColumn(full, tree(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
     df = df.withColumn(cut, shown(full))
     print_ = F.concat(root(F.col(full)), F.lit(":"), _sections(F.col(cut)))
-    return df.withColumns({f"{prefix}fingerprint": print_, f"{prefix}leaves": F.array_distinct(F.flatten(cut))}).drop(full, cut)
+    return df.withColumn(f"{prefix}fingerprint", print_).drop(full, cut)
 
 
-def likeness(a: Column, b: Column, roots_agree: Column) -> Column:
-    """Twice the common distinct leaves over the leaves of both; 1 where the roots agree."""
-    n = F.size(a) + F.size(b)
-    return F.when(roots_agree, 1.0).when(n == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / n)
+def leaves(fingerprint: Column) -> Column:
+    """The distinct leaves that a fingerprint shows."""
+    return F.array_distinct(F.regexp_extract_all(F.substring_index(fingerprint, ":", -1), F.lit(f"[0-9a-f]{{{LEAF}}}"), 0))
+
+
+def likeness(a: str, b: str) -> Column:
+    """Of two columns of fingerprints: twice the common leaves over the leaves of both, from `leaves`; 1 where the roots agree."""
+    own, other = F.col(f"{a}_leaves"), F.col(f"{b}_leaves")
+    n = F.size(own) + F.size(other)
+    agree = F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1)
+    return F.when(agree, 1.0).when(n == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(own, other)) / n)
 
 
 def _bucket_table(spark, bounds: list[int], low: int, high: int) -> tuple[DataFrame, Column]:
@@ -69,7 +76,7 @@ def _bucket_table(spark, bounds: list[int], low: int, high: int) -> tuple[DataFr
     return spark.createDataFrame(rows, "cell long, below int, bounds array<bigint>"), F.expr(f"cast((cast(key AS decimal(20, 0)) - {low}) div {width} AS bigint)")
 
 
-def with_next(docs: DataFrame, columns: list[str], *, id_col: str, text_col: str, bucket_bytes: int = 16 << 20, most_buckets: int = 1 << 16) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], *, id_col: str, text_col: str, bucket_bytes: int = 4 << 20, most_buckets: int = 1 << 16) -> DataFrame:
     """`docs` with next_<column> of the document that follows by ascending id; the first follows the last.
 
     Null ids come first; equal ids are ordered by a hash of the text. The rows are dealt once, to buckets of the order that hold
@@ -116,14 +123,13 @@ def compare_with_edit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     document's. near_edited and near_next are likenesses of fingerprints, from 0 to 1.
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    own = with_next(with_fingerprint(slim, "text"), ["text", "fingerprint", "leaves"], id_col="doc_id", text_col="text", **how)
+    own = with_next(with_fingerprint(slim, "text"), ["text", "fingerprint"], id_col="doc_id", text_col="text", **how)
     own = own.withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     own = with_fingerprint(own.withColumn("edited", edited), "edited", "edited_")
-    head = lambda c: F.substring_index(c, ":", 1)
+    own = own.withColumns({f"{c}_leaves": leaves(F.col(c)) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint")})
     return own.select(
         "doc_id", "n_chars", "text", "edited", "fingerprint", "edited_fingerprint",
-        likeness(F.col("leaves"), F.col("edited_leaves"), head("fingerprint") == head("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("leaves"), F.col("next_leaves"), head("fingerprint") == head("next_fingerprint")).alias("near_next"),
+        likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"),
     )
