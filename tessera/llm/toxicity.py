@@ -34,7 +34,7 @@ class FactorizationMachine:
     buckets: int
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, buckets: int, factors: int = 8, steps: int = 150, rate: float = 0.08, l2: float = 2e-4, seed: int = 7) -> FactorizationMachine:
+    def fit(cls, rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, buckets: int, factors: int = 8, steps: int = 600, rate: float = 0.08, l2: float = 1e-6, l2_factors: float = 3e-3, seed: int = 7) -> FactorizationMachine:
         """Full-batch Adam on the logistic loss. rows: positions in `terms`."""
         d, n = len(terms), len(y)
         counts = np.array([len(r) for r in rows], dtype=np.int64)
@@ -57,7 +57,7 @@ class FactorizationMachine:
             z = w0 + by_row(w[flat]) + 0.5 * ((sums**2).sum(axis=1) - squares)
             error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / max(n, 1)
             e = error[owner]
-            grads = [np.array([error.sum()]), by_term(e) + l2 * w, np.stack([by_term(e * (sums[owner, f] - v[flat, f])) for f in range(factors)], axis=1) + l2 * v]
+            grads = [np.array([error.sum()]), by_term(e) + l2 * w, np.stack([by_term(e * (sums[owner, f] - v[flat, f])) for f in range(factors)], axis=1) + l2_factors * v]
             for k, g in enumerate(grads):
                 m, s = state[k]
                 m += 0.1 * (g - m)
@@ -89,7 +89,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, id_co
     """(text, label) of at most `max_rows` labelled documents, those first by a hash of the id.
 
     The chosen label rows are broadcast: their number is bounded by `max_rows`. Null ids and labels are left out; of
-    several labels of a document the largest counts.
+    several labels of a document the largest counts, of several texts the first by code point.
     """
     chosen = (
         labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("label"))
@@ -98,7 +98,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, id_co
         .orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     )
     texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "__id").limit(max_rows)
+    return texts.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def fit_toxicity(
