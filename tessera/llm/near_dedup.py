@@ -26,7 +26,7 @@ from tessera.llm import minhash
 from tessera.llm.common import checkpoint, map_texts
 from tessera.llm.components import connected_components
 
-#: Signatures of sets with similarity 0.85 agree in fewer than 38 of 64 minima once in some hundred thousand pairs.
+#: Signatures of sets with similarity 0.85 agree in fewer than 38 of 64 minima once in six million pairs.
 LEAST_AGREEING = 38 / minhash.HASHES
 #: Distances to the pivot are cut into ranges of this width.
 RANGE = 0.05
@@ -82,7 +82,8 @@ def group_links(members: DataFrame, kind: str, least: float, *, metric: bool, bl
     members: grp, id, support, bytes, payload, checkpointed. metric: 1 - likeness obeys the triangle inequality.
     """
     best = F.max_by(F.struct("id", "payload"), F.struct(F.col("support"), -F.col("id")))
-    pivots = members.groupBy("grp").agg(best.alias("p")).select("grp", F.col("p.id").alias("pivot"), F.col("p.payload").alias("pivot_payload"))
+    # written, so that the join below reads it by an exchange of its own and Spark can split a large group there
+    pivots = checkpoint(members.groupBy("grp").agg(best.alias("p")).select("grp", F.col("p.id").alias("pivot"), F.col("p.payload").alias("pivot_payload")))
     joined = members.join(pivots, "grp").where(F.col("id") != F.col("pivot"))
     compared = checkpoint(_with_pivot(joined, kind))
     star = compared.where(F.col("like") >= least).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
@@ -131,7 +132,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Two documents are linked if the Jaccard similarity of their sets of 5-word shingles is `threshold` or more;
     component_id is the smallest id that links reach, kept says that it is the document's own. Texts without words are
     linked with nothing; a text of fewer than five words is one shingle. A row with a null id has no component and is kept. Rows of
-    equal id and text are one document.
+    equal id are one node: what links one of them links all.
     """
     own = checkpoint(shingle_table(docs, id_col=id_col, text_col=text_col))
     classes = own.where("id IS NOT NULL AND set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.max("n_shingles").alias("n"))
@@ -154,7 +155,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         yield pa.array([minhash.shingle_hashes(t).tobytes() for t in batch], pa.binary())
 
     full = map_texts(texts, "text", ["grp", "id", "support"], [T.StructField("payload", T.BinaryType())], sets)
-    # a repeated id with other texts: the set that its class stands for is the one with the smallest id, any of equal ids will do
     full = checkpoint(full.where(F.octet_length("payload") > 0).select("grp", "id", "support", F.octet_length("payload").cast("long").alias("bytes"), "payload"))
     groups = connected_components(group_links(full, "set", threshold - 1e-12, metric=True))
     by_set = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
