@@ -32,11 +32,17 @@ HIDDEN = frozenset("script style noscript template head title iframe object svg
 FURNITURE = frozenset("nav header footer aside form menu dialog search".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 FURNITURE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist cookie cookies "
+    "ad ads advert adverts advertisement advertising adbox adslot alert banner breadcrumb breadcrumbs comment comments commentlist cookie cookies "
     "consent disqus disclaimer footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination "
     "popup promo promoted promotion related replies reply respond share sharing sidebar sidebars social sponsor sponsored subscribe "
     "toolbar widget".split()
 )
+#: Of these, those that tell an article element of a reader's comment from the article itself.
+COMMENT_WORDS = frozenset("comment comments commentlist replies reply respond".split())
+#: Class names that begin so tell what an element has or lacks, not what it is.
+ABOUT = frozenset("has no non with without".split())
+#: Elements that hold a line of their own but are no region of the page.
+SINGLE = frozenset("p li dt dd td th tr h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption summary".split())
 #: Elements that a new one closes when their end tag is left out.
 CLOSED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 _SPACE = re.compile(r"\s+")
@@ -72,9 +78,12 @@ class LineParser(HTMLParser):
             if not value:
                 if key == "hidden":
                     return True
-            elif key in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                if not FURNITURE_WORDS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-                    return True
+            elif key in ("class", "id") and tag not in ("html", "body", "main"):
+                words = COMMENT_WORDS if tag == "article" else FURNITURE_WORDS
+                for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+                    parts = re.split(r"[^a-z]+", name)
+                    if parts[0] not in ABOUT and not words.isdisjoint(parts):
+                        return True
             elif key == "role" and value.strip().lower() in FURNITURE_ROLES or key == "aria-hidden" and value.strip().lower() == "true":
                 return True
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -168,8 +177,10 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
             clusters[-1].append((x, t))
             last = k
     best = max(clusters, key=lambda c: sum(len(t) for _, t in c))
-    shared = best[0][0].path
-    for x, _ in best:
+    # lines that only stand near long ones don't widen the region
+    core = [(x, t) for x, t in best if len(t) / max(1, x.tags) >= threshold] or best
+    shared = core[0][0].path
+    for x, _ in core:
         same = 0
         for a, b in zip(shared, x.path, strict=False):
             if a != b:
@@ -181,7 +192,10 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if named:
         region = named[0]
     else:
-        region = next((k for k in reversed(shared) if parser.kinds[k] in BLOCKS and parser.kinds[k] not in ("p", "li", "td", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre")), 0)
+        # the innermost container of several lines below the body, else the innermost container
+        boxes = [k for k in reversed(shared) if parser.kinds[k] in BLOCKS - SINGLE]
+        held = [k for k in boxes if parser.kinds[k] not in ("html", "body") and sum(k in x.path for x, _ in free) > 1]
+        region = (held or boxes or [0])[0]
     kept = [t for x, t in free if region in x.path or not region]
     return "\n".join(kept)
 

@@ -20,6 +20,9 @@ CASES = [
     (f'<div class="cookie-notice">We use cookies {P} {P}</div><article><ul><li>a</li><li>b</li></ul><table><tr><td>c</td><td>d</td></tr></table><p>{P}</p></article>', f"a\nb\nc\nd\n{P}"),
     (f"<p>{P}</p></div></span><p>two <i>three</i> four</p>", f"{P}\ntwo three four"),
     ("<article>&copy; &#233; &#x1D11E; &nosuch; x&y</article>", html.unescape("&copy; &#233; &#x1D11E; &nosuch; x&y")),
+    (f'<div class="content with-sidebar"><div>{P}</div><div>Hm.</div></div><div class="sidebar">{P}</div>', f"{P}\nHm."),
+    (f'<article class="post"><p>{P}</p></article><article class="comment"><p>{P} {P} {P}</p></article>', P),
+    (f"<body><div>Home</div><div>{P}</div></body>", P),
     ("<article><p>" + "word " * 40_000 + "</p></article>", ("word " * 40_000).strip()),
 ]
 
