@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import xxhash
 
 from tessera.llm.common import space_words
 
 SHINGLE = 5
-HASHES, BAND = 64, 4
+HASHES = 64
+#: Most that banding and the signature check may each miss of the pairs whose similarity is the threshold.
+MISS_BANDS, MISS_CHECK = 7.5e-6, 1.7e-7
 _RNG = np.random.default_rng(20240229)
 #: h_i(x) = (a_i x + b_i) mod 2^64, of which the upper 32 bits count: a universal family.
 _A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -36,6 +40,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bands(threshold: float) -> tuple[int, int]:
+    """(bands, minima of each): the longest bands, and of these the fewest, that miss at most MISS_BANDS at `threshold`."""
+    for length in range(HASHES, 0, -1):
+        for n in range(1, HASHES // length + 1):
+            if (1 - threshold**length) ** n <= MISS_BANDS:
+                return n, length
+    raise ValueError(f"{HASHES} minima cannot find pairs of similarity {threshold}")
+
+
+def least_agreeing(threshold: float) -> int:
+    """The most minima of which pairs at `threshold` agree in fewer with a chance of at most MISS_CHECK."""
+    below = 0.0
+    for n in range(HASHES):
+        below += comb(HASHES, n) * threshold**n * (1 - threshold) ** (HASHES - n)
+        if below > MISS_CHECK:
+            return n
+    return HASHES
+
+
 def shingle_hashes(text: bytes | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the SHINGLE-word shingles of a whole text; of all words as one if there are fewer."""
     own = space_words(text)

@@ -26,8 +26,6 @@ from tessera.llm import minhash
 from tessera.llm.common import checkpoint, map_texts
 from tessera.llm.components import connected_components
 
-#: Signatures of sets with similarity 0.85 agree in fewer than 38 of 64 minima once in six million pairs.
-LEAST_AGREEING = 38 / minhash.HASHES
 #: Distances to the pivot are cut into ranges of this width.
 RANGE = 0.05
 
@@ -132,19 +130,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Two documents are linked if the Jaccard similarity of their sets of 5-word shingles is `threshold` or more;
     component_id is the smallest id that links reach, kept says that it is the document's own. Texts without words are
     linked with nothing; a text of fewer than five words is one shingle. A row with a null id has no component and is kept. Rows of
-    equal id are one node: what links one of them links all.
+    equal id are one node: what links one of them links all. Bands and signature check follow from `threshold`, so that the chance
+    of a miss is the same for all; a threshold too low for the signatures (under about 0.17) or above 1 is an error.
     """
+    if not threshold <= 1:
+        raise ValueError(f"no pair has similarity {threshold}")
+    (n_bands, length), least = minhash.bands(threshold), minhash.least_agreeing(threshold) / minhash.HASHES
     own = checkpoint(shingle_table(docs, id_col=id_col, text_col=text_col))
     classes = own.where("id IS NOT NULL AND set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.max("n_shingles").alias("n"))
     classes = checkpoint(classes)
-    bands = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", 4 * minhash.BAND * b + 1, 4 * minhash.BAND)) for b in range(minhash.HASHES // minhash.BAND)])
+    bands = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", 4 * length * b + 1, 4 * length)) for b in range(n_bands)])
     keyed = classes.select(F.col("rep").alias("id"), F.explode(bands).alias("grp"))
     shared = keyed.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
     inside = checkpoint(keyed.join(shared, "grp"))
     support = inside.groupBy("id").agg(F.sum("n").alias("support"))
     signed = classes.select(F.col("rep").alias("id"), F.col("signature").alias("payload"), F.lit(4 * minhash.HASHES).cast("long").alias("bytes")).join(support, "id")
     members = checkpoint(inside.select("grp", "id").join(signed, "id").select("grp", "id", "support", "bytes", "payload"))
-    clusters = checkpoint(connected_components(group_links(members, "signature", LEAST_AGREEING, metric=False)))
+    clusters = checkpoint(connected_components(group_links(members, "signature", least, metric=False)))
 
     # full sets, made again of the texts of the clusters' members alone
     wanted = clusters.join(support, clusters["node"] == support["id"]).select(F.col("node"), F.col("component").alias("grp"), "support")

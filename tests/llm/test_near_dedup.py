@@ -1,8 +1,10 @@
 import random
 import re
 from itertools import combinations
+from math import comb
 
 import numpy as np
+import pytest
 
 from tessera.llm import minhash
 from tessera.llm.components import connected_components
@@ -118,3 +120,20 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: find(k) for k in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bands_follow_the_threshold(spark):
+    """The chance of a miss is bounded for every threshold, and pairs just above a low one are all found."""
+    assert minhash.bands(0.85) == (16, 4) and minhash.least_agreeing(0.85) == 38
+    for t in [k / 100 for k in range(17, 101)]:
+        n, length = minhash.bands(t)
+        assert n * length <= minhash.HASHES and (1 - t**length) ** n <= minhash.MISS_BANDS
+        assert sum(comb(64, k) * t**k * (1 - t) ** (64 - k) for k in range(minhash.least_agreeing(t))) <= minhash.MISS_CHECK
+    for wrong in (0.1, 1.5):
+        with pytest.raises(ValueError):
+            near_duplicates(spark.createDataFrame([], "doc_id long, text string"), threshold=wrong)
+    docs = {}
+    for k in range(60):
+        docs[2 * k] = " ".join(f"p{k}w{i}" for i in range(104))
+        docs[2 * k + 1] = " ".join(f"p{k}w{i}" if i < 74 else f"q{k}w{i}" for i in range(104))  # 70 of 130 shingles
+    check(spark, docs, threshold=0.5)

@@ -56,3 +56,15 @@ def test_run_and_registration(spark, sf_dir):
     assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
     out = names["pipeline"](spark, "/root/testdata/sf0.001")
     assert {"doc_id", "shard", "slot"} <= set(out.columns) and out.count() > 0
+
+
+def test_near_copies_from_four_fifths_on(spark, sf_dir):
+    """A copy of similarity 0.82 goes; on the given documents what stays is what exact links of 80/100 leave."""
+    base = [f"w{i}" for i in range(104)]
+    edit = [*base[:94], *(f"new{i}" for i in range(10))]  # 90 of 110 shingles
+    own = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(edit)), (3, "something else")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, own, sf_dir).collect()) == [1, 3]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 4 < 2")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()}
+    assert kept == {d for d, (_, c) in brute_groups(texts, 80, 100).items() if c == d}
