@@ -39,8 +39,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix takes them: repeated whole, or their first words where only a part is taken."""
-    return apply_mix(docs, mix(docs)).withColumn("n_chars", F.char_length("text").cast("long"))
+    """The documents as the mix takes them: repeated whole, and the chosen words where only a part is taken."""
+    return apply_mix(docs, mix(docs, ranges=True)).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

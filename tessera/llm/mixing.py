@@ -18,6 +18,12 @@ from tessera.llm.common import checkpoint
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def row_key(id_: Column, text: Column, source: Column) -> Column:
+    """Hash of a row's id, text and source; what is null differs from what is empty."""
+    own = F.coalesce(id_.cast("string"), F.lit(""))
+    return F.md5(F.concat_ws(":", F.coalesce(F.md5(text.cast("string")), F.lit("")), id_.isNull().cast("int"), source.isNull().cast("int"), F.length(own), own, F.coalesce(source.cast("string"), F.lit(""))))
+
+
 def sainte_lague(parties: DataFrame, group: list[str], party: list[str], weight: str, seats: str) -> DataFrame:
     """Adds `quota`: the seats of each row among the rows of its group, which agree on `seats`.
 
@@ -73,6 +79,7 @@ def mix(
     blocks_per_source: int = 4096,
     shards_per_source: int = 16,
     rows_per_bucket: int = 20_000,
+    ranges: bool = False,
 ) -> DataFrame:
     """doc_id, size, source, source_size, target, taken for every document; `taken` counts the words the mix takes of it.
 
@@ -80,6 +87,9 @@ def mix(
     The blocks have ceil(total / (sources * blocks_per_source)) words, so a source misses its target by one block or two.
     Equal ids and repeated rows are each mixed; without documents or words nothing is taken.
 
+    ranges: also `row_key`, a hash of id, text and source, and `ranges`, the chosen words [begin, end) of the document, counted
+    from 0, that are taken once more than the rest: at most 2 for each shard, in order, none touching the next.
+
     The order within a source is that of md5(seed, id); a source is cut into buckets of that order of about `rows_per_bucket`
     rows, summed first, so that no task holds a whole source. How much is chosen before a word follows from its block's shard by
     arithmetic, so the tables that are joined have a row for each source, or `shards_per_source` rows.
@@ -88,6 +98,7 @@ def mix(
         F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(f"`{id_col}`").cast("string"))).alias("h"),
+        *([row_key(*(F.col(f"`{c}`") for c in (id_col, text_col, source_col))).alias("row_key")] if ranges else []),
     )
     sized = checkpoint(sized.withColumn("h", F.conv(F.substring("h", 1, 15), 16, 10).cast("long")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
@@ -137,18 +148,53 @@ def mix(
         # a stream may end where a block ends: that edge lies in no block, and all that is chosen is before it
         placed = placed.select("p.*", F.when(F.col("t.shard").isNull(), F.col("p.rest") * block).otherwise(words).alias(name)).drop("b", "k")
     taken = F.col("size") * F.col("passes") + F.col("high") - F.col("low")
-    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
-
-
-def apply_mix(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents as the mix takes them: each whole text as often as it is taken whole, and the first words of the rest.
-
-    Rows of equal id are taken alike, as one of them was mixed; rows of which nothing is taken are left out.
+    out = ["doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken")]
+    if not ranges:
+        return placed.select(*out)
+    runs = F.broadcast(_runs(shards, block)).alias("r") if small else _runs(shards, block).alias("r")
+    placed = placed.alias("p").join(runs, F.col("p.source").eqNullSafe(F.col("r.source")), "left").select("p.*", "r.runs")
+    inside = lambda r: F.struct((F.greatest(r["begin"], F.col("at")) - F.col("at")).alias("begin"), (F.least(r["end"], F.col("at") + F.col("size")) - F.col("at")).alias("end"))
+    own = F.filter(F.transform(F.coalesce("runs", F.array().cast("array<struct<begin:bigint,end:bigint>>")), inside), lambda r: r["begin"] < r["end"])
+    return placed.select(*out, "row_key", own.alias("ranges"))
+
+
+def _runs(shards: DataFrame, block: int) -> DataFrame:
+    """source and runs: the chosen words [begin, end) of its stream, at most 2 for each shard, those that touch made one."""
+    end = F.col("start") + F.col("quota")
+    part = lambda lo, hi: F.struct(((F.col("first") + lo) * block).cast("long").alias("begin"), ((F.col("first") + hi) * block).cast("long").alias("end"))
+    both = F.array(part(F.lit(0), F.greatest(F.lit(0), end - F.col("n"))), part(F.col("start"), F.least(end, F.col("n"))))
+    each = shards.select("source", F.explode(both).alias("run")).where("run.begin < run.end")
+    # a run starts where no run ends, and the other way round: begins and ends pair up by their rank
+    begins, ends = F.array_sort(F.collect_list("run.begin")), F.array_sort(F.collect_list("run.end"))
+    both = each.groupBy("source").agg(begins.alias("b"), ends.alias("e"))
+    both = both.select("source", F.array_sort(F.array_except("b", "e")).alias("b"), F.array_sort(F.array_except("e", "b")).alias("e"))
+    return both.select("source", F.zip_with("b", "e", lambda b, e: F.struct(b.alias("begin"), e.alias("end"))).alias("runs"))
+
+
+def apply_mix(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents as the mix takes them: each whole text as often as it is taken whole, and a row for each range of words of the rest.
+
+    mixed: of `mix(docs, ranges=True)`. Every row of `docs` gets what was chosen for it; rows that repeat id, text and source are told apart by
+    their number alone. Rows of which nothing is taken are left out. A `mixed` without ranges goes by id and names no words: the first count.
     """
-    rest, copies = F.col("__taken") % F.col("__size"), F.floor(F.col("__taken") / F.col("__size")).cast("int")
-    ways = F.concat(F.array_repeat(F.lit(-1).cast("long"), copies), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    own = mixed.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("taken").alias("__taken"), F.col("size").alias("__size")).dropDuplicates(["__id"])
-    out = docs.join(own, F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))).withColumn("__way", F.explode(ways))
-    start = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), F.lit(1), F.col("__way").cast("int")), "")
-    text = F.when(F.col("__way") < 0, F.col(f"`{text_col}`")).otherwise(start)
-    return out.withColumn(text_col, text).drop("__id", "__taken", "__size", "__way")
+    rest, copies = F.col("taken") % F.col("size"), F.floor(F.col("taken") / F.col("size")).cast("int")
+    none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+    named = "ranges" in mixed.columns
+    key = row_key(*(F.col(f"`{c}`") for c in (id_col, text_col, source_col))) if named else F.coalesce(F.concat(F.lit("="), F.col(f"`{id_col}`").cast("string")), F.lit(""))
+    theirs = F.col("row_key") if named else F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    parts = F.col("ranges") if named else F.array(F.struct(F.lit(0).cast("long").alias("begin"), rest.cast("long").alias("end")))
+    own = mixed.select(theirs.alias("__key"), F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"), F.when((F.col("size") > 0) & (rest > 0), parts).otherwise(none).alias("parts"))
+    # of rows that agree in the key few are taken differently, those where a run begins or ends: each way is kept once, with the number of the last row taken so
+    upto = F.sum("n").over(Window.partitionBy("__key").orderBy("copies", "parts").rowsBetween(Window.unboundedPreceding, 0))
+    own = own.groupBy("__key", "copies", "parts").agg(F.count("*").alias("n")).select("__key", F.struct(upto.alias("upto"), "copies", "parts").alias("take"))
+    own = own.groupBy("__key").agg(F.sort_array(F.collect_list("take")).alias("__all"))
+    # which of the rows that agree in the key this is; dealt by the key already, as the join is
+    number = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    whole = F.struct(F.lit(-1).cast("long").alias("begin"), F.lit(-1).cast("long").alias("end"))
+    out = docs.withColumn("__key", key).join(own, "__key").withColumn("__number", number)
+    out = out.withColumn("__mine", F.get(F.filter("__all", lambda x: x["upto"] >= F.col("__number")), 0)).drop("__all", "__number")
+    out = out.withColumn("__way", F.explode(F.concat(F.array_repeat(whole, F.col("__mine.copies")), F.col("__mine.parts"))))
+    words = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)
+    some = F.array_join(F.slice(words, (F.col("__way.begin") + 1).cast("int"), (F.col("__way.end") - F.col("__way.begin")).cast("int")), "")
+    text = F.when(F.col("__way.begin") < 0, F.col(f"`{text_col}`")).otherwise(some)
+    return out.withColumn(text_col, text).drop("__key", "__mine", "__way")

@@ -62,3 +62,30 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix(docs).count() == 0
     assert [r.taken for r in mix(spark.createDataFrame([(1, None, None)], docs.schema)).collect()] == [0]
+
+
+def test_chosen_words_are_given_out(spark):
+    """Of every source exactly the chosen blocks come out, from anywhere in a document; rows of equal id keep their own."""
+    rows = [(k % 40 if k % 9 else None, " ".join(f"{k}:{i}" for i in range(k * 37 % 300)), f"s{k % 4}") for k in range(240)]
+    rows += [(7000, " ".join(f"big:{i}" for i in range(20_000)), "s0")] + [(5, "twice of it", "s1")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mixed = mix(docs, blocks_per_source=64, ranges=True).cache()
+    plain = sorted((r.doc_id or -1, r["size"], r.taken) for r in mix(docs, blocks_per_source=64).collect())
+    chosen = mixed.collect()
+    assert plain == sorted((r.doc_id or -1, r["size"], r.taken) for r in chosen)
+    for r in chosen:
+        n = sum(x.end - x.begin for x in r.ranges)
+        assert (r.taken - n) % max(1, r["size"]) == 0 and n <= r["size"] and all(0 <= x.begin < x.end <= r["size"] for x in r.ranges)
+        assert all(x.end < y.begin for x, y in zip(r.ranges, r.ranges[1:]))
+    out = apply_mix(docs, mixed).collect()
+    assert sum(len(r.text.split()) for r in out) == sum(r.taken for r in chosen)
+    assert any(0 < x.begin for r in chosen for x in r.ranges if r.doc_id == 7000)
+    want = {}
+    for r in chosen:
+        if r.doc_id == 7000:
+            words = rows[240][1].split()
+            copies = [words] * (r.taken // r["size"]) + ([words[x.begin : x.end] for x in r.ranges] if r.taken % r["size"] else [])
+            assert sorted(copies) == sorted(o.text.split() for o in out if o.doc_id == 7000)
+        want.setdefault((r.doc_id, r.source), []).append(r.taken)
+    for (d, s), takes in want.items():
+        assert sum(takes) == sum(len(o.text.split()) for o in out if (o.doc_id, o.source) == (d, s))

@@ -68,3 +68,20 @@ def test_near_copies_from_four_fifths_on(spark, sf_dir):
     texts = {r.doc_id: r.text for r in docs.collect()}
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()}
     assert kept == {d for d, (_, c) in brute_groups(texts, 80, 100).items() if c == d}
+
+
+def test_mixing_stage_gives_what_is_chosen(spark, sf_dir):
+    """Every row of the stage is a whole text or a run of its words, not only first words; the rows go on to shards."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 4 = 1")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    out = corpus_pipeline.mixing(spark, docs, sf_dir)
+    rows = out.collect()
+    assert out.columns == docs.columns and all(r.text in before[r.doc_id] and r.n_chars == len(r.text) for r in rows)
+    assert any(not before[r.doc_id].startswith(r.text) for r in rows)
+    sizes, taken = {}, {}
+    for r in docs.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
+    for r in rows:
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+    assert all(abs(taken.get(s, 0) - t) <= 12 + 0.002 * t for s, t in targets(sizes).items())
+    assert corpus_pipeline.sharding(spark, out, sf_dir).count() == len(rows)
