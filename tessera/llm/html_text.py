@@ -2,8 +2,8 @@
 
 The standard library's parser streams events; every block element starts a new line, which knows its text, its number of
 tags and the elements it stands in. The ratio of text to tags is smoothed along the page and lines above the threshold
-form clusters. The heaviest cluster says which region holds the content: the innermost article or main element around it,
-else the innermost common container of its lines. All lines of that region that don't stand in
+form clusters. The heaviest cluster says which region holds the content: the main element around it, or the article and all
+other articles with lines above the threshold, else the innermost common container of all clusters. All lines of that region that don't stand in
 page furniture (menus, headers, adverts, forms, comments, ...) are the main text.
 """
 
@@ -177,26 +177,30 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
             clusters[-1].append((x, t))
             last = k
     best = max(clusters, key=lambda c: sum(len(t) for _, t in c))
-    # lines that only stand near long ones don't widen the region
-    core = [(x, t) for x, t in best if len(t) / max(1, x.tags) >= threshold] or best
-    shared = core[0][0].path
-    for x, _ in core:
-        same = 0
-        for a, b in zip(shared, x.path, strict=False):
-            if a != b:
-                break
-            same += 1
-        shared = shared[:same]
     heaviest = max(best, key=lambda p: len(p[1]))[0].path
+    # lines that only stand near long ones don't widen the region
+    core = [x for c in clusters for x, t in c if len(t) / max(1, x.tags) >= threshold] or [x for c in clusters for x, _ in c]
     named = [k for k in heaviest if parser.kinds[k] in ("article", "main")]
-    if named:
-        region = named[0]
+    if named and parser.kinds[named[0]] == "article":
+        # articles side by side are all content
+        outer = [next((k for k in x.path if parser.kinds[k] in ("article", "main")), 0) for x in core]
+        regions = {named[0], *outer} - {0}
+    elif named:
+        regions = {named[0]}
     else:
+        shared = core[0].path
+        for x in core:
+            same = 0
+            for a, b in zip(shared, x.path, strict=False):
+                if a != b:
+                    break
+                same += 1
+            shared = shared[:same]
         # the innermost container of several lines below the body, else the innermost container
         boxes = [k for k in reversed(shared) if parser.kinds[k] in BLOCKS - SINGLE]
         held = [k for k in boxes if parser.kinds[k] not in ("html", "body") and sum(k in x.path for x, _ in free) > 1]
-        region = (held or boxes or [0])[0]
-    kept = [t for x, t in free if region in x.path or not region]
+        regions = {(held or boxes or [0])[0]}
+    kept = [t for x, t in free if 0 in regions or not regions.isdisjoint(x.path)]
     return "\n".join(kept)
 
 

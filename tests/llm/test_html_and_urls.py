@@ -95,3 +95,14 @@ def test_templates_reject_by_labels(spark):
     assert {out[u].template for u, _ in rows if "many" in u} == {"/*/page"}
     deep = with_host_and_path(spark.createDataFrame([("s://d.net/a/b/c/d/e/f/g/h",)], "url string")).selectExpr("*", "0 AS bad")
     assert path_templates(deep, depth=3).first().template == "/a/b/c/**"
+
+
+def test_parts_and_articles_all_stay():
+    """Short lists part the clusters of one content element; articles stand side by side."""
+    items = [f"item {k}" for k in range(8)]
+    part = "<h2>Head</h2>" + f"<p>{P}</p>" * 2 + "<ul>" + "".join(f"<li>{t}</li>" for t in items) + "</ul>"
+    text = "\n".join(["Head", P, P, *items])
+    page = '<body><nav>Home</nav><div class="content">' + f'<div class="part">{part}</div>' * 3 + "</div><footer>foot</footer></body>"
+    assert main_text(page) == "\n".join([text] * 3)
+    page = f"<body><nav>Home</nav><article>{part}</article><article><h2>Two</h2><p>{P}</p></article><footer>foot</footer></body>"
+    assert main_text(page) == f"{text}\nTwo\n{P}"
