@@ -1,7 +1,7 @@
 """URL filter by a path-template tree.
 
 Per host, the path is a branch of a tree of segments. Level by level, segments that vary become the wildcard `*`: those with
-digits, and all children of a node that has too many different ones. Branches of a host that say statistically the
+digits, and at a node that has very many different children those with too few labels to be told apart. Branches of a host that say statistically the
 same about their labelled urls (a two-proportion test) are merged under a wildcard as well. A template whose share of
 labelled bad urls, smoothed towards the share of its host and that towards the share of all, passes a threshold is rejected.
 Counts of all urls are gathered by (host, template), so a host with a third of all urls is one key among partial counts.
@@ -43,7 +43,7 @@ def host_word_labels(urls: DataFrame) -> DataFrame:
     return urls.withColumn("bad", F.arrays_overlap(parts, F.array(*map(F.lit, BAD_HOST_WORDS))).cast("int"))
 
 
-def path_templates(urls: DataFrame, *, depth: int = 6, most_children: int = 50, alike_z: float = 1.0) -> DataFrame:
+def path_templates(urls: DataFrame, *, depth: int = 6, most_children: int = 50, least_known: int = 3, alike_z: float = 1.0) -> DataFrame:
     """(host, path, template) for every different host and path of `urls`, which has host, path and `bad` (0, 1 or null).
 
     Segments after the first `depth` are shown as the tail `**`, which stands for any number of them: no url is left out.
@@ -58,7 +58,8 @@ def path_templates(urls: DataFrame, *, depth: int = 6, most_children: int = 50,
         parents = branches.groupBy("host", "at").agg(F.count("*").alias("children"), F.sum("bad").alias("all_bad"), F.sum("known").alias("all_known"))
         share = (F.col("all_bad") + 0.5) / (F.col("all_known") + 1)
         z = F.abs((F.coalesce("bad", F.lit(0)) - F.col("known") * share) / F.sqrt(F.col("known") * share * (1 - share)))
-        alike = (F.col("children") > most_children) | ((F.col("children") > 1) & (F.col("known") > 0) & (z <= alike_z))
+        few = (F.col("children") > most_children) & (F.coalesce("known", F.lit(0)) < least_known)
+        alike = few | ((F.col("children") > 1) & (F.col("known") > 0) & (z <= alike_z))
         merged = branches.join(parents, ["host", "at"]).select("host", "at", "own", alike.alias("alike"))
         nodes = nodes.join(merged, ["host", "at", "own"], "left").withColumn(
             "at", F.when(F.col("own").isNull(), F.col("at")).otherwise(F.concat("at", F.lit("/"), F.when(F.col("alike"), "*").otherwise(F.col("own"))))

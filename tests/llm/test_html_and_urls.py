@@ -106,3 +106,10 @@ def test_parts_and_articles_all_stay():
     assert main_text(page) == "\n".join([text] * 3)
     page = f"<body><nav>Home</nav><article>{part}</article><article><h2>Two</h2><p>{P}</p></article><footer>foot</footer></body>"
     assert main_text(page) == f"{text}\nTwo\n{P}"
+
+
+def test_wide_nodes_keep_what_differs(spark):
+    """A branch with labels of its own stays one however many sections its host has."""
+    rows = [(f"s://w.net/{chr(97 + k % 26)}{chr(97 + k // 26)}/{n}", 0) for k in range(80) for n in range(5)] + [(f"s://w.net/bad/{n}", 1) for n in range(40)]
+    out = {r.url: r for r in judge_urls(spark.createDataFrame(rows, "url string, label int"), bad_col="label").collect()}
+    assert out["s://w.net/bad/7"].template == "/bad/*" and all(out[u].verdict == ("block" if bad else "allow") for u, bad in rows)
