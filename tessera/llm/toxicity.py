@@ -1,88 +1,35 @@
 """Toxicity by a factorization machine over hashed terms.
 
-score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>) over the hashed terms that a text holds. The factors let a
-pair of terms (an insult with a mention of a group) weigh more or less than its two terms alone.
+score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>) over the hashed terms that a text holds: its words and the stems of
+its longer words. The factors let a pair of terms (an insult with a mention of a group) weigh more or less than its two
+terms alone.
 
 The machine is fitted on a bounded sample of labelled texts (`max_rows`, the rows that come first by a hash of their id,
-so reruns agree). Which hashed terms take part is decided by Spark over all texts of that sample; the driver sees the
-counts of at most `max_terms` of them and the sample's term lists restricted to them.
+so reruns agree). Spark makes the term lists; the driver sees those of the sample and no text. Every term that is in
+`least_texts` of them takes part, whatever their labels.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tessera.llm import factorization
 from tessera.llm.common import checkpoint, map_texts, words
+from tessera.llm.factorization import FactorizationMachine
+
+#: Bytes of a word that make its stem.
+STEM = 6
 
 
 def hashed_terms(text: bytes | None, buckets: int) -> list[int]:
-    """Distinct hashed words of a whole text."""
-    return list({zlib.crc32(w) % buckets for w in set(words(text))})
-
-
-@dataclass
-class FactorizationMachine:
-    terms: np.ndarray  #: hashed terms that take part, ascending
-    w0: float
-    w: np.ndarray
-    v: np.ndarray  #: one row of factors for each term
-    buckets: int
-
-    @classmethod
-    def fit(cls, rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, buckets: int, factors: int = 8, steps: int = 600, rate: float = 0.08, l2: float = 1e-6, l2_factors: float = 3e-3, seed: int = 7) -> FactorizationMachine:
-        """Full-batch Adam on the logistic loss. rows: positions in `terms`."""
-        d, n = len(terms), len(y)
-        counts = np.array([len(r) for r in rows], dtype=np.int64)
-        flat = np.concatenate(rows).astype(np.int64) if n and counts.sum() else np.empty(0, np.int64)
-        owner = np.repeat(np.arange(n), counts)
-        p = np.clip(y.mean() if n else 0.5, 0.5 / max(n, 1), 1 - 0.5 / max(n, 1))
-        w0, w = float(np.log(p / (1 - p))), np.zeros(d)
-        v = np.random.default_rng(seed).normal(0, 0.02, (d, factors))
-        state = [[np.zeros_like(x), np.zeros_like(x)] for x in (np.zeros(1), w, v)]
-
-        def by_row(values):
-            return np.bincount(owner, weights=values, minlength=n)
-
-        def by_term(values):
-            return np.bincount(flat, weights=values, minlength=d)
-
-        for step in range(1, steps + 1):
-            sums = np.stack([by_row(v[flat, f]) for f in range(factors)], axis=1)
-            squares = by_row((v[flat] ** 2).sum(axis=1))
-            z = w0 + by_row(w[flat]) + 0.5 * ((sums**2).sum(axis=1) - squares)
-            error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / max(n, 1)
-            e = error[owner]
-            grads = [np.array([error.sum()]), by_term(e) + l2 * w, np.stack([by_term(e * (sums[owner, f] - v[flat, f])) for f in range(factors)], axis=1) + l2_factors * v]
-            for k, g in enumerate(grads):
-                m, s = state[k]
-                m += 0.1 * (g - m)
-                s += 0.001 * (g * g - s)
-                move = rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-                if k == 0:
-                    w0 -= float(move[0])
-                elif k == 1:
-                    w -= move
-                else:
-                    v -= move
-        return cls(terms, w0, w, v, buckets)
-
-    def position(self) -> dict[int, int]:
-        return {int(t): k for k, t in enumerate(self.terms)}
-
-    def scores(self, texts: list[bytes | None], position: dict[int, int]) -> np.ndarray:
-        z = np.full(len(texts), self.w0)
-        for k, text in enumerate(texts):
-            own = sorted(position[t] for t in hashed_terms(text, self.buckets) if t in position)
-            if own:
-                v = self.v[own]
-                s = v.sum(axis=0)
-                z[k] += self.w[own].sum() + 0.5 * (s @ s - (v * v).sum())
-        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+    """Distinct hashed words, and stems of words longer than STEM bytes, of a whole text."""
+    own = set(words(text))
+    own |= {w[:STEM] + b"*" for w in own if len(w) > STEM}
+    return list({zlib.crc32(w) % buckets for w in own})
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, id_col: str, text_col: str, max_rows: int) -> DataFrame:
@@ -109,47 +56,44 @@ def fit_toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_rows: int = 20_000,
-    max_terms: int = 4096,
+    least_texts: int = 3,
     buckets: int = 1 << 22,
-    min_z: float = 5.0,
+    **fit,
 ) -> FactorizationMachine:
-    """Fit on at most `max_rows` labelled texts and `max_terms` hashed terms.
+    """Fit on at most `max_rows` labelled texts; **fit goes to `factorization.fit`.
 
-    A term takes part if its number of positive texts is at least `min_z` standard deviations away from what the share
-    of positive texts makes likely. Without labelled texts the machine is the constant 0.5.
+    A hashed term takes part if `least_texts` of these texts hold it. Without labelled texts the machine is the constant 0.5,
+    with fewer than 16 their share of positive ones.
     """
-    sample = labelled_sample(docs, labels, label_col, id_col=id_col, text_col=text_col, max_rows=max_rows)
+    sample = labelled_sample(docs, labels, label_col, id_col=id_col, text_col=text_col, max_rows=max_rows).withColumn("at", F.xxhash64(F.lit(1), "__id"))
     fields = [T.StructField("terms", T.ArrayType(T.IntegerType()))]
 
     def terms_of(texts):
         yield pa.array([hashed_terms(t, buckets) for t in texts], pa.list_(pa.int32()))
 
-    found = checkpoint(map_texts(sample, "text", ["label"], fields, terms_of))
-    n, positive = found.agg(F.count("label"), F.sum("label")).first()
-    share = min(max((positive or 0) / n, 1e-6), 1 - 1e-6) if n else 0.5
-    z = (F.col("p") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    chosen = (
-        found.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-        .where(F.col("n") >= 3).withColumn("z", F.abs(z)).where(F.col("z") >= min_z).orderBy(F.desc("z"), "term").limit(max_terms)
-    )
-    terms = np.array(sorted(r["term"] for r in chosen.select("term").collect()), dtype=np.int64)
-    own = found.select("label", F.array_intersect("terms", F.array(*[F.lit(int(t)) for t in terms]) if len(terms) else F.array().cast("array<int>")).alias("terms")).toArrow()
-    y = np.array(own.column("label").to_pylist(), dtype=float)
-    rows = [np.searchsorted(terms, np.sort(np.array(r, dtype=np.int64))) for r in own.column("terms").to_pylist()]
-    order = np.lexsort((np.array([hash(tuple(r.tolist())) for r in rows]), y)) if len(rows) else []
-    return FactorizationMachine.fit([rows[k] for k in order], y[order] if len(rows) else y, terms, buckets)
+    found = map_texts(sample, "text", ["at", "label"], fields, terms_of).toArrow().sort_by("at")
+    lists = found.column("terms").combine_chunks()
+    flat, counts = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)
+    texts = np.bincount(flat, minlength=buckets)
+    terms = np.flatnonzero(texts >= least_texts)
+    place = np.full(buckets, -1, np.int32)
+    place[terms] = np.arange(len(terms))
+    rows = [r[r >= 0] for r in np.split(place[flat], np.cumsum(counts)[:-1])] if len(counts) else []
+    y = np.array(found.column("label").to_pylist(), dtype=float)
+    return factorization.fit([np.sort(r) for r in rows], y, terms.astype(np.int32), buckets, **fit)
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, *, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """`carry` columns (all by default) of every document and its score, from 0 to 1.
 
     The score depends on the whole text alone. Null and empty texts get the score of a text without terms. A column named
-    score is replaced. The model (at most max_terms rows of factors) is broadcast.
+    score is replaced. The model (a row of factors for each term of the bounded sample) is broadcast.
     """
-    bc = docs.sparkSession.sparkContext.broadcast((model, model.position()))
+    bc = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts):
-        machine, position = bc.value
-        yield pa.array(machine.scores(texts, position), pa.float64())
+        machine = bc.value
+        rows = [np.array(hashed_terms(t, machine.buckets), dtype=np.int32) for t in texts]
+        yield pa.array(np.concatenate([machine.scores(rows[at : at + 200]) for at in range(0, len(rows), 200)]) if rows else [], pa.float64())
 
     return map_texts(docs, text_col, list(docs.columns) if carry is None else carry, [T.StructField("score", T.DoubleType())], run)
