@@ -1,10 +1,16 @@
 """URL filter by a path-template tree.
 
-Per host, the path is a branch of a tree of segments. Level by level, segments that vary become the wildcard `*`: those with
-digits, and at a node that has very many different children those with too few labels to be told apart. Branches of a host that say statistically the
-same about their labelled urls (a two-proportion test) are merged under a wildcard as well. A template whose share of
-labelled bad urls, smoothed towards the share of its host and that towards the share of all, passes a threshold is rejected.
-Counts of all urls are gathered by (host, template), so a host with a third of all urls is one key among partial counts.
+Per host, the path is a branch of a tree of segments, built level by level from the labelled urls. Segments with digits, and very
+long ones, are variable and become the wildcard `*`. A branch keeps its name if its share of bad urls differs from that of the other
+branches of its node (a two-proportion test); branches that say statistically the same, or have too few labels to tell, are
+merged under the wildcard. A node whose labels all say the same, or are too few to be told apart, is not split further: its
+template ends in `/**`, which stands for all paths below. The depth follows from the labels alone, and so does the number of branches.
+
+A template's purity is its share of bad urls, smoothed towards the share of its host and that towards the share of all, so
+a host without labels has the share of all; a template whose purity passes a threshold is rejected.
+
+Counts are gathered by (host, node, segment) in partial aggregates, and what they decide is looked up by a broadcast of checked size or a salted
+join, so a host, template or url with a third of all rows is no hot key.
 """
 
 from __future__ import annotations
@@ -13,8 +19,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.common import checkpoint
 
-#: Words in a host name that mark its urls as bad where no other labels are given.
+#: Words in a host name that mark its urls as bad, as a source of labels.
 BAD_HOST_WORDS = ["adult", "ads", "bets", "casino", "pills", "porn", "spam", "xxx"]
+#: Segments that vary: those with digits and those of over 40 characters.
+VARIABLE = r"[0-9]|^.{41,}$"
+#: Most rows of a table that is broadcast (a few MB), and parts of each key in a join beyond that.
+MOST_BROADCAST, SALTS = 50_000, 32
 
 
 def ascii_lower(c: Column) -> Column:
@@ -37,59 +47,82 @@ def rule_column(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def host_word_labels(urls: DataFrame) -> DataFrame:
-    """`bad` int: 1 where a word of the host name stands in BAD_HOST_WORDS, else 0. For urls without labels of their own."""
-    parts = F.split(F.col("host"), r"[.\-_]")
-    return urls.withColumn("bad", F.arrays_overlap(parts, F.array(*map(F.lit, BAD_HOST_WORDS))).cast("int"))
+def rule_and_word_labels(urls: DataFrame, rules: list[tuple[str, str, str]]) -> Column:
+    """Labels where no others are known: what the rules say of a url (block 1, allow 0); 1 where no rule fits and a word of the
+    host name stands in BAD_HOST_WORDS; null for all others."""
+    words = F.arrays_overlap(F.split(F.col("host"), r"[.\-_]"), F.array(*map(F.lit, BAD_HOST_WORDS)))
+    return F.coalesce((rule_column(rules)[1] == "block").cast("int"), F.when(words, 1))
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """`rows` with the columns of `table`, which has `n` rows and each key once; null where it has none."""
+    if n <= MOST_BROADCAST:
+        return rows.join(F.broadcast(table), keys, "left")
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, [*keys, "__salt"], "left").drop("__salt")
 
 
-def path_templates(urls: DataFrame, *, depth: int = 6, most_children: int = 50, least_known: int = 3, alike_z: float = 1.0) -> DataFrame:
-    """(host, path, template) for every different host and path of `urls`, which has host, path and `bad` (0, 1 or null).
+def path_templates(urls: DataFrame, *, least_known: int = 4, alike_z: float = 1.64) -> DataFrame:
+    """`urls`, which has host, path and `bad` (0, 1 or null), with template.
 
-    Segments after the first `depth` are shown as the tail `**`, which stands for any number of them: no url is left out.
+    A branch with fewer than `least_known` labels, or a test value of at most `alike_z`, is merged under the wildcard; a node with
+    fewer than twice as many labels, or labels of one kind, ends in `/**`. One or two small jobs for each level on which labels differ.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    nodes = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.count("bad").alias("known")).withColumns({"seg": segments, "at": F.lit("")})
-    for level in range(depth):
-        own = F.get("seg", F.lit(level))
-        varies = own.rlike(r"[0-9]|^.{41,}$")
-        nodes = nodes.withColumn("own", F.when(own.isNull(), None).when(varies, "*").otherwise(own))
-        branches = nodes.where("own IS NOT NULL AND own != '*'").groupBy("host", "at", "own").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
-        parents = branches.groupBy("host", "at").agg(F.count("*").alias("children"), F.sum("bad").alias("all_bad"), F.sum("known").alias("all_known"))
-        share = (F.col("all_bad") + 0.5) / (F.col("all_known") + 1)
-        z = F.abs((F.coalesce("bad", F.lit(0)) - F.col("known") * share) / F.sqrt(F.col("known") * share * (1 - share)))
-        few = (F.col("children") > most_children) & (F.coalesce("known", F.lit(0)) < least_known)
-        alike = few | ((F.col("children") > 1) & (F.col("known") > 0) & (z <= alike_z))
-        merged = branches.join(parents, ["host", "at"]).select("host", "at", "own", alike.alias("alike"))
-        nodes = nodes.join(merged, ["host", "at", "own"], "left").withColumn(
-            "at", F.when(F.col("own").isNull(), F.col("at")).otherwise(F.concat("at", F.lit("/"), F.when(F.col("alike"), "*").otherwise(F.col("own"))))
-        ).drop("own", "alike")
-        nodes = checkpoint(nodes) if level % 3 == 2 else nodes
-    template = F.when(F.size("seg") > depth, F.concat("at", F.lit("/**"))).when(F.col("path").endswith("/"), F.concat("at", F.lit("/"))).otherwise(F.col("at"))
-    return nodes.select("host", "path", "n", "bad", "known", template.alias("template"))
-
-
-def judge_urls(urls: DataFrame, *, url_col: str = "url", rules: list[tuple[str, str, str]] = (), reject_at: float = 0.5, weight: float = 4.0, bad_col: str | None = None, **tree) -> DataFrame:
+    rows = urls.withColumns({"__seg": segments, "__at": F.lit(""), "__live": F.lit(True), "__more": F.lit(False)})
+    level = 0
+    while True:
+        own = F.get("__seg", F.lit(level))
+        rows = rows.withColumn("__own", F.when(F.col("__live"), F.when(own.rlike(VARIABLE), "*").otherwise(own)))
+        stats = rows.where("__live").groupBy("host", "__at", "__own").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.count("bad").alias("k"))
+        stats = checkpoint(stats)
+        nodes = stats.groupBy("host", "__at").agg(F.sum("b").alias("all_b"), F.sum("k").alias("all_k"), F.count("__own").alias("below"))
+        nodes = checkpoint(nodes.where((F.col("all_k") >= 2 * least_known) & (F.col("all_b") > 0) & (F.col("all_b") < F.col("all_k")) & (F.col("below") > 0)))
+        n_nodes = nodes.count()
+        # a branch against the others of its node
+        k, b, rest_k, rest_b = F.col("k"), F.col("b"), F.col("all_k") - F.col("k"), F.col("all_b") - F.col("b")
+        share = F.col("all_b") / F.col("all_k")
+        z = F.abs(b / k - rest_b / F.nullif(rest_k, F.lit(0))) / F.sqrt(share * (1 - share) * (1 / k + 1 / F.nullif(rest_k, F.lit(0))))
+        branches = stats.where((k >= least_known) & (F.col("__own") != "*")).join(nodes, ["host", "__at"])
+        kept = branches.where((F.col("below") == 1) | (z > alike_z)).select("host", "__at", "__own", F.lit(True).alias("__kept"))
+        kept = checkpoint(kept) if n_nodes else kept.limit(0)
+        rows = _looked_up(rows, nodes.select("host", "__at", F.lit(True).alias("__split")), ["host", "__at"], n_nodes)
+        rows = _looked_up(rows, kept, ["host", "__at", "__own"], kept.count() if n_nodes else 0)
+        goes = F.col("__live") & F.col("__split").isNotNull() & F.col("__own").isNotNull()
+        stays = F.col("__live") & F.col("__split").isNull() & F.col("__own").isNotNull()
+        rows = rows.withColumns({
+            "__at": F.when(goes, F.concat_ws("/", "__at", F.when(F.col("__kept"), F.col("__own")).otherwise("*"))).otherwise(F.col("__at")),
+            "__more": F.col("__more") | stays, "__live": goes,
+        }).drop("__split", "__kept", "__own")
+        if not n_nodes:
+            break
+        level += 1
+        rows = checkpoint(rows) if level % 4 == 0 else rows
+    template = F.when(F.col("__more"), F.concat("__at", F.lit("/**"))).when(F.col("__at") == "", "/").otherwise(F.col("__at"))
+    return rows.withColumn("template", template).drop("__seg", "__at", "__live", "__more")
+
+
+def judge_urls(urls: DataFrame, *, url_col: str = "url", rules: list[tuple[str, str, str]] = (), reject_at: float = 0.65, weight: float = 2.0, bad_col: str | None = None, **tree) -> DataFrame:
     """Every row of `urls` with host, path, template, purity (share of bad, smoothed), rule and verdict ("allow" or "block").
 
-    The longest fitting rule decides, else the template: it is rejected if its smoothed share of bad urls is at least
-    `reject_at`. `bad_col` names labels (0, 1, null unknown); without it the words of host names are the labels.
-    Null urls have empty host, path and template. Columns with the new names are replaced.
+    The longest fitting rule decides, else the template: it is rejected if its purity is at least `reject_at`. `weight`: how many labels the
+    share of the host, and of all, counts as. `bad_col` names labels (0, 1, null unknown); without it the rules and the words of
+    host names label urls (`rule_and_word_labels`). Null urls have empty host and path and template "/"; without any label all
+    purities are 0.5. Equal urls get equal results. Columns with the new names are replaced; the others are carried through every
+    level, so select what is needed.
     """
     made = ["host", "path", "bad", "template", "purity", "rule", "verdict"]
     own = urls.withColumn("__bad", F.col(f"`{bad_col}`").cast("int") if bad_col else F.lit(None).cast("int"))
     own = with_host_and_path(own.drop(*[c for c in made if c != url_col]), url_col)
-    own = own.withColumn("bad", F.col("__bad")) if bad_col else host_word_labels(own)
-    tree_ = path_templates(own, **tree)
-    per = tree_.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("known").alias("k"))
-    hosts = per.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("k").alias("hk"))
-    total = hosts.agg(F.sum("hb").alias("tb"), F.sum("hk").alias("tk"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    overall = (zero(F.col("tb")) + 0.5) / (zero(F.col("tk")) + 1)
-    host_share = (zero(F.col("hb")) + weight * overall) / (zero(F.col("hk")) + weight)
-    purity = (zero(F.col("b")) + weight * F.col("host_share")) / (zero(F.col("k")) + weight)
-    shares = hosts.join(F.broadcast(total)).select("host", host_share.alias("host_share"))  # total is one row
-    scored = per.join(shares, "host").select("host", "template", purity.alias("purity"))
-    judged = own.drop("bad", "__bad").join(tree_.select("host", "path", "template").join(scored, ["host", "template"]), ["host", "path"], "left")
+    rows = path_templates(own.withColumn("bad", F.col("__bad") if bad_col else rule_and_word_labels(own, list(rules))).drop("__bad"), **tree)
+    per = checkpoint(rows.groupBy("host", "template").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.count("bad").alias("k")))
+    hosts = checkpoint(per.groupBy("host").agg(F.sum("b").alias("host_b"), F.sum("k").alias("host_k")))
+    n_hosts, all_b, all_k = hosts.agg(F.count("*"), F.coalesce(F.sum("host_b"), F.lit(0)), F.coalesce(F.sum("host_k"), F.lit(0))).first()
+    overall = (all_b + 0.5) / (all_k + 1)
+    host_share = (F.col("host_b") + weight * overall) / (F.col("host_k") + weight)
+    purity = (F.col("b") + weight * F.col("__share")) / (F.col("k") + weight)
+    scored = _looked_up(per, hosts.select("host", host_share.alias("__share")), ["host"], n_hosts).select("host", "template", purity.alias("purity"))
+    judged = _looked_up(rows.drop("bad"), scored, ["host", "template"], per.count())
     rule, verdict = rule_column(list(rules))
     return judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("purity") >= reject_at, "block").otherwise("allow"))})

@@ -1,11 +1,14 @@
 import html
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.llm import url_filter
 from tessera.llm.html_text import extract_text, main_text
-from tessera.llm.url_filter import judge_urls, path_templates, with_host_and_path
 from tessera.llm.queries import URL_RULES, queries
+from tessera.llm.url_filter import BAD_HOST_WORDS, judge_urls, rule_and_word_labels, with_host_and_path
 
 P = "This paragraph of the article is long enough to be taken for content by its ratio of text to tags."
 CASES = [
@@ -85,16 +88,101 @@ def test_rules_on_pages(spark, sf_dir):
         assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict)
 
 
+def brute_templates(rows, least_known=4, alike_z=1.64):
+    """rows: (host, path, bad or None). The template of each, one node after the other."""
+    out = [None] * len(rows)
+
+    def split(host, at, level, members):
+        labels = [rows[m][2] for m in members if rows[m][2] is not None]
+        segments = {m: [x for x in rows[m][1].split("/") if x] for m in members}
+        names = {m: None if len(x) <= level else "*" if re.search(r"[0-9]|^.{41,}$", x[level]) else x[level] for m, x in segments.items()}
+        below = {n for n in names.values() if n}
+        if len(labels) < 2 * least_known or len(set(labels)) < 2 or not below:
+            for m in members:
+                out[m] = at + "/**" if names[m] else at or "/"
+            return
+        kids = {}
+        for n in below:
+            own = [rows[m][2] for m in members if names[m] == n and rows[m][2] is not None]
+            kept = False
+            if n != "*" and len(own) >= least_known:
+                k, b, rk, rb, p = len(own), sum(own), len(labels) - len(own), sum(labels) - sum(own), sum(labels) / len(labels)
+                kept = len(below) == 1 or (rk > 0 and abs(b / k - rb / rk) / (p * (1 - p) * (1 / k + 1 / rk)) ** 0.5 > alike_z)
+            kids.setdefault(n if kept else "*", []).extend(m for m in members if names[m] == n)
+        for m in members:
+            if names[m] is None:
+                out[m] = at or "/"
+        for n, own in kids.items():
+            split(host, f"{at}/{n}", level + 1, own)
+
+    for host in {r[0] for r in rows}:
+        split(host, "", 0, [m for m, r in enumerate(rows) if r[0] == host])
+    return out
+
+
+def brute_verdicts(rows, reject_at=0.65, weight=2.0):
+    templates = brute_templates(rows)
+    labels = lambda keep: [r[2] for r, t in zip(rows, templates, strict=True) if r[2] is not None and keep(r, t)]
+    everything = labels(lambda r, t: True)
+    overall = (sum(everything) + 0.5) / (len(everything) + 1)
+    out = []
+    for r, t in zip(rows, templates, strict=True):
+        host, own = labels(lambda x, _: x[0] == r[0]), labels(lambda x, u: (x[0], u) == (r[0], t))
+        share = (sum(host) + weight * overall) / (len(host) + weight)
+        purity = (sum(own) + weight * share) / (len(own) + weight)
+        out.append((t, purity, "block" if purity >= reject_at else "allow"))
+    return out
+
+
+@pytest.mark.parametrize("seed, most", [(1, 50_000), (2, 0)])
+def test_tree_is_the_brute_force_tree(spark, monkeypatch, seed, most):
+    """Also where what the counts decide is looked up by the salted join."""
+    monkeypatch.setattr(url_filter, "MOST_BROADCAST", most)
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(600):
+        host, path = f"h{rng.integers(4)}.net", [str(rng.choice(["a", "b", "c", "d9", "e"])) for _ in range(rng.integers(0, 5))]
+        bad = 0.9 if "b" in path[:2] else 0.4 if host == "h2.net" else 0.1
+        rows.append((host, "/" + "/".join(path), None if rng.random() < 0.3 else int(rng.random() < bad)))
+    df = spark.createDataFrame([(k, f"http://{h}{p}?q=1", b) for k, (h, p, b) in enumerate(rows)], "k int, url string, label int")
+    out = sorted(judge_urls(df, bad_col="label").collect(), key=lambda r: r.k)
+    want = brute_verdicts(rows)
+    assert len({t for t, _, _ in want}) > 5
+    for r, (template, purity, verdict) in zip(out, want, strict=True):
+        assert (r.template, r.verdict) == (template, verdict) and r.purity == pytest.approx(purity)
+
+
 def test_templates_reject_by_labels(spark):
     rows = [(f"s://h.net/good/{k}", 0) for k in range(40)] + [(f"s://h.net/bad/{k}", 1) for k in range(40)] + [("s://h.net/bad/new", None), ("s://h.net/good/x7", None)]
-    rows += [(f"s://many.net/{chr(97 + k % 26)}{chr(97 + k // 26)}/page", None) for k in range(80)]
-    df = spark.createDataFrame(rows, "url string, label int")
-    out = {r.url: r for r in judge_urls(df, bad_col="label").collect()}
-    assert out["s://h.net/bad/3"].verdict == "block" and out["s://h.net/good/3"].verdict == "allow"
-    assert out["s://h.net/bad/3"].template == "/bad/*" and out["s://h.net/good/x7"].template == "/good/*"
-    assert {out[u].template for u, _ in rows if "many" in u} == {"/*/page"}
-    deep = with_host_and_path(spark.createDataFrame([("s://d.net/a/b/c/d/e/f/g/h",)], "url string")).selectExpr("*", "0 AS bad")
-    assert path_templates(deep, depth=3).first().template == "/a/b/c/**"
+    rows += [(f"s://none.net/{chr(97 + k)}/page", None) for k in range(20)] + [("s://two.net/x", 1), ("s://two.net/y", 1)]
+    out = {r.url: r for r in judge_urls(spark.createDataFrame(rows, "url string, label int"), bad_col="label").collect()}
+    assert out["s://h.net/bad/new"].verdict == "block" and out["s://h.net/good/x7"].verdict == "allow"
+    assert out["s://h.net/bad/3"].template == "/bad/**" and out["s://h.net/good/x7"].template == "/good/**"
+    assert {(out[u].template, out[u].verdict) for u, _ in rows if "none" in u} == {("/**", "allow")}
+    assert out["s://two.net/x"].verdict == "block"
+
+
+def test_branches_differ_at_any_depth(spark):
+    """Sections that differ only below eight others."""
+    deep = "/".join("abcdefgh")
+    rows = [(f"s://d.net/{deep}/{'bad' if k % 2 else 'good'}/{k}", k % 2) for k in range(40)]
+    out = {r.url: r for r in judge_urls(spark.createDataFrame(rows, "url string, label int"), bad_col="label").collect()}
+    assert out[rows[1][0]].template == f"/{deep}/bad/**" and all(out[u].verdict == ("block" if bad else "allow") for u, bad in rows)
+
+
+def test_the_tree_decides_and_foretells_labels_left_out(spark, sf_dir):
+    """Verdicts of urls without a rule follow from no host word alone; purities learned on half of the ruled urls tell the other half apart."""
+    folder = sf_dir.replace("sf0.01", "sf0.1")
+    out = queries()["op9_urls"](spark, folder).where("rule IS NULL").collect()
+    words = {(any(w in BAD_HOST_WORDS for w in re.split(r"[.\-_]", r.host)), r.verdict) for r in out}
+    assert {(False, "allow"), (False, "block"), (True, "block")} <= words
+    assert len({r.template for r in out}) > 3
+    urls = with_host_and_path(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url"))
+    label = rule_and_word_labels(urls, URL_RULES)
+    urls = urls.select("page_id", "url", label.alias("full"), F.when(F.crc32("url") % 2 == 0, label).alias("half"))
+    left = judge_urls(urls, bad_col="half").where("full IS NOT NULL AND half IS NULL").toPandas()
+    right = ((left.purity >= 0.5) == (left.full == 1)).mean()
+    assert right > max(left.full.mean(), 1 - left.full.mean()) + 0.1
 
 
 def test_parts_and_articles_all_stay():
@@ -112,4 +200,4 @@ def test_wide_nodes_keep_what_differs(spark):
     """A branch with labels of its own stays one however many sections its host has."""
     rows = [(f"s://w.net/{chr(97 + k % 26)}{chr(97 + k // 26)}/{n}", 0) for k in range(80) for n in range(5)] + [(f"s://w.net/bad/{n}", 1) for n in range(40)]
     out = {r.url: r for r in judge_urls(spark.createDataFrame(rows, "url string, label int"), bad_col="label").collect()}
-    assert out["s://w.net/bad/7"].template == "/bad/*" and all(out[u].verdict == ("block" if bad else "allow") for u, bad in rows)
+    assert out["s://w.net/bad/7"].template == "/bad/**" and all(out[u].verdict == ("block" if bad else "allow") for u, bad in rows)
