@@ -1,11 +1,12 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import url_filter
+from tessera.llm import html_text, url_filter
 from tessera.llm.html_text import extract_text, main_text
 from tessera.llm.queries import URL_RULES, queries
 from tessera.llm.url_filter import BAD_HOST_WORDS, judge_urls, rule_and_word_labels, with_host_and_path
@@ -201,3 +202,47 @@ def test_wide_nodes_keep_what_differs(spark):
     rows = [(f"s://w.net/{chr(97 + k % 26)}{chr(97 + k // 26)}/{n}", 0) for k in range(80) for n in range(5)] + [(f"s://w.net/bad/{n}", 1) for n in range(40)]
     out = {r.url: r for r in judge_urls(spark.createDataFrame(rows, "url string, label int"), bad_col="label").collect()}
     assert out["s://w.net/bad/7"].template == "/bad/**" and all(out[u].verdict == ("block" if bad else "allow") for u, bad in rows)
+
+
+#: Pages without a semantic element or a telling class: (page, text).
+PLAIN = [
+    ("<div id=top>Home | About | Login</div><div id=c><p>{P}</p><p>{P}</p></div><div>Footer text 2020</div>", "{P}\n{P}"),
+    ("<body><div><a>Home</a></div><div><a>News</a></div><div><h1>Head</h1><p>{P}</p><p>Hm.</p><p>{P} {P}</p></div><div>Terms</div><div>Help</div></body>", "Head\n{P}\nHm.\n{P} {P}"),
+    ("<div><div>Menu one</div><div>Menu two</div><p>{P}</p><p>{P}</p><ul><li>a</li><li>b</li></ul><p>{P}</p><div>Foot</div></div>", "{P}\n{P}\na\nb\n{P}"),
+    ("<table><tr><td>Home</td><td><p>{P}</p><p>{P}</p><p>{P}</p></td><td>Links</td></tr></table>", "{P}\n{P}\n{P}"),
+]
+#: Class words and elements that content may have too.
+CONTENT = [
+    '<article><header><h1>Head</h1></header><p>{P}</p><div class="share-price"><p>{P}</p></div></article>', '<article><p>{P}</p><div class="response"><p>{P}</p></div></article>',
+    "<article><p>{P} <math><mi>x</mi></math></p></article>", '<article><p>{P}</p><div class="related-work"><p>{P}</p></div></article>',
+]
+
+
+@pytest.mark.parametrize("page, text", PLAIN)
+def test_ratios_choose_where_no_element_tells(monkeypatch, page, text):
+    page, text = page.replace("{P}", P), text.replace("{P}", P)
+    assert main_text(page) == text
+    monkeypatch.setattr(html_text, "smoothed_ratios", lambda lines, sigma: np.ones(len(lines)))
+    assert main_text(page) != text
+
+
+@pytest.mark.parametrize("page", CONTENT)
+def test_content_with_telling_words_stays(page):
+    text = main_text(page.replace("{P}", P))
+    assert text.count(P) == page.count("{P}") and ("Head" in text) == ("Head" in page) and ("x" in text) >= ("math" in page)
+
+
+@pytest.mark.parametrize("page", ["<div>a b c" * 50_000, "<div><i>" * 40_000 + "</b></section>" * 40_000, "<p><b>x" * 60_000, "<div>" + "<i>" * 60_000 + "<p>x</p>" * 60_000])
+def test_time_is_linear_in_open_elements(page):
+    main_text(page[: len(page) // 8])
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_threshold_parts_two_clusters():
+    for values in ([1.0, 1.0], [3.0], [1.0, 2.0, 9.0, 10.0], list(np.random.default_rng(4).gamma(2, 3, 60))):
+        v, steps = np.array(values), sorted(set(values))
+        cuts = [(a + b) / 2 for a, b in zip(steps, steps[1:], strict=False)]
+        spread = lambda x: (v < x).sum() * (v >= x).sum() * (v[v < x].mean() - v[v >= x].mean()) ** 2
+        assert html_text.threshold(v) == pytest.approx(max(cuts, key=spread) if cuts else v[0])
