@@ -43,7 +43,7 @@ class Batch:
         own, flat = np.unique(flat, return_inverse=True)
         order = np.argsort(flat, kind="stable")
         owner = np.repeat(np.arange(len(which)), counts)
-        return cls(flat, np.cumsum(counts) - counts, counts, y[which].astype(np.float64), own, owner[order], np.searchsorted(flat[order], np.arange(len(own))))
+        return cls(flat.astype(np.int32), np.cumsum(counts) - counts, counts, y[which].astype(np.float64), own, owner[order].astype(np.int32), np.searchsorted(flat[order], np.arange(len(own))))
 
 
 @dataclass
@@ -194,7 +194,7 @@ def fit(
     batches = [Batch.of(rows, y, own[at : at + batch]) for at in range(0, len(own), batch)]
     held = [Batch.of(rows, y, np.arange(0, n, 8)[at : at + batch]) for at in range(0, -(-n // 8), batch)]
     alone = best = _Descent(model, rates, l1).run(batches, held, 2 * epochs, patience, rng)
-    counts = np.bincount(np.concatenate(rows).astype(np.int64), minlength=d)
+    counts = sum(np.bincount(b.own, np.bincount(b.flat, minlength=len(b.own)), minlength=d) for b in batches)
     scale = np.where(counts >= least_texts, 1 / np.sqrt(np.maximum(counts, 1)), 0)
     if np.count_nonzero(scale) > factors:
         start = _pair_directions(alone.model, batches, scale, factors, rng)

@@ -80,7 +80,8 @@ def fit_toxicity(
     place[terms] = np.arange(len(terms))
     rows = [r[r >= 0] for r in np.split(place[flat], np.cumsum(counts)[:-1])] if len(counts) else []
     y = np.array(found.column("label").to_pylist(), dtype=float)
-    return factorization.fit([np.sort(r) for r in rows], y, terms.astype(np.int32), buckets, **fit)
+    del found, lists, flat, place, texts
+    return factorization.fit(rows, y, terms.astype(np.int32), buckets, **fit)
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, *, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
