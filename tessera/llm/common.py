@@ -44,6 +44,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Most rows of a looked-up table that is broadcast (a few MB), and parts of each key in a join beyond that.
+MOST_BROADCAST, SALTS = 50_000, 32
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """`rows` with the columns of `table`, which has `n` rows and each key once; null where it has none.
+
+    A table of at most MOST_BROADCAST rows is broadcast. Beyond that the join is salted: every row of `table` goes to SALTS places
+    and the rows of a key are dealt to these by their number, so that no key is one task's.
+    """
+    if n <= MOST_BROADCAST:
+        return rows.join(F.broadcast(table), keys, "left")
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, [*keys, "__salt"], "left").drop("__salt")
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,

@@ -17,14 +17,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import checkpoint
+from tessera.llm.common import checkpoint, looked_up
 
 #: Words in a host name that mark its urls as bad, as a source of labels.
 BAD_HOST_WORDS = ["adult", "ads", "bets", "casino", "pills", "porn", "spam", "xxx"]
 #: Segments that vary: those with digits and those of over 40 characters.
 VARIABLE = r"[0-9]|^.{41,}$"
-#: Most rows of a table that is broadcast (a few MB), and parts of each key in a join beyond that.
-MOST_BROADCAST, SALTS = 50_000, 32
 
 
 def ascii_lower(c: Column) -> Column:
@@ -54,15 +52,6 @@ def rule_and_word_labels(urls: DataFrame, rules: list[tuple[str, str, str]]) ->
     return F.coalesce((rule_column(rules)[1] == "block").cast("int"), F.when(words, 1))
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """`rows` with the columns of `table`, which has `n` rows and each key once; null where it has none."""
-    if n <= MOST_BROADCAST:
-        return rows.join(F.broadcast(table), keys, "left")
-    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    return rows.join(salted, [*keys, "__salt"], "left").drop("__salt")
-
-
 def path_templates(urls: DataFrame, *, least_known: int = 4, alike_z: float = 1.64) -> DataFrame:
     """`urls`, which has host, path and `bad` (0, 1 or null), with template.
 
@@ -87,8 +76,8 @@ def path_templates(urls: DataFrame, *, least_known: int = 4, alike_z: float = 1.
         branches = stats.where((k >= least_known) & (F.col("__own") != "*")).join(nodes, ["host", "__at"])
         kept = branches.where((F.col("below") == 1) | (z > alike_z)).select("host", "__at", "__own", F.lit(True).alias("__kept"))
         kept = checkpoint(kept) if n_nodes else kept.limit(0)
-        rows = _looked_up(rows, nodes.select("host", "__at", F.lit(True).alias("__split")), ["host", "__at"], n_nodes)
-        rows = _looked_up(rows, kept, ["host", "__at", "__own"], kept.count() if n_nodes else 0)
+        rows = looked_up(rows, nodes.select("host", "__at", F.lit(True).alias("__split")), ["host", "__at"], n_nodes)
+        rows = looked_up(rows, kept, ["host", "__at", "__own"], kept.count() if n_nodes else 0)
         goes = F.col("__live") & F.col("__split").isNotNull() & F.col("__own").isNotNull()
         stays = F.col("__live") & F.col("__split").isNull() & F.col("__own").isNotNull()
         rows = rows.withColumns({
@@ -122,7 +111,7 @@ def judge_urls(urls: DataFrame, *, url_col: str = "url", rules: list[tuple[str,
     overall = (all_b + 0.5) / (all_k + 1)
     host_share = (F.col("host_b") + weight * overall) / (F.col("host_k") + weight)
     purity = (F.col("b") + weight * F.col("__share")) / (F.col("k") + weight)
-    scored = _looked_up(per, hosts.select("host", host_share.alias("__share")), ["host"], n_hosts).select("host", "template", purity.alias("purity"))
-    judged = _looked_up(rows.drop("bad"), scored, ["host", "template"], per.count())
+    scored = looked_up(per, hosts.select("host", host_share.alias("__share")), ["host"], n_hosts).select("host", "template", purity.alias("purity"))
+    judged = looked_up(rows.drop("bad"), scored, ["host", "template"], per.count())
     rule, verdict = rule_column(list(rules))
     return judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("purity") >= reject_at, "block").otherwise("allow"))})

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import html_text, url_filter
+from tessera.llm import common, html_text
 from tessera.llm.html_text import extract_text, main_text
 from tessera.llm.queries import URL_RULES, queries
 from tessera.llm.url_filter import BAD_HOST_WORDS, judge_urls, rule_and_word_labels, with_host_and_path
@@ -138,7 +138,7 @@ def brute_verdicts(rows, reject_at=0.65, weight=2.0):
 @pytest.mark.parametrize("seed, most", [(1, 50_000), (2, 0)])
 def test_tree_is_the_brute_force_tree(spark, monkeypatch, seed, most):
     """Also where what the counts decide is looked up by the salted join."""
-    monkeypatch.setattr(url_filter, "MOST_BROADCAST", most)
+    monkeypatch.setattr(common, "MOST_BROADCAST", most)
     rng = np.random.default_rng(seed)
     rows = []
     for _ in range(600):

@@ -89,3 +89,28 @@ def test_chosen_words_are_given_out(spark):
         want.setdefault((r.doc_id, r.source), []).append(r.taken)
     for (d, s), takes in want.items():
         assert sum(takes) == sum(len(o.text.split()) for o in out if (o.doc_id, o.source) == (d, s))
+
+
+def test_most_rows_under_one_id(spark):
+    """Nine rows in ten share an id or have none, many are equal: targets hold, reruns agree, what is taken comes out."""
+    rows = [(7 if k % 2 else None, " ".join(f"{k % 300}:{i}" for i in range(k % 300 % 40)), "hot") for k in range(3600)]
+    rows += [(k, " ".join(f"u{k}:{i}" for i in range(k % 50)), f"s{k % 3}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for ranges in (False, True):
+        mixed = mix(docs, blocks_per_source=64, rows_per_bucket=20, ranges=ranges)
+        out = mixed.toPandas()
+        assert len(out) == len(rows) and ((out.taken >= 0) & (out.taken <= 3 * out["size"])).all()
+        block = -(-out["size"].sum() // (4 * 64))
+        for _, own in out.groupby("source"):
+            assert own["size"].sum() == own.source_size.iloc[0] and abs(own.taken.sum() - own.target.iloc[0]) <= 2 * block
+        again = mix(docs.repartition(7), blocks_per_source=64, rows_per_bucket=20, ranges=ranges).toPandas()
+        count = lambda x: sorted(zip(x.doc_id.fillna(-1), x["size"], x.taken))
+        assert count(out) == count(again)
+    texts = [r.text for r in apply_mix(docs, mixed).collect()]
+    assert sum(len(t.split()) for t in texts) == out.taken.sum()
+
+
+def test_equal_ids_are_taken_as_mixed(spark):
+    docs = spark.createDataFrame([(1, "a " * 50, "x"), (1, "b " * 5, "x"), (None, "c c", "x"), (None, "c c", "x"), (None, None, "x")], "doc_id long, text string, source string")
+    mixed = mix(docs, blocks_per_source=16, ranges=True).cache()
+    assert sum(len(r.text.split()) for r in apply_mix(docs, mixed).collect()) == sum(r.taken for r in mixed.collect())
