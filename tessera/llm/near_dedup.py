@@ -23,11 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tessera.llm import minhash
-from tessera.llm.common import checkpoint, map_texts
+from tessera.llm.common import checkpoint, looked_up, map_texts
 from tessera.llm.components import connected_components
 
 #: Distances to the pivot are cut into ranges of this width.
 RANGE = 0.05
+#: More bands of set sizes than there can be: a place is a range of distances times this and a band.
+BANDS = 4096
+#: Copies of a set from which its documents are looked up where they are.
+MANY_COPIES = 256
 
 
 def shingle_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,7 +93,9 @@ def group_links(members: DataFrame, kind: str, least: float, *, metric: bool, bl
     # what the pivot leaves open: members that failed, and those they may still be linked with
     failed = F.col("like") < least
     range_ = F.floor((1 - F.col("like")) / RANGE).cast("int") if metric else F.when(failed, 1).otherwise(0)
-    ranged = compared.withColumns({"range": range_, "failed": failed})
+    # sets whose sizes differ by more than the threshold's factor can't be alike: only neighbouring bands of sizes meet
+    band = F.floor(F.log(F.col("bytes").cast("double")) / max(0.01, float(np.log(1 / least)))).cast("int") if metric else F.lit(0)
+    ranged = compared.withColumns({"range": range_ * BANDS + band, "failed": failed})
     sums = ranged.groupBy("grp", "range").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum(failed.cast("long")).alias("n_failed"))
     whole = sums.groupBy("grp").agg(F.sum("n").alias("all"), F.sum("bytes").alias("all_bytes"), F.sum("n_failed").alias("all_failed"))
     open_ = whole.where("all_failed > 0 AND all > 1")
@@ -102,7 +108,9 @@ def group_links(members: DataFrame, kind: str, least: float, *, metric: bool, bl
     each = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     x, y = each.alias("x"), each.alias("y")
     before = (F.col("x.range") < F.col("y.range")) | ((F.col("x.range") == F.col("y.range")) & (F.col("x.part") <= F.col("y.part")))
-    close = (F.col("y.range") - F.col("x.range") - 1) * RANGE < 1 - least + 1e-9 if metric else F.lit(True)
+    away = lambda a, b: F.abs(a % BANDS - b % BANDS) <= 1
+    steps = F.floor(F.col("y.range") / BANDS) - F.floor(F.col("x.range") / BANDS)
+    close = ((steps - 1) * RANGE < 1 - least + 1e-9) & away(F.col("x.range"), F.col("y.range")) if metric else F.lit(True)
     pairs = x.join(y, (F.col("x.grp") == F.col("y.grp")) & before & close & (F.col("x.has_failed") | F.col("y.has_failed"))).select(
         F.col("x.grp").alias("grp"), F.struct("x.range", "x.part").alias("left"), F.struct("y.range", "y.part").alias("right"))
     pairs = pairs.withColumn("meet", F.xxhash64("left", "right"))
@@ -137,7 +145,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         raise ValueError(f"no pair has similarity {threshold}")
     (n_bands, length), least = minhash.bands(threshold), minhash.least_agreeing(threshold) / minhash.HASHES
     own = checkpoint(shingle_table(docs, id_col=id_col, text_col=text_col))
-    classes = own.where("id IS NOT NULL AND set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.max("n_shingles").alias("n"))
+    classes = own.where("id IS NOT NULL AND set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.count("*").alias("copies"))
     classes = checkpoint(classes)
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", 4 * length * b + 1, 4 * length)) for b in range(n_bands)])
     keyed = classes.select(F.col("rep").alias("id"), F.explode(bands).alias("grp"))
@@ -159,8 +167,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     full = map_texts(texts, "text", ["grp", "id", "support"], [T.StructField("payload", T.BinaryType())], sets)
     full = checkpoint(full.where(F.octet_length("payload") > 0).select("grp", "id", "support", F.octet_length("payload").cast("long").alias("bytes"), "payload"))
     groups = connected_components(group_links(full, "set", threshold - 1e-12, metric=True))
-    by_set = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    out = own.join(by_set, "set_hash", "left")
+    # only sets with copies or links have a component other than their document's id
+    by_set = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 OR component IS NOT NULL")
+    by_set = checkpoint(by_set.select("set_hash", "copies", F.coalesce("component", "rep").alias("component")))
+    hot = by_set.where(F.col("copies") > MANY_COPIES).select("set_hash", F.col("component").alias("hot"))
+    n_hot = hot.count()
+    known = looked_up(own, hot, ["set_hash"], n_hot) if n_hot else own.withColumn("hot", F.lit(None).cast("long"))
+    alone = F.col("set_hash").isNull() | F.col("hot").isNotNull()  # texts without words, and those looked up
+    rest = known.where(~alone).join(by_set.where(F.col("copies") <= MANY_COPIES).select("set_hash", "component"), "set_hash", "left")
+    names = ["id", "n_shingles", "component"]
+    out = known.where(alone).withColumn("component", F.col("hot")).select(names).union(rest.select(names))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     out = out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -6,7 +6,7 @@ from math import comb
 import numpy as np
 import pytest
 
-from tessera.llm import minhash
+from tessera.llm import common, components, minhash, near_dedup
 from tessera.llm.components import connected_components
 from tessera.llm.near_dedup import group_links, near_duplicates
 
@@ -102,7 +102,10 @@ def test_blocks_lose_no_link(spark):
         assert {k: got.get(k, k) for k in sets} == parent
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub, most", [(10**9, 50_000), (20, 50_000), (20, 0)])
+def test_components(spark, monkeypatch, hub, most):
+    monkeypatch.setattr(components, "HUB", hub)
+    monkeypatch.setattr(common, "MOST_BROADCAST", most)
     rng = random.Random(8)
     edges = [(k, k + 1) for k in range(100, 160)] + [(1000, k) for k in range(1001, 1400)] + [(rng.randrange(5000, 5200), rng.randrange(5000, 5200)) for _ in range(150)] + [(7, 7), (None, 3)]
     parent = {}
@@ -122,6 +125,16 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_large_groups_of_copies(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dedup, "MANY_COPIES", 5)
+    monkeypatch.setattr(common, "MOST_BROADCAST", most)
+    base = [f"w{i}" for i in range(40)]
+    docs = {k: " ".join(base) for k in range(10, 60)} | {k: " ".join([*base, "end"]) for k in range(100, 110)} | {k: "" for k in range(200, 220)}
+    docs |= {300: "other text of five words", 301: "other text of five words", 302: "alone it stands here now"}
+    check(spark, docs)
+
+
 def test_bands_follow_the_threshold(spark):
     """The chance of a miss is bounded for every threshold, and pairs just above a low one are all found."""
     assert minhash.bands(0.85) == (16, 4) and minhash.least_agreeing(0.85) == 38
