@@ -66,14 +66,19 @@ def likeness(a: str, b: str) -> Column:
     return F.when(agree, 1.0).when(n == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(own, other)) / n)
 
 
-def _bucket_table(spark, bounds: list[int], low: int, high: int) -> tuple[DataFrame, Column]:
-    """A table of CELLS equal ranges of the key with the bounds inside each, and the cell of `key`."""
+def _bucket_table(spark, bounds: list[int], parts: dict[int, int], low: int, high: int) -> tuple[DataFrame, Column, Column]:
+    """A table of CELLS equal ranges of the key with the bounds inside each and the parts of each bucket; the cell of `__key`;
+    how many bounds of its cell a row is past."""
     width = max(1, -(-(high - low + 1) // CELLS))
     cells: dict[int, list[int]] = {}
     for b in bounds:
         cells.setdefault((b - low) // width, []).append(b)
-    rows = [(c, bisect_right(bounds, low + c * width - 1), cells.get(c, [])) for c in range(CELLS)]
-    return spark.createDataFrame(rows, "cell long, below int, bounds array<bigint>"), F.expr(f"cast((cast(key AS decimal(20, 0)) - {low}) div {width} AS bigint)")
+    rows = []
+    for c in range(CELLS):
+        below = bisect_right(bounds, low + c * width - 1)
+        rows.append((c, below, cells.get(c, []), [parts.get(below + k, 1) for k in range(len(cells.get(c, [])) + 1)]))
+    table = spark.createDataFrame(rows, "__cell long, __below int, __bounds array<bigint>, __parts array<int>")
+    return table, F.expr(f"cast((cast(__key AS decimal(20, 0)) - {low}) div {width} AS bigint)"), F.size(F.filter("__bounds", lambda b: b <= F.col("__key")))
 
 
 def with_next(docs: DataFrame, columns: list[str], *, id_col: str, text_col: str, bucket_bytes: int = 4 << 20, most_buckets: int = 1 << 16) -> DataFrame:
@@ -81,7 +86,8 @@ def with_next(docs: DataFrame, columns: list[str], *, id_col: str, text_col: str
 
     Null ids come first; equal ids are ordered by a hash of the text. The rows are dealt once, to buckets of the order that hold
     about `bucket_bytes` of text (more if that made over `most_buckets`), and the first rows of a bucket are dealt to the one
-    before it as well. Rows of equal id share a bucket. The driver sees the bounds of the buckets.
+    before it as well. An id with more text than two buckets has buckets of its own, cut by the hash of the text, so only rows that
+    agree in id and text are never parted. The driver sees the bounds of the buckets and the ids that fill several.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))
@@ -89,28 +95,42 @@ def with_next(docs: DataFrame, columns: list[str], *, id_col: str, text_col: str
     total, low, high = docs.select(key.alias("key"), text.alias("n")).agg(F.sum("n"), F.min("key"), F.max("key")).first()
     if low is None:
         return docs.select("*", *[F.col(f"`{c}`").alias(f"next_{c}") for c in columns])
+    own = docs.withColumns({"__key": key, "__hash": F.xxhash64(F.col(f"`{text_col}`"))})
     n = min(most_buckets, -(-total // bucket_bytes))
     bounds: list[int] = []
+    parts: dict[int, int] = {}
     if n > 1:
-        keys = docs.select(key.alias("key"))
-        bounds = sorted({b for b in keys.agg(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] if b > low})
-        table, cell = _bucket_table(spark, bounds, low, high)
-        bucket = F.col("below") + F.size(F.filter("bounds", lambda b: b <= F.col("key")))
-        firsts = keys.withColumn("cell", cell).join(F.broadcast(table), "cell").groupBy(bucket.alias("bucket")).agg(F.min("key").alias("first"))
-        bounds = sorted(r["first"] for r in firsts.collect() if r["first"] > low)
-    table, cell = _bucket_table(spark, bounds, low, high)
-    bucket = F.col("below") + F.size(F.filter("bounds", lambda b: b <= F.col("key")))
-    own = docs.withColumn("key", key).withColumn("cell", cell).join(F.broadcast(table), "cell").withColumn("bucket", bucket)
+        bounds = sorted({b for b in own.agg(F.percentile_approx("__key", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] if b > low})
+        # ids that fill more than two buckets: only buckets so full can hold one, and there are at most half as many as buckets
+        table, cell, past = _bucket_table(spark, bounds, parts, low, high)
+        sized = docs.select(key.alias("__key"), text.alias("n")).withColumn("__cell", cell).join(F.broadcast(table), "__cell").withColumn("bucket", F.col("__below") + past)
+        most = 2 * max(bucket_bytes, total // most_buckets)
+        full = [r["bucket"] for r in sized.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()]
+        if full:
+            wide = spark.createDataFrame([(b,) for b in full], "bucket int")
+            heavy = sized.join(F.broadcast(wide), "bucket", "left_semi").groupBy("__key").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()
+            bounds = sorted({*bounds, *(k for r in heavy for k in (r["__key"], r["__key"] + 1) if low < k <= high)})
+            parts = {bisect_right(bounds, r["__key"]): -(-2 * r["n"] // most) for r in heavy}
+    table, cell, past = _bucket_table(spark, bounds, parts, low, high)
+    spread = F.shiftright(F.col("__hash"), 32) + F.lit(1 << 31)  # 0 to 2^32 - 1, in the order of the hash
+    part = F.floor(spread * F.element_at("__parts", past + 1) / F.lit(1 << 32)).cast("int")
+    own = own.withColumn("__cell", cell).join(F.broadcast(table), "__cell").withColumns({"__base": F.col("__below") + past, "__part": part})
+    own = own.drop("__cell", "__below", "__bounds", "__parts")
+    slim = own.select("__base", "__part", "__key", "__hash")
+    firsts = sorted(slim.groupBy("__base", "__part").agg(F.min(F.struct("__key", "__hash")).alias("first")).collect(), key=lambda r: (r["__base"], r["__part"]))
+    places = spark.createDataFrame([(r["__base"], r["__part"], k, tuple(r["first"])) for k, r in enumerate(firsts)], "__base int, __part int, __bucket int, __first struct<__key:long,__hash:long>")
+    own = own.join(F.broadcast(places), ["__base", "__part"])  # a row for each bucket
     # a row: (bucket, 0 its own place, 1 only to be seen by the row before it; 2 as that, after the last row)
     place = lambda b, kind: F.struct(b.cast("int").alias("bucket"), F.lit(kind).alias("kind"))
-    places = F.array_compact(F.array(
-        place(F.col("bucket"), 0),
-        F.when(F.array_contains("bounds", F.col("key")), place(F.col("bucket") - 1, 1)),
-        F.when(F.col("key") == F.lit(low), place(F.lit(len(bounds)), 2)),
+    leads = F.struct("__key", "__hash") == F.col("__first")
+    dealt = F.array_compact(F.array(
+        place(F.col("__bucket"), 0),
+        F.when(leads & (F.col("__bucket") > 0), place(F.col("__bucket") - 1, 1)),
+        F.when(leads & (F.col("__bucket") == 0), place(F.lit(len(firsts) - 1), 2)),
     ))
-    dealt = own.select(*[F.col(f"`{c}`") for c in docs.columns], "key", F.explode(places).alias("__place"))
+    dealt = own.select(*[F.col(f"`{c}`") for c in docs.columns], "__key", "__hash", F.explode(dealt).alias("__place"))
     dealt = dealt.withColumns({"__bucket": F.col("__place.bucket"), "__kind": F.col("__place.kind")}).drop("__place")
-    order = Window.partitionBy("__bucket").orderBy((F.col("__kind") == 2), "key", F.xxhash64(F.col(f"`{text_col}`")))
+    order = Window.partitionBy("__bucket").orderBy((F.col("__kind") == 2), "__key", "__hash")
     following = F.lead(F.struct(*[F.col(f"`{c}`") for c in columns])).over(order)
     out = dealt.withColumn("__next", following).where("__kind = 0")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"__next.{c}").alias(f"next_{c}") for c in columns])

@@ -1,7 +1,9 @@
 import hashlib
 import re
 
-from tessera.llm.fingerprint import LEAF, compare_with_edit
+from pyspark.sql import functions as F
+
+from tessera.llm.fingerprint import LEAF, compare_with_edit, with_next
 
 RUN = re.compile(r"[ \t]*[^ \t]+(?:[ \t]+[^ \t]+){0,7}[ \t]*|[ \t]+")
 
@@ -59,3 +61,20 @@ def test_equal_texts_have_equal_fingerprints(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = compare_with_edit(docs).select("text", "fingerprint").distinct().collect()
     assert len({r.text for r in rows}) == len({r.fingerprint for r in rows}) == len(rows)
+
+
+def test_most_rows_under_one_id(spark):
+    """Rows of one id, and those without, fill many buckets and follow one another by a hash of the text."""
+    rows = [(None if k % 3 == 0 else 7, f"text number {k} of many with a few words") for k in range(540)] + [(k, f"other {k}") for k in range(20, 80)] + [(7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = []
+    for n, bucket_bytes in ((3, 1 << 24), (5, 300)):
+        tabled = docs.repartition(n).withColumns({"bucket": F.lit(1), "cell": F.lit("c"), "key": F.lit(2.0)})
+        got = with_next(tabled, ["text"], id_col="doc_id", text_col="text", bucket_bytes=bucket_bytes)
+        assert got.columns == ["doc_id", "text", "bucket", "cell", "key", "next_text"]
+        out.append(sorted((str(r.doc_id), str(r.text), str(r.next_text)) for r in got.collect()))
+    assert out[0] == out[1] and len(out[0]) == len(rows)
+    assert sorted(t for _, t, _ in out[0]) == sorted(u for _, _, u in out[0])
+    hashed = [(r.doc_id, r.text) for r in docs.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text")).collect()]
+    want = sorted((str(d), str(t), str(hashed[(k + 1) % len(hashed)][1])) for k, (d, t) in enumerate(hashed))
+    assert out[0] == want
