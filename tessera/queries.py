@@ -6,7 +6,6 @@ value is floor((x + 0.6) * 3000); conversations are fragments; events are the me
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -553,27 +552,31 @@ def status_classes(spark, sf_dir):
 
 
 def patient_elements(spark, sf_dir) -> DataFrame:
-    """Each customer as the elements of a small object."""
+    """Each customer as the elements of a small object: texts, a name of two groups, numbers, and a sequence of three items, one of
+    which holds a sequence of its own and one nothing."""
     own = table(spark, sf_dir, "customer")
     none = F.lit(None)
 
-    def row(tag: int, vr: str, s=none, i=none, f=none):
-        return F.struct(F.lit(tag).cast("long").alias("tag"), F.lit(vr).alias("vr"), s.cast("array<string>").alias("s"), i.cast("array<decimal(20,0)>").alias("i"), f.cast("array<double>").alias("f"))
+    def row(path: str, vr: str, s=none, i=none, f=none):
+        tag = dicom_json.ITEM if vr == "" else int(path[-8:], 16)
+        depth = (path.count("/") + 1) // 2
+        return F.struct(F.lit(path).alias("path"), F.lit(depth).alias("depth"), F.lit(tag).cast("long").alias("tag"), F.lit(vr).alias("vr"), s.cast("array<string>").alias("s"), i.cast("array<decimal(20,0)>").alias("i"), f.cast("array<double>").alias("f"))
 
+    uid = F.concat(F.lit("1.2.3."), F.col("c_custkey").cast("string"))
     rows = F.array(
-        row(0x00080016, "UI", s=F.array(F.lit("1.2.840.10008.5.1.4.1.1.7"))),
-        row(0x00080018, "UI", s=F.array(F.concat(F.lit("1.2.3."), F.col("c_custkey").cast("string")))),
-        row(0x00100010, "PN", s=F.array("c_name")),
-        row(0x00100020, "LO", s=F.array(F.col("c_custkey").cast("string"))),
-        row(0x00280010, "US", i=F.array(F.col("c_nationkey"))),
-        row(0x00189073, "FD", f=F.array("c_acctbal")),
+        row("00080016", "UI", s=F.array(F.lit("1.2.840.10008.5.1.4.1.1.7"))), row("00080018", "UI", s=F.array(uid)),
+        row("00081115", "SQ"), row("00081115/0", ""), row("00081115/0/00081155", "UI", s=F.array(F.concat(uid, F.lit(".1")))),
+        row("00081115/1", ""), row("00081115/1/00081140", "SQ"), row("00081115/1/00081140/0", ""), row("00081115/1/00081140/0/00081150", "UI", s=F.array(F.lit("1.2.840"))),
+        row("00081115/2", ""),
+        row("00100010", "PN", s=F.array(F.concat_ws("=", "c_name", "c_mktsegment"))), row("00100020", "LO", s=F.array(F.col("c_custkey").cast("string"))),
+        row("00189073", "FD", f=F.array("c_acctbal")), row("00280010", "US", i=F.array(F.col("c_nationkey"))),
     )
     flat = own.select(F.col("c_custkey").cast("string").alias("file"), F.explode(rows).alias("e"))
-    return flat.select("file", F.lpad(F.hex("e.tag"), 8, "0").alias("path"), F.lit(0).alias("depth"), "e.*", F.lit(None).cast("binary").alias("b"), F.lit(None).cast("string").alias("error"))
+    return flat.select("file", "e.*", F.lit(None).cast("binary").alias("b"), F.lit(None).cast("string").alias("error"))
 
 
 def _instances_sql() -> str:
-    return "SELECT CAST(c_custkey AS VARCHAR) AS file, c_name AS \"PatientName\", CAST(c_custkey AS VARCHAR) AS \"PatientID\", '1.2.3.' || CAST(c_custkey AS VARCHAR) AS \"SOPInstanceUID\", CAST(c_nationkey AS VARCHAR) AS \"Rows\" FROM customer"
+    return "SELECT CAST(c_custkey AS VARCHAR) AS file, c_name || '=' || c_mktsegment AS \"PatientName\", CAST(c_custkey AS VARCHAR) AS \"PatientID\", '1.2.3.' || CAST(c_custkey AS VARCHAR) AS \"SOPInstanceUID\", CAST(c_nationkey AS VARCHAR) AS \"Rows\" FROM customer"
 
 
 @query(_instances_sql())
@@ -589,24 +592,76 @@ def part10_deflated_roundtrip(spark, sf_dir):
     return part10.instances(part10.parse_elements(files, "file", "content", [0x00100010, 0x00100020, 0x00080018, 0x00280010]), ["PatientName", "PatientID", "SOPInstanceUID", "Rows"])
 
 
+# hexadecimal digits of the explicit little-endian files, written out from the standard: a tag's groups and lengths are little endian, values have even lengths
+_BYTES_SQL = r"""
+WITH v AS (SELECT c_custkey, '1.2.3.' || c_custkey AS uid, c_name || '=' || c_mktsegment AS name, CAST(c_custkey AS VARCHAR) AS id, c_nationkey AS n FROM customer),
+e AS (SELECT *, hex(encode(uid)) || CASE WHEN length(uid) % 2 = 1 THEN '00' ELSE '' END AS u, hex(encode(uid || '.1')) || CASE WHEN length(uid) % 2 = 1 THEN '00' ELSE '' END AS u1,
+  hex(encode(name)) || CASE WHEN length(name) % 2 = 1 THEN '20' ELSE '' END AS p, hex(encode(id)) || CASE WHEN length(id) % 2 = 1 THEN '20' ELSE '' END AS d FROM v),
+b AS (SELECT c_custkey, u, '08001600' || '5549' || '1A00' || hex(encode('1.2.840.10008.5.1.4.1.1.7')) || '00' || '08001800' || '5549' || printf('%02X00', length(u) // 2) || u AS first,
+  'FEFF00E0' || printf('%02X000000', 8 + length(u1) // 2) || '08005511' || '5549' || printf('%02X00', length(u1) // 2) || u1
+  || 'FEFF00E0' || '24000000' || '08004011' || '53510000' || '18000000' || 'FEFF00E0' || '10000000' || '08005011' || '5549' || '0800' || hex(encode('1.2.840')) || '00' || 'FEFF00E0' || '00000000' AS items,
+  '10001000' || '504E' || printf('%02X00', length(p) // 2) || p || '10002000' || '4C4F' || printf('%02X00', length(d) // 2) || d AS patient, printf('%02X00', n) AS n FROM e)
+"""
+
+
+@query(_BYTES_SQL + """
+SELECT CAST(c_custkey AS VARCHAR) AS file, first || '08001511' || '53510000' || printf('%02X000000', length(items) // 2) || items || patient AS head, '28001000' || '5553' || '0200' || n AS tail FROM b
+""")
+def part10_bytes(spark, sf_dir):
+    """The data set of each written file as hexadecimal digits, from the first UID to the patient's id, and its last element."""
+    files = part10.write_content(patient_elements(spark, sf_dir))
+    digits = F.hex("content")
+    start, end = F.locate("08001600", digits), F.locate("18007390", digits)
+    return files.select("file", F.substring(digits, start, end - start).alias("head"), F.substring(digits, F.length(digits) - 19, F.lit(20)).alias("tail"))
+
+
+_SEQUENCE_JSON = """'"00081115":{"vr":"SQ","Value":[{"00081155":{"vr":"UI","Value":["1.2.3.' || c_custkey || '.1"]}},{"00081140":{"vr":"SQ","Value":[{"00081150":{"vr":"UI","Value":["1.2.840"]}}]}},{}]},'"""
+
+
 @query("""
-SELECT CAST(c_custkey AS VARCHAR) AS file, '{"00080016":{"vr":"UI","Value":["1.2.840.10008.5.1.4.1.1.7"]},"00080018":{"vr":"UI","Value":["1.2.3.' || c_custkey || '"]},"00100010":{"vr":"PN","Value":[{"Alphabetic":"' || c_name || '"}]},"00100020":{"vr":"LO","Value":["' || c_custkey || '"]},"00280010":{"vr":"US","Value":[' || c_nationkey || ']}}' AS json FROM customer
+SELECT CAST(c_custkey AS VARCHAR) AS file, '{"00080016":{"vr":"UI","Value":["1.2.840.10008.5.1.4.1.1.7"]},"00080018":{"vr":"UI","Value":["1.2.3.' || c_custkey || '"]},' || """ + _SEQUENCE_JSON + """
+  || '"00100010":{"vr":"PN","Value":[{"Alphabetic":"' || c_name || '","Ideographic":"' || c_mktsegment || '"}]},"00100020":{"vr":"LO","Value":["' || c_custkey || '"]},"00189073":{"vr":"FD","Value":[' || c_acctbal || ']},"00280010":{"vr":"US","Value":[' || c_nationkey || ']}}' AS json FROM customer
 """)
 def dicom_json_write(spark, sf_dir):
-    return dicom_json.to_json(patient_elements(spark, sf_dir).where("vr != 'FD'"))
+    return dicom_json.to_json(patient_elements(spark, sf_dir))
+
 
+_PATHS = "(VALUES ('00080016', 'UI'), ('00080018', 'UI'), ('00081115', 'SQ'), ('00081115/0', ''), ('00081115/0/00081155', 'UI'), ('00081115/1', ''), ('00081115/1/00081140', 'SQ'), ('00081115/1/00081140/0', ''), ('00081115/1/00081140/0/00081150', 'UI'), ('00081115/2', ''), ('00100010', 'PN'), ('00100020', 'LO'), ('00189073', 'FD'), ('00280010', 'US')) t(path, vr)"
+_VALUE = "CASE path WHEN '00080016' THEN '1.2.840.10008.5.1.4.1.1.7' WHEN '00080018' THEN '1.2.3.' || c_custkey WHEN '00081115/0/00081155' THEN '1.2.3.' || c_custkey || '.1' WHEN '00081115/1/00081140/0/00081150' THEN '1.2.840' WHEN '00100010' THEN c_name || '=' || c_mktsegment WHEN '00100020' THEN CAST(c_custkey AS VARCHAR) WHEN '00189073' THEN CAST(c_acctbal AS VARCHAR) WHEN '00280010' THEN CAST(c_nationkey AS VARCHAR) END"
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS file, t.tag, t.vr, CASE t.tag WHEN 1048592 THEN '{\"Alphabetic\":\"' || c_name || '\"}' WHEN 1048608 THEN CAST(c_custkey AS VARCHAR) ELSE CAST(c_nationkey AS VARCHAR) END AS value FROM customer, (VALUES (1048592, 'PN'), (1048608, 'LO'), (2621456, 'US')) t(tag, vr)")
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS file, path, (length(path) - length(replace(path, '/', '')) + 1) // 2 AS depth, vr, {_VALUE} AS value FROM customer, {_PATHS}")
 def dicom_json_read(spark, sf_dir):
-    out = dicom_json.from_json(dicom_json.to_json(patient_elements(spark, sf_dir).where("vr IN ('PN', 'LO', 'US')")))
-    return out.select("file", "tag", "vr", F.get("value", F.lit(0)).alias("value"))
+    """Objects with nested items read from JSON that is made from the columns as text."""
+    text = F.expr("""concat('{"00080016":{"vr":"UI","Value":["1.2.840.10008.5.1.4.1.1.7"]},"00080018":{"vr":"UI","Value":["1.2.3.', c_custkey, '"]},"00081115":{"vr":"SQ","Value":[{"00081155":{"vr":"UI","Value":["1.2.3.', c_custkey,
+      '.1"]}},{"00081140":{"vr":"SQ","Value":[{"00081150":{"vr":"UI","Value":["1.2.840"]}}]}},{}]},"00100010":{"vr":"PN","Value":[{"Alphabetic":"', c_name, '","Ideographic":"', c_mktsegment, '"}]},"00100020":{"vr":"LO","Value":["', c_custkey,
+      '"]},"00189073":{"vr":"FD","Value":[', c_acctbal, ']},"00280010":{"vr":"US","Value":[', c_nationkey, ']}}')""")
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("file"), text.alias("json"))
+    return dicom_json.from_json(own).select("file", "path", "depth", "vr", F.get("value", F.lit(0)).alias("value"))
 
 
-@query("""
-SELECT CAST(c_custkey AS VARCHAR) AS file, '<NativeDicomModel><DicomAttribute tag="00100010" vr="PN"><Value number="1">' || c_name || '</Value></DicomAttribute><DicomAttribute tag="00100020" vr="LO"><Value number="1">' || c_custkey || '</Value></DicomAttribute><DicomAttribute tag="00280010" vr="US"><Value number="1">' || c_nationkey || '</Value></DicomAttribute></NativeDicomModel>' AS xml FROM customer
-""")
+def _attribute(tag: str, vr: str, inner: str) -> str:
+    return f"""'<DicomAttribute tag="{tag}" vr="{vr}">' || {inner} || '</DicomAttribute>'"""
+
+
+def _xml_value(v: str) -> str:
+    return f"""'<Value number="1">' || {v} || '</Value>'"""
+
+
+_SEQUENCE_XML = _attribute("00081115", "SQ", " || ".join([
+    """'<Item number="1">'""", _attribute("00081155", "UI", _xml_value("'1.2.3.' || c_custkey || '.1'")), "'</Item>'",
+    """'<Item number="2">'""", _attribute("00081140", "SQ", """'<Item number="1">' || """ + _attribute("00081150", "UI", _xml_value("'1.2.840'")) + " || '</Item>'"), """'</Item><Item number="3"></Item>'""",
+]))
+_XML = " || ".join([
+    _attribute("00080016", "UI", _xml_value("'1.2.840.10008.5.1.4.1.1.7'")), _attribute("00080018", "UI", _xml_value("'1.2.3.' || c_custkey")), _SEQUENCE_XML,
+    _attribute("00100010", "PN", """'<PersonName number="1"><Alphabetic><FamilyName>' || c_name || '</FamilyName></Alphabetic><Ideographic><FamilyName>' || c_mktsegment || '</FamilyName></Ideographic></PersonName>'"""),
+    _attribute("00100020", "LO", _xml_value("c_custkey")), _attribute("00189073", "FD", _xml_value("c_acctbal")), _attribute("00280010", "US", _xml_value("c_nationkey")),
+])
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS file, '<NativeDicomModel>' || {_XML} || '</NativeDicomModel>' AS xml FROM customer")
 def dicom_xml_write(spark, sf_dir):
-    return dicom_json.to_xml(patient_elements(spark, sf_dir).where("vr IN ('PN', 'LO', 'US')"))
+    return dicom_json.to_xml(patient_elements(spark, sf_dir))
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, true AS same FROM documents")
@@ -730,7 +785,7 @@ def assemble_stream(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    return files.shared_folder(spark)
 
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
@@ -738,17 +793,22 @@ def message_windows(spark, sf_dir):
     return stream_messages.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
 
 
-@query("""
-SELECT CAST(c_custkey AS VARCHAR) AS file, md5('(0008,0016) UI [1.2.840.10008.5.1.4.1.1.7] # 25, 1' || chr(10) || '(0008,0018) UI [1.2.3.' || c_custkey || '] # ' || length('1.2.3.' || c_custkey) || ', 1' || chr(10)
- || '(0010,0010) PN [' || c_name || '] # ' || length(c_name) || ', 1' || chr(10) || '(0010,0020) LO [' || c_custkey || '] # ' || length(CAST(c_custkey AS VARCHAR)) || ', 1' || chr(10) || '(0028,0010) US [' || c_nationkey || '] # ' || length(CAST(c_nationkey AS VARCHAR)) || ', 1') AS dump FROM customer
-""")
+def _line_sql(tag: str, vr: str, v: str) -> str:
+    return f"'({tag}) {vr} [' || {v} || '] # ' || length({v}) || ', 1'"
+
+
+_DUMP = " || chr(10) || ".join([
+    _line_sql("0008,0016", "UI", "'1.2.840.10008.5.1.4.1.1.7'"), _line_sql("0008,0018", "UI", "('1.2.3.' || c_custkey)"), "'(0008,1115) SQ [] # 0, 0'", "'  item 1'", "'    ' || " + _line_sql("0008,1155", "UI", "('1.2.3.' || c_custkey || '.1')"),
+    "'  item 2'", "'    (0008,1140) SQ [] # 0, 0'", "'      item 1'", "'        ' || " + _line_sql("0008,1150", "UI", "'1.2.840'"), "'  item 3'",
+    _line_sql("0010,0010", "PN", "(c_name || '=' || c_mktsegment)"), _line_sql("0010,0020", "LO", "CAST(c_custkey AS VARCHAR)"), _line_sql("0018,9073", "FD", "CAST(c_acctbal AS VARCHAR)"), _line_sql("0028,0010", "US", "CAST(c_nationkey AS VARCHAR)"),
+])
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS file, {_DUMP} AS dump FROM customer")
 def dataset_dump(spark, sf_dir):
-    """The text dump of each object: a line for each element, in the order of their paths."""
-    own = patient_elements(spark, sf_dir).where("vr != 'FD'")
-    shown = F.array_join(F.coalesce(F.col("s"), F.transform("i", lambda v: v.cast("string"))), "\\")
-    line = values.dump_line(F.col("tag"), F.col("vr"), shown, F.size(F.coalesce(F.col("s"), F.transform("i", lambda v: v.cast("string")))))
-    lines = own.select("file", F.struct("path", line.alias("line")).alias("l")).groupBy("file").agg(F.array_sort(F.collect_list("l")).alias("l"))
-    return lines.select("file", F.md5(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("dump"))
+    """The text dump of each object: a line for each element, those of items below their sequence."""
+    shown = F.coalesce(F.col("s"), F.transform("i", lambda v: v.cast("string")), F.transform("f", lambda v: v.cast("string")), F.array().cast("array<string>"))
+    return dicom_json.dump(patient_elements(spark, sf_dir), values.dump_line(F.col("tag"), F.col("vr"), F.array_join(shown, "\\"), F.size(shown)))
 
 
 @query("""

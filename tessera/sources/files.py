@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.sources import part10
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A local master alone may do without: one of its own is made there."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+    return tempfile.mkdtemp(prefix="spark-stream-")
+
+
 def file_names(objects: DataFrame, uid: str, order: str) -> DataFrame:
     """Adds `name`: the UID with other characters than letters, digits and dots as `_`; equal ones are numbered from the second on."""
     safe = F.regexp_replace(F.coalesce(F.col(uid), F.lit("unnamed")), r"[^\p{Alnum}.]", "_")

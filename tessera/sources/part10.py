@@ -1,8 +1,9 @@
 """DICOM Part 10 files as tables: binary files in, one row for each element out, and back.
 
 `read_elements` scans files with Spark's binaryFile source and parses each in the task that read it; nested items become rows whose
-path names the way to them (00081115/0/00081155), since Spark's schemas can't recurse. `tags` prunes while parsing: other
-elements, pixel data above all, are skipped without being copied. A file that can't be parsed is one row with `error` set.
+path names the way to them (00081115/0/00081155), since Spark's schemas can't recurse; every item is a row of its own too
+(00081115/0, tag FFFEE000, no VR), so empty ones are kept. `tags` prunes while parsing: other elements, pixel data above all,
+are skipped without being copied. A file that can't be parsed is one row with `error` set.
 """
 
 from __future__ import annotations
@@ -87,6 +88,7 @@ class Parser:
                 return start
             if tag != _ITEM:
                 raise ValueError(f"an item was expected, not {tag:08X}")
+            out.append((f"{path}/{k}", depth + 1, _ITEM, "", b""))
             _, at = self.rows(start, len(self.data) if length == UNDEFINED else start + length, f"{path}/{k}/", depth + 1, out)
             k += 1
         return at
@@ -209,30 +211,64 @@ def value_bytes(vr: str, s, i, f, b, little: bool = True) -> bytes:
     return bytes(b) if b is not None else b""
 
 
+def _encoded_level(children: dict[str, list], path: str, little: bool, explicit: bool) -> bytes:
+    """The elements below a path ("" the data set, else an item), in tag order; sequences and fragments with all they hold."""
+    out = []
+    for r in sorted((r for r in children.get(path, ()) if r["tag"] >> 16 != 2), key=lambda r: r["tag"]):
+        below = sorted(children.get(r["path"], ()), key=lambda x: int(x["path"].rsplit("/", 1)[1]))
+        order = "<" if little else ">"
+        head = lambda tag, n: struct.pack(order + "HHI", tag >> 16, tag & 0xFFFF, n)
+        if r["vr"] == "SQ":
+            items = [_encoded_level(children, x["path"], little, explicit) for x in below]
+            out.append(encoded(r["tag"], "SQ", b"".join(head(_ITEM, len(x)) + x for x in items), little, explicit))
+        elif below:
+            parts = [bytes(x["b"] or b"") for x in below]
+            parts = [x + b"\0" * (len(x) % 2) for x in parts]
+            out.append(struct.pack(order + "HH", 0x7FE0, 0x0010) + (b"OB\0\0" if explicit else b"") + struct.pack(order + "I", UNDEFINED))
+            out.append(b"".join(head(_ITEM, len(x)) + x for x in parts) + head(_SEQUENCE_END, 0))
+        else:
+            out.append(encoded(r["tag"], r["vr"], value_bytes(r["vr"], r["s"], r["i"], r["f"], r["b"], little), little, explicit))
+    return b"".join(out)
+
+
+def file_content(rows: list[dict], syntax: str) -> bytes:
+    """A Part 10 file of the element rows of one object, in any order. Text is written as UTF-8."""
+    little, explicit, deflated = _SYNTAX[syntax]
+    children: dict[str, list] = {}
+    for r in rows:
+        if r["tag"] != 0x00080005:
+            children.setdefault(r["path"].rpartition("/")[0], []).append(r)
+    for r in [x for x in rows if x["vr"] != "SQ" and x["path"].endswith("7FE00010/0")]:  # fragments: their element has no row of its own
+        own = r["path"][:-2]
+        children.setdefault(own.rpartition("/")[0], []).append({**r, "path": own, "b": None})
+    if any(r["s"] for r in rows):
+        children.setdefault("", []).append({"path": "00080005", "tag": 0x00080005, "vr": "CS", "s": ["ISO_IR 192"], "i": None, "f": None, "b": None})
+    data = _encoded_level(children, "", little, explicit)
+    by_tag = {r["tag"]: r for r in rows if r["depth"] == 0}
+    meta = encoded(0x00020001, "OB", b"\0\1")
+    for tag, own in ((0x00020002, 0x00080016), (0x00020003, 0x00080018)):
+        if own in by_tag and by_tag[own]["s"]:
+            meta += encoded(tag, "UI", by_tag[own]["s"][0].encode())
+    meta += encoded(0x00020010, "UI", syntax.encode())
+    packer = zlib.compressobj(wbits=-15)
+    return b"\0" * 128 + b"DICM" + encoded(0x00020000, "UL", struct.pack("<I", len(meta))) + meta + (packer.compress(data) + packer.flush() if deflated else data)
+
+
 def write_content(elements: DataFrame, syntax: str = "1.2.840.10008.1.2.1") -> DataFrame:
-    """(file, content): a Part 10 file of the top-level elements of each file, in tag order. Text is written as UTF-8.
+    """(file, content): a Part 10 file of the elements of each file, nested items and fragments too, in tag order.
 
-    All elements of a file meet in one task, as they must: a file is the unit. Items of sequences are not written.
+    The rows of a file are gathered, as they must: a file is the unit; many files are written in one Arrow batch. Rows with an
+    error are left out. An element that is there twice is written twice.
     """
-    little, explicit, deflated = _SYNTAX[syntax]
+    schema = pa.schema([("file", pa.string()), ("content", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = [file_content(rows, syntax) for rows in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(content, pa.binary())], schema=schema)
 
-    def build(t: pa.Table) -> pa.Table:
-        rows = sorted((r for r in t.to_pylist() if r["depth"] == 0 and r["vr"] not in ("SQ", None) and "/" not in r["path"]), key=lambda r: r["tag"])
-        body = encoded(0x00080005, "CS", b"ISO_IR 192", little, explicit) if any(r["s"] for r in rows) else b""
-        ordered = [(0x00080005, body)] if body else []
-        ordered += [(r["tag"], encoded(r["tag"], r["vr"], value_bytes(r["vr"], r["s"], r["i"], r["f"], r["b"], little), little, explicit)) for r in rows if r["tag"] >> 16 != 2 and r["tag"] != 0x00080005]
-        data = b"".join(x for _, x in sorted(ordered))
-        by_tag = {r["tag"]: r for r in rows}
-        meta = b""
-        for tag, vr, own in ((0x00020002, "UI", 0x00080016), (0x00020003, "UI", 0x00080018)):
-            if own in by_tag and by_tag[own]["s"]:
-                meta += encoded(tag, vr, by_tag[own]["s"][0].encode())
-        meta = encoded(0x00020001, "OB", b"\0\1") + meta + encoded(0x00020010, "UI", syntax.encode())
-        packer = zlib.compressobj(wbits=-15)
-        content = b"\0" * 128 + b"DICM" + encoded(0x00020000, "UL", struct.pack("<I", len(meta))) + meta + (packer.compress(data) + packer.flush() if deflated else data)
-        return pa.table({"file": [t.column("file")[0].as_py()], "content": pa.array([content], pa.binary())})
-
-    return elements.where("error IS NULL").groupBy("file").applyInArrow(build, "file string, content binary")
+    rows = F.collect_list(F.struct("path", "depth", "tag", "vr", "s", "i", "f", "b"))
+    return elements.where("error IS NULL").groupBy("file").agg(rows.alias("rows")).mapInArrow(run, "file string, content binary")
 
 
 def instances(elements: DataFrame, keywords: list[str]) -> DataFrame:

@@ -72,7 +72,7 @@ def test_json_and_xml(spark):
     back = {r.tag: r for r in dicom_json.from_json(spark.createDataFrame([("f", text)], "file string, json string")).collect()}
     assert back[0x00280010].value == ["512"] and bytes(back[0x7FE00010].inline) == b"\x12\x34"
     xml = dicom_json.to_xml(df).first().xml
-    assert '<DicomAttribute tag="00100020" vr="LO"/>' in xml and "&quot;Hans&quot;" in xml
+    assert '<DicomAttribute tag="00100020" vr="LO"/>' in xml and "<GivenName>&quot;Hans&quot;</GivenName>" in xml
 
 
 def test_frames(spark):
@@ -120,3 +120,26 @@ def test_messages_span_batches(spark, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(source)
     out = messages.run_available(messages.assembled(stream, "a", "seq", "d", "last"), str(tmp_path))
     assert sorted((r.association, r.message, r.parts, r.data) for r in out.collect()) == [(1, 0, 3, "xyz"), (2, 0, 1, "p")]
+
+
+def test_nested_items_come_back(spark):
+    """Items, empty ones and items of items, as files in every syntax and as JSON."""
+    rows = [("00081115", 0, "SQ", None), ("00081115/0", 1, "", None), ("00081115/0/00081140", 1, "SQ", None), ("00081115/0/00081140/0", 2, "", None), ("00081115/0/00081140/0/00081150", 2, "UI", ["1.3"]), ("00081115/0/00081155", 1, "UI", ["1.2"]), ("00081115/1", 1, "", None), ("00100010", 0, "PN", ["A^B=C=D"])]
+    tag = lambda p, vr: dicom_json.ITEM if vr == "" else int(p[-8:], 16)
+    df = spark.createDataFrame([("f", p, d, tag(p, vr), vr, s, None, None, None, None) for p, d, vr, s in rows], part10.ELEMENTS)
+    for syntax in ("1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.2", "1.2.840.10008.1.2.1.99"):
+        got = part10.parse_elements(part10.write_content(df, syntax), "file", "content").where("tag > 196608 AND tag != 524293").collect()
+        assert [(r.path, r.depth, r.vr, r.s) for r in got] == rows
+    text = dicom_json.to_json(df)
+    assert text.first().json == '{"00081115":{"vr":"SQ","Value":[{"00081140":{"vr":"SQ","Value":[{"00081150":{"vr":"UI","Value":["1.3"]}}]},"00081155":{"vr":"UI","Value":["1.2"]}},{}]},"00100010":{"vr":"PN","Value":[{"Alphabetic":"A^B","Ideographic":"C","Phonetic":"D"}]}}'
+    back = dicom_json.from_json(text).collect()
+    assert sorted((r.path, r.depth, r.vr, r.value) for r in back) == sorted(rows)
+    assert dicom_json.from_json(spark.createDataFrame([("f", None), ("g", "no json")], "file string, json string")).count() == 0
+
+
+def test_fragments_are_written(spark):
+    rows = [("f", f"7FE00010/{k}", 0, 0x7FE00010, "OB", None, None, None, bytearray(x), None) for k, x in enumerate((b"", b"abc", b"de"))]
+    df = spark.createDataFrame(rows, part10.ELEMENTS)
+    got = part10.parse_elements(part10.write_content(df, "1.2.840.10008.1.2.5"), "file", "content").where("tag = 2145386512").collect()
+    assert [(r.path, bytes(r.b or b"")) for r in got] == [("7FE00010/0", b""), ("7FE00010/1", b"abc\0"), ("7FE00010/2", b"de")]
+    assert dicom_json.to_json(df).first().json == '{"7FE00010":{"vr":"OB"}}'
