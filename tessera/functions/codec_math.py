@@ -113,3 +113,26 @@ def _samples_of(coefficients: Column, n: int) -> Column:
         return F.when(i % 2 == 0, x(k)).otherwise(odd)
 
     return let(evens, lambda e: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: sample(e, i)))
+
+
+def transposed(samples: Column, rows: int, cols: int) -> Column:
+    """An array of rows * cols samples, row by row, as one of its columns."""
+    return F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), lambda i: F.get(samples, ((i % rows) * cols + F.floor(i / rows)).cast("int")))
+
+
+def along_rows(samples: Column, rows: int, cols: int, change) -> Column:
+    """`change` of every row of an array of rows * cols samples."""
+    return let(samples, lambda x: F.flatten(F.array(*[change(F.slice(x, r * cols + 1, cols)) for r in range(rows)])))
+
+
+def wavelet_53_frame(samples: Column, rows: int, cols: int) -> Column:
+    """One level of the 5/3 transform in two dimensions, rows first. A null array, or one of another length, is null or holds nulls."""
+    across = along_rows(samples, rows, cols, lambda r: wavelet_53(r, cols))
+    down = let(across, lambda x: along_rows(transposed(x, rows, cols), cols, rows, lambda c: wavelet_53(c, rows)))
+    return let(down, lambda x: transposed(x, cols, rows))
+
+
+def wavelet_53_frame_inverse(coefficients: Column, rows: int, cols: int) -> Column:
+    """The samples of `wavelet_53_frame`."""
+    up = let(coefficients, lambda x: along_rows(transposed(x, rows, cols), cols, rows, lambda c: wavelet_53_inverse(c, rows)))
+    return let(up, lambda x: along_rows(transposed(x, cols, rows), rows, cols, lambda r: wavelet_53_inverse(r, cols)))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
+from calendar import monthrange
+from datetime import date, timedelta
+
+from pyspark.sql import Column, functions as F, types as T
 
 from tessera.functions.values import parse_da
 
@@ -52,4 +56,47 @@ def date_range(c: Column, key: str) -> Column:
 
 
 def single_value(c: Column, key: str) -> Column:
+    """True where the value is the key; the empty key matches everything."""
     return F.lit(True) if key == "" else c == key
+
+
+def _day(key: str, past: bool) -> date | None:
+    """The first day that isn't before a partial date, or with `past` the first that is after it; null where it doesn't parse."""
+    plain = key.replace(".", "") if re.fullmatch(r"[0-9]{4}\.[0-9]{2}\.[0-9]{2}", key) else key
+    if not re.fullmatch(r"[0-9]{4}([0-9]{2}){0,2}", plain):
+        return None
+    y, m, d = int(plain[:4]), int(plain[4:6] or 0), int(plain[6:8] or 0)
+    if not 0 < y < 9999:
+        return None
+    if m == 0:
+        return date(y, 1, 1)
+    if m > 12:
+        return date(y + 1, 1, 1)
+    if d == 0:
+        return date(y, m, 1)
+    if d > monthrange(y, m)[1]:
+        return date(y, m, 1) + timedelta(days=monthrange(y, m)[1])
+    return date(y, m, d) + timedelta(days=int(past))
+
+
+def typed_date_range(c: Column, key: str) -> Column:
+    """`date_range` for a column of dates or timestamps, by two bounds that a scan can prune by."""
+    fits = c.isNotNull()
+    if key == "":
+        return fits
+    low, high = (None if b is None else _day(b, past) for b, past in zip(_bounds(key), (False, True), strict=True))
+    fits = fits if low is None else fits & (c >= F.lit(low))
+    return fits if high is None else fits & (c < F.lit(high))
+
+
+def typed_uid_list(c: Column, key: str) -> Column:
+    """`uid_list` for a column of whole numbers, as a list of numbers; entries that aren't written like one match nothing."""
+    return F.lit(True) if key == "" else c.isin([int(k) for k in key.split("\\") if re.fullmatch(r"0|-?[1-9][0-9]{0,18}", k)])
+
+
+def is_date(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def is_whole(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))

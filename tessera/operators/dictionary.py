@@ -1,28 +1,45 @@
-"""Tag lookups: exact entries by an equi-join, repeating entries by a range condition on a table of a few rows."""
+"""Tag lookups: exact entries by an equi-join with a constant table, repeating entries and other ranges by conditions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.plans.dims import dim_tag, dim_tag_range
+from tessera.plans.dims import TAG_RANGE, dim_tag
+
+#: Most ranges of a dimension that become conditions.
+MOST_RANGES = 1000
 
 
 def with_entry(df: DataFrame, tag: str) -> DataFrame:
-    """Adds vr and keyword of each tag (group * 65536 + element): the exact entry, else the first repeating one, else UN."""
-    spark = df.sparkSession
-    exact = dim_tag(spark).select(F.col("tag").alias("__tag"), F.col("vr").alias("__vr"), F.col("keyword").alias("__keyword"))
-    out = df.join(F.broadcast(exact), F.col(tag) == F.col("__tag"), "left")
+    """Adds vr and keyword of each tag (group * 65536 + element): the exact entry, else the first repeating one, else UN.
+
+    A null tag is UN without a keyword. Every row stays, repeated ones too; columns named vr and keyword are replaced.
+    """
+    exact = dim_tag(df.sparkSession).select(F.col("tag").alias("__tag"), F.col("vr").alias("__vr"), F.col("keyword").alias("__keyword"))
+    out = df.join(F.broadcast(exact), F.col(tag) == F.col("__tag"), "left")  # a constant table
     group, element = F.floor(F.col(tag) / 65536), F.col(tag) % 65536
     vr = keyword = F.lit(None).cast("string")
-    for r in reversed(dim_tag_range(spark).collect()):  # a constant table of a few rows
-        parity = {"any": F.lit(True), "even": group % 2 == 0, "odd": group % 2 == 1}[r["parity"]]
-        fits = group.between(r["group_low"], r["group_high"]) & element.between(r["element_low"], r["element_high"]) & parity
-        vr, keyword = F.when(fits, r["vr"]).otherwise(vr), F.when(fits, r["keyword"]).otherwise(keyword)
-    return out.select(*df.columns, F.coalesce("__vr", vr, F.lit("UN")).alias("vr"), F.coalesce("__keyword", keyword).alias("keyword"))
+    for group_low, group_high, element_low, element_high, parity, own_vr, own_keyword in reversed(TAG_RANGE):
+        fits = group.between(group_low, group_high) & element.between(element_low, element_high) & {"any": F.lit(True), "even": group % 2 == 0, "odd": group % 2 == 1}[parity]
+        vr, keyword = F.when(fits, own_vr).otherwise(vr), F.when(fits, own_keyword).otherwise(keyword)
+    kept = [c for c in df.columns if c not in ("vr", "keyword")]
+    return out.select(*kept, F.coalesce("__vr", vr, F.lit("UN")).alias("vr"), F.coalesce("__keyword", keyword).alias("keyword"))
 
 
 def range_lookup(df: DataFrame, value: str, ranges: DataFrame, low: str, high: str, order: str) -> DataFrame:
-    """Each row with the first range (by `order`) that holds its value; ranges is a small dimension."""
-    out = df.join(F.broadcast(ranges), F.col(value).between(F.col(low), F.col(high)), "left")
+    """Each row with the columns of the first range (by `order`) that holds its value, null where none does or the value is null.
+
+    The ranges are a dimension of at most MOST_RANGES rows (more are an error) and become conditions of the row itself: no row moves,
+    repeated rows stay. Ranges with a null bound hold nothing. A column of `df` named like one of the ranges' is replaced.
+    """
+    rows = ranges.orderBy(order).limit(MOST_RANGES + 1).collect()
+    if len(rows) > MOST_RANGES:
+        raise ValueError(f"more than {MOST_RANGES} ranges")
     names = [c for c in ranges.columns if c not in (low, high)]
-    return out.groupBy(*df.columns).agg(*[F.min_by(c, order).alias(c) for c in names])
+    kind = ranges.select(*names).schema
+    found = F.lit(None).cast(kind)
+    for r in reversed(rows):
+        own = F.struct(*[F.lit(r[n]).cast(kind[n].dataType).alias(n) for n in names])
+        found = F.when(F.col(value).between(F.lit(r[low]), F.lit(r[high])), own).otherwise(found)
+    own = df.withColumn("__found", found)
+    return own.select(*[c for c in df.columns if c not in names], *[F.col(f"__found.{n}").alias(n) for n in names])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.functions import matching
 from tessera.plans.dims import STATUS, TAG
@@ -16,25 +16,28 @@ from tessera.plans.dims import STATUS, TAG
 _VR = {keyword: vr for _, _, vr, keyword in TAG}
 
 
-def key_predicate(keyword: str, c: Column, key: str) -> Column:
-    """Matching by the VR of the attribute: ranges of dates, lists of UIDs, wildcards for other text, equality for the rest."""
+def key_predicate(keyword: str, c: Column, key: str, kind: T.DataType | None = None) -> Column:
+    """Matching by the VR of the attribute: ranges of dates, lists of UIDs, wildcards for other text, equality for the rest.
+
+    Columns whose `kind` is a date or a whole number are compared by typed constants, which reach the scan.
+    """
     vr = _VR.get(keyword, "LO")
     if key == "":
         return F.lit(True)
     if vr == "DA":
-        return matching.date_range(c, key)
+        return matching.typed_date_range(c, key) if kind is not None and matching.is_date(kind) else matching.date_range(c, key)
     if vr == "UI":
-        return matching.uid_list(c, key)
+        return matching.typed_uid_list(c, key) if kind is not None and matching.is_whole(kind) else matching.uid_list(c, key)
     if vr in ("US", "UL", "IS", "DS"):
         return matching.single_value(c, key)
     return matching.wildcard(c, key)
 
 
-def matched(df: DataFrame, keys: dict[str, str], columns: dict[str, Column]) -> DataFrame:
-    """Rows that match every key whose attribute the level has."""
+def matched(df: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Rows that match every key whose attribute the level has. A null value matches the empty key alone."""
     for keyword, key in keys.items():
-        if keyword in columns and key != "":
-            df = df.where(key_predicate(keyword, columns[keyword], key))
+        if keyword in df.columns and key != "":
+            df = df.where(key_predicate(keyword, F.col(keyword), key, df.schema[keyword].dataType))
     return df
 
 
@@ -47,24 +50,28 @@ class Hierarchy:
     instances: DataFrame  #: StudyInstanceUID, Modality, and what else an instance has
 
     def find_patients(self, keys: dict[str, str]) -> DataFrame:
-        return matched(self.patients, keys, {c: F.col(c) for c in self.patients.columns})
+        return matched(self.patients, keys)
 
     def find_studies(self, keys: dict[str, str]) -> DataFrame:
-        """Matching studies with their patient and NumberOfStudyRelatedInstances; the instances are counted before they are joined."""
-        studies = matched(self.studies, keys, {c: F.col(c) for c in self.studies.columns})
+        """Matching studies with their patient and NumberOfStudyRelatedInstances. Only instances of matching studies are counted, before they
+        are joined."""
+        studies = matched(self.studies, keys)
         out = studies.join(self.find_patients(keys), "PatientID")
-        related = self.instances.groupBy("StudyInstanceUID").agg(F.count("*").alias("NumberOfStudyRelatedInstances"))
+        instances = self.instances
+        if any(keys.get(c) for c in (*self.studies.columns, *self.patients.columns)):
+            instances = instances.join(out.select("StudyInstanceUID"), "StudyInstanceUID", "left_semi")
+        related = instances.groupBy("StudyInstanceUID").agg(F.count("*").alias("NumberOfStudyRelatedInstances"))
         return out.join(related, "StudyInstanceUID", "left").withColumn("NumberOfStudyRelatedInstances", F.coalesce("NumberOfStudyRelatedInstances", F.lit(0)))
 
     def find_series(self, keys: dict[str, str]) -> DataFrame:
         """A series is what a study has of one modality."""
-        own = matched(self.instances, keys, {c: F.col(c) for c in self.instances.columns})
+        own = matched(self.instances, keys)
         series = own.groupBy("StudyInstanceUID", "Modality").agg(F.count("*").alias("NumberOfSeriesRelatedInstances"))
         return series.join(self.find_studies(keys).select("StudyInstanceUID", "PatientID", "StudyDate"), "StudyInstanceUID")
 
     def find_instances(self, keys: dict[str, str]) -> DataFrame:
-        own = matched(self.instances, keys, {c: F.col(c) for c in self.instances.columns})
-        studies = matched(self.studies, keys, {c: F.col(c) for c in self.studies.columns}).join(self.find_patients(keys), "PatientID", "left_semi")
+        own = matched(self.instances, keys)
+        studies = matched(self.studies, keys).join(self.find_patients(keys), "PatientID", "left_semi")
         return own.join(studies.select("StudyInstanceUID", "PatientID"), "StudyInstanceUID")
 
     def related_counts(self) -> DataFrame:

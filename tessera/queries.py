@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def archive(spark: SparkSession, sf_dir: str) -> Hierarchy:
     patients = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("PatientID"), F.col("c_name").alias("PatientName"))
     studies = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("StudyInstanceUID"), F.col("o_custkey").alias("PatientID"), F.date_format("o_orderdate", "yyyyMMdd").alias("StudyDate"), F.col("o_orderpriority").alias("StudyDescription"))
+        F.col("o_orderkey").alias("StudyInstanceUID"), F.col("o_custkey").alias("PatientID"), F.col("o_orderdate").alias("StudyDate"), F.col("o_orderpriority").alias("StudyDescription"))
     instances = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("StudyInstanceUID"), F.col("l_returnflag").alias("Modality"), F.col("l_linenumber").alias("InstanceNumber"))
     return Hierarchy(patients, studies, instances)
 
@@ -58,7 +58,7 @@ def find_study(spark, sf_dir):
 
 
 def study_rows(out: DataFrame) -> DataFrame:
-    return out.select(F.col("StudyInstanceUID").alias("study"), F.col("PatientID").alias("patient"), F.col("PatientName").alias("name"), F.col("StudyDate").alias("study_date"), F.col("NumberOfStudyRelatedInstances").alias("instances"))
+    return out.select(F.col("StudyInstanceUID").alias("study"), F.col("PatientID").alias("patient"), F.col("PatientName").alias("name"), F.date_format("StudyDate", "yyyyMMdd").alias("study_date"), F.col("NumberOfStudyRelatedInstances").alias("instances"))
 
 
 @query(r"SELECT c_custkey AS patient, c_name AS name FROM customer WHERE c_name LIKE '%#%1_' ESCAPE '\'")
@@ -68,7 +68,8 @@ def find_patient_wildcard(spark, sf_dir):
 
 @query("SELECT o_orderkey AS study FROM orders WHERE CAST(o_orderkey AS VARCHAR) IN ('1', '5', '7', '77', '140')")
 def find_uid_list(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where(matching.uid_list(F.col("o_orderkey").cast("string"), "1\\5\\7\\77\\140")).select(F.col("o_orderkey").alias("study"))
+    own = query_retrieve.matched(archive(spark, sf_dir).studies, {"StudyInstanceUID": "1\\5\\7\\77\\140"})
+    return own.select(F.col("StudyInstanceUID").alias("study"))
 
 
 @query("""
@@ -76,7 +77,17 @@ SELECT o_orderkey AS study FROM orders
 WHERE year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) <= 19970000
 """)
 def find_date_open_ended(spark, sf_dir):
-    return archive(spark, sf_dir).studies.where(matching.date_range(F.col("StudyDate"), "-1997")).select(F.col("StudyInstanceUID").alias("study"))
+    return query_retrieve.matched(archive(spark, sf_dir).studies, {"StudyDate": "-1997"}).select(F.col("StudyInstanceUID").alias("study"))
+
+
+@query("""
+SELECT o_orderkey AS study FROM orders
+WHERE year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) BETWEEN 19950231 AND 19980400
+""")
+def find_date_as_text(spark, sf_dir):
+    """An archive that holds dates as text, with bounds that aren't in the calendar."""
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("study"), F.date_format("o_orderdate", "yyyyMMdd").alias("StudyDate"))
+    return query_retrieve.matched(own, {"StudyDate": "19950231-199804"}).select("study")
 
 
 @query("""
@@ -344,11 +355,12 @@ def palette_lookup(spark, sf_dir):
     return samples(spark, sf_dir).select("vec_id", "i", pixels.palette_entry(table_, F.col("p"), 100, 256, 16).alias("red"))
 
 
-@query(_FRAMES + ", y AS (SELECT vec_id, unnest(range(0, 21)) AS k, p FROM f), t AS (SELECT vec_id, k, CAST(p[k * 3 + 1] % 256 AS DOUBLE) AS y, CAST(p[k * 3 + 2] % 256 AS DOUBLE) AS cb, CAST(p[k * 3 + 3] % 256 AS DOUBLE) AS cr FROM y) SELECT vec_id, CAST(k AS INT) AS k, CAST(greatest(0, least(255, round(y + 1.402::DOUBLE * (cr - 128)))) AS INT) AS r, CAST(greatest(0, least(255, round(y - 0.344136::DOUBLE * (cb - 128) - 0.714136::DOUBLE * (cr - 128)))) AS INT) AS g, CAST(greatest(0, least(255, round(y + 1.772::DOUBLE * (cb - 128)))) AS INT) AS b FROM t")
+@query(_FRAMES + ", y AS (SELECT vec_id, unnest(range(0, 64)) AS k, p FROM f), t AS (SELECT vec_id, k, CAST(p[k + 1] % 256 AS DOUBLE) AS y, CAST(p[(k + 1) % 64 + 1] % 256 AS DOUBLE) AS cb, CAST(p[(k + 2) % 64 + 1] % 256 AS DOUBLE) AS cr FROM y) SELECT vec_id, CAST(k AS INT) AS k, CAST(greatest(0, least(255, round(y + 1.402::DOUBLE * (cr - 128)))) AS INT) AS r, CAST(greatest(0, least(255, round(y - 0.344136::DOUBLE * (cb - 128) - 0.714136::DOUBLE * (cr - 128)))) AS INT) AS g, CAST(greatest(0, least(255, round(y + 1.772::DOUBLE * (cb - 128)))) AS INT) AS b FROM t")
 def ybr_to_rgb(spark, sf_dir):
-    own = frames_of(spark, sf_dir).select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("k"), "px")
-    at = lambda j: (F.element_at("px", F.col("k") * 3 + j) % 256).cast("double")
-    r, g, b = pixels.ybr_to_rgb(at(1), at(2), at(3))
+    """Every sample as a brightness with the next two as its colour."""
+    own = frames_of(spark, sf_dir).select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k"), "px")
+    at = lambda j: (F.get("px", (F.col("k") + j) % 64) % 256).cast("double")
+    r, g, b = pixels.ybr_to_rgb(at(0), at(1), at(2))
     return own.select("vec_id", "k", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
@@ -356,14 +368,14 @@ def _exploded(spark, sf_dir, change: Callable[[Column], Column]) -> DataFrame:
     return frames_of(spark, sf_dir).select("vec_id", F.posexplode(change(F.col("px"))).alias("i", "p"))
 
 
-@query(_FRAMES + f"SELECT vec_id, CAST(i AS INT) AS i, {_AT('(i % 3) * 21 + i // 3')} AS p FROM f, LATERAL (SELECT unnest(range(0, 63)) AS i)")
+@query(_FRAMES + f"SELECT vec_id, CAST(i AS INT) AS i, {_AT('(i % 4) * 16 + i // 4')} AS p FROM f, LATERAL (SELECT unnest(range(0, 64)) AS i)")
 def planar_interleave(spark, sf_dir):
-    return _exploded(spark, sf_dir, lambda px: pixels.planar_to_interleaved(px, 21))
+    return _exploded(spark, sf_dir, lambda px: pixels.planar_to_interleaved(px, 16, 4))
 
 
-@query(_FRAMES + f"SELECT vec_id, CAST(i AS INT) AS i, {_AT('(i % 21) * 3 + i // 21')} AS p FROM f, LATERAL (SELECT unnest(range(0, 63)) AS i)")
+@query(_FRAMES + f"SELECT vec_id, CAST(i AS INT) AS i, {_AT('(i % 16) * 4 + i // 16')} AS p FROM f, LATERAL (SELECT unnest(range(0, 64)) AS i)")
 def planar_split(spark, sf_dir):
-    return _exploded(spark, sf_dir, lambda px: pixels.interleaved_to_planar(px, 21))
+    return _exploded(spark, sf_dir, lambda px: pixels.interleaved_to_planar(px, 16, 4))
 
 
 @query(_FRAMES + f"SELECT vec_id, CAST(i AS INT) AS i, {_AT('(7 - i % 8) * 8 + i // 8')} AS p FROM f, LATERAL (SELECT unnest(range(0, 64)) AS i)")
@@ -458,11 +470,26 @@ def rct_forward(spark, sf_dir):
     return own.withColumns({"r": r, "g": g, "bl": b})
 
 
-@query(_FRAMES + """, h AS (SELECT vec_id, p, list_transform(range(0, 4), lambda k: p[2 * k + 2] - CAST(floor((p[2 * k + 1] + CASE WHEN k = 3 THEN p[7] ELSE p[2 * k + 3] END) / 2.0) AS INT)) AS d FROM f)
-SELECT vec_id, CAST(i AS INT) AS i, CASE WHEN i < 4 THEN p[2 * i + 1] + CAST(floor((d[greatest(i, 1)] + d[i + 1] + 2) / 4.0) AS INT) ELSE d[i - 3] END AS p FROM h, LATERAL (SELECT unnest(range(0, 8)) AS i)""")
+def _lifted(source: str, keys: str) -> str:
+    """The 5/3 transform of an array p of 8 samples, as SQL: low half, then high half."""
+    high = f"SELECT {keys}, p, list_transform(range(0, 4), lambda k: p[2 * k + 2] - CAST(floor((p[2 * k + 1] + CASE WHEN k = 3 THEN p[7] ELSE p[2 * k + 3] END) / 2.0) AS INT)) AS d FROM ({source})"
+    return f"SELECT {keys}, list_concat(list_transform(range(0, 4), lambda i: p[2 * i + 1] + CAST(floor((d[greatest(i, 1)] + d[i + 1] + 2) / 4.0) AS INT)), d) AS p FROM ({high})"
+
+
+_ROWS = "SELECT vec_id, r, list_slice(p, CAST(r * 8 + 1 AS INT), CAST(r * 8 + 8 AS INT)) AS p FROM f, LATERAL (SELECT unnest(range(0, 8)) AS r)"
+_SPREAD = "SELECT vec_id, r * 8 + c AS i, p[CAST(c AS INT) + 1] AS p FROM x, LATERAL (SELECT unnest(range(0, 8)) AS c)"
+
+
+@query(_FRAMES + f", x AS ({_lifted(_ROWS, 'vec_id, r')}) SELECT vec_id, CAST(i AS INT) AS i, p FROM ({_SPREAD})")
 def wavelet_rows(spark, sf_dir):
-    """One level of the 5/3 transform of the first row of each frame."""
-    return _exploded(spark, sf_dir, lambda px: codec_math.wavelet_53(F.slice(px, 1, 8), 8))
+    """One level of the 5/3 transform of every row of each frame."""
+    return _exploded(spark, sf_dir, lambda px: codec_math.along_rows(px, 8, 8, lambda row: codec_math.wavelet_53(row, 8)))
+
+
+@query(_FRAMES + f", x AS ({_lifted(_ROWS, 'vec_id, r')}), c AS (SELECT vec_id, i % 8 AS c, list(p ORDER BY i) AS p FROM ({_SPREAD}) GROUP BY 1, 2), y AS ({_lifted('SELECT * FROM c', 'vec_id, c')}) SELECT vec_id, CAST(r * 8 + c AS INT) AS i, p[CAST(r AS INT) + 1] AS p FROM y, LATERAL (SELECT unnest(range(0, 8)) AS r)")
+def wavelet_frames(spark, sf_dir):
+    """One level of the 5/3 transform of each frame, along its rows and then its columns."""
+    return _exploded(spark, sf_dir, lambda px: codec_math.wavelet_53_frame(px, 8, 8))
 
 
 @query(_SAMPLES + "SELECT vec_id, CAST(i AS INT) AS i, CAST(sign(p - 1800) * floor(abs(p - 1800) / 12.5) AS INT) AS q FROM s")
@@ -793,6 +820,19 @@ def message_windows(spark, sf_dir):
     return stream_messages.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
 
 
+@query("""
+SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2
+HAVING time_bucket(INTERVAL 6 HOUR, min(ts), TIMESTAMP '2000-01-01') + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY
+""")
+def message_windows_stream(spark, sf_dir):
+    """The same windows of the stream of events: those that the watermark has passed are given out, once."""
+    stream = stream_messages.message_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
+    # watermarks need instants: wall clock times count as UTC, whatever the session's time zone
+    stream = stream.withColumn("ts", F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))"))
+    out = stream_messages.run_available(stream_messages.windowed_counts(stream, "ts", "event_type"), _folder(spark))
+    return out.withColumn("start", F.expr("timestampadd(MICROSECOND, unix_micros(start), TIMESTAMP_NTZ'1970-01-01 00:00:00')"))
+
+
 def _line_sql(tag: str, vr: str, v: str) -> str:
     return f"'({tag}) {vr} [' || {v} || '] # ' || length({v}) || ', 1'"
 
@@ -831,10 +871,11 @@ def pixel_minmax(spark, sf_dir):
     return own.groupBy("label").agg(F.sum(F.size("px").cast("long")).alias("n"), F.min(F.array_min("px")).alias("low"), F.max(F.array_max("px")).alias("high"), F.sum(total).alias("total"))
 
 
-@query(_FRAMES + "SELECT vec_id, CAST(i AS INT) AS i, p[CAST(i AS INT) + 1] AS p FROM f, LATERAL (SELECT unnest(range(0, 8)) AS i)")
+@query(_FRAMES + "SELECT vec_id, CAST(i AS INT) AS i, p[CAST(i AS INT) + 1] AS p FROM f, LATERAL (SELECT unnest(range(0, 64)) AS i)")
 def wavelet_roundtrip(spark, sf_dir):
-    """The first row of each frame through the 5/3 transform and back."""
-    return _exploded(spark, sf_dir, lambda px: codec_math.wavelet_53_inverse(codec_math.wavelet_53(F.slice(px, 1, 8), 8), 8))
+    """Each frame through the 5/3 transform of its rows and columns and back."""
+    own = frames_of(spark, sf_dir).withColumn("px", codec_math.wavelet_53_frame(F.col("px"), 8, 8))
+    return own.select("vec_id", F.posexplode(codec_math.wavelet_53_frame_inverse(F.col("px"), 8, 8)).alias("i", "p"))
 
 
 @query(_NEIGHBOURS + "SELECT vec_id, CAST(k AS INT) AS k, CAST(round(0.299::DOUBLE * a + 0.587::DOUBLE * b + 0.114::DOUBLE * c) AS INT) AS y, CAST(round(-0.16875::DOUBLE * a - 0.33126::DOUBLE * b + 0.5::DOUBLE * c) AS INT) AS cb, CAST(round(0.5::DOUBLE * a - 0.41869::DOUBLE * b - 0.08131::DOUBLE * c) AS INT) AS cr FROM n")

@@ -42,16 +42,22 @@ def windowed_counts(messages: DataFrame, ts: str, service: str, late: str = "1 d
     return messages.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), service).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), service, "n")
 
 
-def assembled(pdvs: DataFrame, association: str, order: str, data: str, is_last: str) -> DataFrame:
+def assembled(pdvs: DataFrame, association: str, order: str, data: str, is_last: str, idle_ms: int | None = None) -> DataFrame:
     """(association, message, parts, data): whole messages of a stream of PDVs, numbered from 0 in each association.
 
     What an association has sent of a message that hasn't ended is its state, so a message may span micro-batches. PDVs of an
-    association arrive in order from batch to batch; within one they are ordered by `order`. State is dropped when a message ends.
+    association arrive in order from batch to batch; within one they are ordered by `order`. The state of an association that sends
+    nothing for `idle_ms` is removed, and what it held of a message with it; one that sends again then is numbered from 0. Without
+    `idle_ms` a number and an unfinished message for each association stay: right for a stream that ends when all is read, which with a
+    timeout would wait for it.
     """
     own = pdvs.select(F.col(association).alias("association"), F.col(order).alias("seq"), F.col(data).cast("string").alias("data"), F.col(is_last).alias("is_last"))
     kind = own.schema["association"].dataType.simpleString()
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         number, parts, held = state.get if state.exists else (0, 0, "")
         rows = sorted((t for f in frames for t in zip(f["seq"], f["data"], f["is_last"], strict=True)), key=lambda r: r[0])
         out = []
@@ -61,6 +67,8 @@ def assembled(pdvs: DataFrame, association: str, order: str, data: str, is_last:
                 out.append((key[0], number, parts, held))
                 number, parts, held = number + 1, 0, ""
         state.update((number, parts, held))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["association", "message", "parts", "data"])
 
-    return own.groupBy("association").applyInPandasWithState(step, f"association {kind}, message long, parts long, data string", "message long, parts long, data string", "append", GroupStateTimeout.NoTimeout)
+    return own.groupBy("association").applyInPandasWithState(step, f"association {kind}, message long, parts long, data string", "message long, parts long, data string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -1,8 +1,13 @@
 import struct
+from datetime import date, timedelta
+
+import pytest
 
 from pyspark.sql import functions as F
 
+from tessera.functions import matching
 from tessera.operators import dictionary, frames, negotiation, query_retrieve
+from tessera.queries import archive
 from tessera.sources import dicom_json, part10
 from tessera.streaming import messages
 
@@ -143,3 +148,25 @@ def test_fragments_are_written(spark):
     got = part10.parse_elements(part10.write_content(df, "1.2.840.10008.1.2.5"), "file", "content").where("tag = 2145386512").collect()
     assert [(r.path, bytes(r.b or b"")) for r in got] == [("7FE00010/0", b""), ("7FE00010/1", b"abc\0"), ("7FE00010/2", b"de")]
     assert dicom_json.to_json(df).first().json == '{"7FE00010":{"vr":"OB"}}'
+
+
+def test_ranges_keep_repeated_rows(spark):
+    ranges = spark.createDataFrame([(1, 10, 0, "small"), (8, 25, 1, "middle"), (None, 3, 2, "none")], "low int, high int, entry int, band string")
+    df = spark.createDataFrame([(1, 9), (1, 9), (2, 20), (3, None), (4, 99)], "k int, v int").withColumn("band", F.lit("own"))
+    got = sorted((r.k, r.band) for r in dictionary.range_lookup(df, "v", ranges, "low", "high", "entry").collect())
+    assert got == [(1, "small"), (1, "small"), (2, "middle"), (3, None), (4, None)]
+
+
+@pytest.mark.parametrize("key", ["1997", "19970304", "1997.03.04", "-1997", "1997-", "199702-19970331", "19970231-", "-19970231", "-199713", "199700-199712", "x-1997", "-", ""])
+def test_typed_dates_match_as_text_does(spark, key):
+    days = [date(1996, 12, 31) + timedelta(days=k) for k in range(0, 460, 3)] + [date(1997, 1, 1), date(1997, 2, 28), date(1997, 3, 1), date(1997, 3, 4), None]
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    got = df.select(F.coalesce(matching.typed_date_range(F.col("d"), key), F.lit(False)).alias("typed"), matching.date_range(F.date_format("d", "yyyyMMdd"), key).alias("text")).collect()
+    assert [r.typed for r in got] == [r.text for r in got]
+
+
+def test_typed_keys_reach_the_scan(spark, sf_dir):
+    studies = archive(spark, sf_dir).studies
+    plan = lambda keys: query_retrieve.matched(studies, keys)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in plan({"StudyDate": "1996-"}) and "LessThan(o_orderdate" in plan({"StudyDate": "-1997"})
+    assert "In(o_orderkey" in plan({"StudyInstanceUID": "1\\5"}) and "StringStartsWith(o_orderpriority" in plan({"StudyDescription": "1*"})
