@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.functions import charset, codec_math, matching, pdu, pixels, png, rle, values
-from tessera.operators import dictionary, frames, images, negotiation, query_retrieve
+from tessera.functions import charset, codec_math, pdu, pixels, png, rle, tags, values
+from tessera.operators import datasets, dictionary, frames, images, negotiation, query_retrieve
 from tessera.operators.query_retrieve import Hierarchy
 from tessera.plans import dims
 from tessera.sources import dicom_json, files, part10
@@ -883,3 +883,77 @@ def ict_forward(spark, sf_dir):
     y, cb, cr = codec_math.irreversible_colour(F.col("a"), F.col("b"), F.col("c"))
     whole = lambda c: F.round(c).cast("int")
     return _neighbours(spark, sf_dir).select("vec_id", "k", whole(y).alias("y"), whole(cb).alias("cb"), whole(cr).alias("cr"))
+
+
+# ---- data sets ----
+
+
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS file, path, status, value, n_items FROM customer JOIN (VALUES
+  (0, '/00081115/1/00081140/0/00081150/', 'found', '1.2.840', NULL::BIGINT), (1, '00081115/3/00081155', 'out of range', NULL, 3), (2, '00081115', 'found', NULL, 3), (3, '00100010/0/00081155', 'not a sequence', NULL, NULL),
+  (4, '00081115/0/00081150', 'no element', NULL, NULL), (5, '00081115/1', 'invalid', NULL, NULL), (6, '00081115/2/00081155', 'no element', NULL, NULL)) t(k, path, status, value, n_items) ON c_custkey % 7 = k
+""")
+def attribute_paths(spark, sf_dir):
+    """A path of each object, resolved."""
+    paths = ["/00081115/1/00081140/0/00081150/", "00081115/3/00081155", "00081115", "00100010/0/00081155", "00081115/0/00081150", "00081115/1", "00081115/2/00081155"]
+    key = F.col("c_custkey")
+    requests = table(spark, sf_dir, "customer").select(key.cast("string").alias("file"), F.get(F.array(*map(F.lit, paths)), (key % 7).cast("int")).alias("path"))
+    out = datasets.resolve(patient_elements(spark, sf_dir), requests)
+    return out.select("file", "path", "status", F.get("s", F.lit(0)).alias("value"), "n_items")
+
+
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS file, '{"00080016":{"vr":"UI","Value":["1.2.840.10008.5.1.4.1.1.7"]},"00081115":{"vr":"SQ","Value":[{"00081150":{"vr":"UI","Value":["1.9"]},"00081155":{"vr":"UI","Value":["1.2.3.' || c_custkey || '.1"]}},{}]},"00100010":{"vr":"PN","Value":[{"Alphabetic":"'
+  || 'Anonymous^' || c_custkey || '"}]},"00100020":{"vr":"LO"},"00189073":{"vr":"FD","Value":[' || c_acctbal || ']},"00280010":{"vr":"US","Value":[' || c_nationkey || ']},"00280011":{"vr":"US","Value":[512]}}' AS json FROM customer
+""")
+def dataset_edit(spark, sf_dir):
+    """Elements replaced, emptied, put in and removed, in items too."""
+    own = datasets.removed(datasets.removed(patient_elements(spark, sf_dir), "00080018"), "00081115/1")
+    own = datasets.with_value(own, "00100010", "PN", s=F.array(F.concat(F.lit("Anonymous^"), F.col("file"))))
+    own = datasets.with_value(datasets.with_value(own, "00100020", "LO"), "00280011", "US", i=F.array(F.lit(512)))
+    own = datasets.with_value(own, "00081115/0/00081150", "UI", s=F.array(F.lit("1.9")))
+    return dicom_json.to_json(own)
+
+
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS file, 7 + c_custkey % 2 AS n_elements, c_custkey % 2 = 1 AS has_comment, '00080016,00080018,00081115,00100010,00100020,00189073,00280010' || CASE WHEN c_custkey % 2 = 1 THEN ',00324000' ELSE '' END AS tags FROM customer
+""")
+def dataset_summary(spark, sf_dir):
+    """Number and tags of the elements of each object; every second one gets one more from another table."""
+    more = patient_elements(spark, sf_dir).where("path = '00100020' AND cast(file AS bigint) % 2 = 1").withColumns({"path": F.lit("00324000"), "tag": F.lit(0x00324000).cast("long"), "vr": F.lit("LT")})
+    out = datasets.summary(datasets.merged(patient_elements(spark, sf_dir), more))
+    shown = F.array_join(F.transform("tags", lambda t: F.lpad(F.hex(t), 8, "0")), ",")
+    return out.select("file", "n_elements", F.array_contains("tags", F.lit(0x00324000).cast("long")).alias("has_comment"), shown.alias("tags"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, text, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS frame FROM conversations),
+o AS (SELECT conv_id, turn, frame, text, coalesce(sum(8 + strlen(text) + strlen(text) % 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM c),
+t AS (SELECT conv_id, string_agg(substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2), '' ORDER BY frame) AS "table" FROM (SELECT conv_id, frame, printf('%08X', CAST(min(off) AS BIGINT)) AS h FROM o GROUP BY 1, 2) GROUP BY 1)
+SELECT CAST(o.conv_id AS VARCHAR) AS file, "table", CAST(count(*) AS BIGINT) AS fragments, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM o JOIN t ON t.conv_id = o.conv_id GROUP BY 1, 2
+""")
+def encapsulate_frames(spark, sf_dir):
+    """Turns as fragments: a turn of the user starts a frame."""
+    frame = F.expr("count_if(role = 'user') OVER (PARTITION BY conv_id ORDER BY turn)")
+    own = table(spark, sf_dir, "conversations").withColumn("frame", frame)
+    rows = datasets.encapsulated(own, "conv_id", "frame", "turn", "text").withColumn("k", F.substring_index("path", "/", -1).cast("int"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("k") > 0, F.struct("k", F.col("b").cast("string").alias("t")))))
+    out = rows.groupBy("file").agg(F.hex(F.max(F.when(F.col("k") == 0, F.col("b")))).alias("table"), F.count_if(F.col("k") > 0).alias("fragments"), parts.alias("p"))
+    return out.select("file", "table", "fragments", F.md5(F.array_join(F.transform("p", lambda x: x["t"]), "")).alias("digest"))
+
+
+@query("""
+SELECT p_partkey, tag, g % 2 = 1 AS private, e = 0 AS group_length, g = 2 AS file_meta, tag IN (4294893568, 4294893581, 4294893789) AS delimiter, '(' || printf('%04x', g) || ',' || printf('%04x', e) || ')' AS shown
+FROM (SELECT *, tag // 65536 AS g, tag % 65536 AS e FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 4294893568 WHEN 1 THEN 4294893581 WHEN 2 THEN p_size * 65536::BIGINT WHEN 3 THEN 131088 ELSE p_size * 65537::BIGINT END AS tag FROM part))
+""")
+def tag_predicates(spark, sf_dir):
+    """Tags read from text in three forms, their kinds and their text."""
+    size, k = F.col("p_size").cast("long"), F.col("p_partkey") % 5
+    tag = F.when(k == 0, 4294893568).when(k == 1, 4294893581).when(k == 2, size * 65536).when(k == 3, 131088).otherwise(size * 65537)
+    h = F.lpad(F.hex(tag), 8, "0")
+    pair = F.concat(F.substring(h, 1, 4), F.lit(","), F.substring(h, 5, 4))
+    form = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("("), pair, F.lit(")"))).when(F.col("p_partkey") % 3 == 1, pair).otherwise(F.concat(F.lit(" "), h))
+    t = tags.parsed(F.col("form"))
+    own = table(spark, sf_dir, "part").select("p_partkey", form.alias("form")).select("p_partkey", t.alias("tag"))
+    c = F.col("tag")
+    return own.select("p_partkey", "tag", tags.is_private(c).alias("private"), tags.is_group_length(c).alias("group_length"), tags.is_file_meta(c).alias("file_meta"), tags.is_delimiter(c).alias("delimiter"), tags.text(c).alias("shown"))

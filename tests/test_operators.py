@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import matching
-from tessera.operators import dictionary, frames, negotiation, query_retrieve
+from tessera.operators import datasets, dictionary, frames, negotiation, query_retrieve
 from tessera.queries import archive
 from tessera.sources import dicom_json, part10
 from tessera.streaming import messages
@@ -170,3 +170,20 @@ def test_typed_keys_reach_the_scan(spark, sf_dir):
     plan = lambda keys: query_retrieve.matched(studies, keys)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan({"StudyDate": "1996-"}) and "LessThan(o_orderdate" in plan({"StudyDate": "-1997"})
     assert "In(o_orderkey" in plan({"StudyInstanceUID": "1\\5"}) and "StringStartsWith(o_orderpriority" in plan({"StudyDescription": "1*"})
+
+
+def test_paths_and_editing(spark):
+    rows = [("00081115", 0, "SQ", None), ("00081115/0", 1, "", None), ("00081115/0/00081155", 1, "UI", ["1.2"]), ("00100010", 0, "PN", ["A"])]
+    tag = lambda p, vr: dicom_json.ITEM if vr == "" else int(p[-8:], 16)
+    df = spark.createDataFrame([("f", p, d, tag(p, vr), vr, s, None, None, None, None) for p, d, vr, s in rows], part10.ELEMENTS)
+    asked = [("f", "/00081115/00/00081155/"), ("f", "00081115/0/00081155"), ("f", "0008111"), ("f", None), ("f", "00081115/1/00081155"), ("g", "00100010"), (None, "00100010"), ("f", "00081115/0/00081155/0/00100010")]
+    got = {(r.file, r.path): (r.status, r.n_items) for r in datasets.resolve(df, spark.createDataFrame(asked, "file string, path string")).collect()}
+    want = ["found", "found", "invalid", "invalid", "out of range", "no element", "no element", "not a sequence"]
+    assert [got[a][0] for a in asked] == want and got["f", "00081115/1/00081155"][1] == 1
+    put = datasets.with_value(df, "00081115/0/00081155", "UI", s=F.array(F.lit("9")))
+    assert sorted((r.path, r.depth, r.s and r.s[0]) for r in put.collect()) == [("00081115", 0, None), ("00081115/0", 1, None), ("00081115/0/00081155", 1, "9"), ("00100010", 0, "A")]
+    assert datasets.with_value(df, "00081115/7/00081155", "UI").count() == 4
+    assert [r.path for r in datasets.removed(df, "00081115").collect()] == ["00100010"]
+    assert datasets.summary(df.limit(0)).count() == 0 and datasets.summary(df).first().n_elements == 2
+    with pytest.raises(ValueError):
+        datasets.removed(df, "x")
