@@ -136,3 +136,40 @@ def wavelet_53_frame_inverse(coefficients: Column, rows: int, cols: int) -> Colu
     """The samples of `wavelet_53_frame`."""
     up = let(coefficients, lambda x: along_rows(transposed(x, rows, cols), cols, rows, lambda c: wavelet_53_inverse(c, rows)))
     return let(up, lambda x: along_rows(transposed(x, cols, rows), rows, cols, lambda r: wavelet_53_inverse(r, cols)))
+
+
+def modular_difference(sample: Column, prediction: Column) -> Column:
+    """Sample less prediction, modulo 2^16 within -32767 to 32768 (lossless JPEG)."""
+    d = sample - prediction
+    return F.when(d <= -32768, d + 65536).when(d > 32768, d - 65536).otherwise(d)
+
+
+def difference_code(d: Column) -> tuple[Column, Column]:
+    """(category, additional bits) of a difference in lossless JPEG: the category is its number of bits, 16 for 32768, which has no bits more."""
+    size = F.when(d == 32768, 16).when(d == 0, 0).otherwise(F.length(F.bin(F.abs(d).cast("long"))))
+    bits = F.when((d == 32768) | (d == 0), 0).when(d > 0, d).otherwise(d + F.call_function("shiftleft", F.lit(1), size) - 1)
+    return size.cast("int"), bits.cast("int")
+
+
+def quantized_error(e: Column, near: int) -> Column:
+    """A prediction error in steps of 2 near + 1, rounded to the nearest (JPEG-LS)."""
+    step = F.floor((F.abs(e) + near) / (2 * near + 1)).cast("int")
+    return e if near == 0 else F.when(e > 0, step).otherwise(-step)
+
+
+def modulo_error(e: Column, span: int) -> Column:
+    """An error within -span/2 and (span - 1)/2, modulo `span`."""
+    up = F.when(e < 0, e + span).otherwise(e)
+    return F.when(up >= (span + 1) // 2, up - span).otherwise(up)
+
+
+def reconstructed(prediction: Column, error: Column, near: int, span: int, max_val: int) -> Column:
+    """The sample that a prediction and a quantized error give, within 0 and `max_val`."""
+    v = prediction + error * (2 * near + 1)
+    v = F.when(v < -near, v + span * (2 * near + 1)).when(v > max_val + near, v - span * (2 * near + 1)).otherwise(v)
+    return F.greatest(F.lit(0), F.least(F.lit(max_val), v))
+
+
+def golomb_parameter(n: Column, a: Column) -> Column:
+    """The least k for which n 2^k reaches a: the parameter of the Golomb code in a context that was met n times with errors of sum a."""
+    return F.get(F.filter(F.sequence(F.lit(0), F.lit(31)), lambda k: n.cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), k) >= a), F.lit(0))

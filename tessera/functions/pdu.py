@@ -28,7 +28,8 @@ def number(data: Column, at, size: int) -> Column:
 
 
 def join_bytes(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(b""), lambda a, b: F.concat(a, b))
+    """The parts one after the other, in time that grows with their length alone; null parts count as empty."""
+    return F.unhex(F.array_join(F.transform(parts, lambda p: F.coalesce(F.hex(p), F.lit(""))), ""))
 
 
 def framed(kind: int, body: Column) -> Column:
@@ -128,3 +129,42 @@ def command_set(elements: list[Column]) -> Column:
     """Elements in tag order behind their group length."""
     data = F.concat(*elements)
     return F.concat(command_element(0, little_endian(F.length(data), 4)), data)
+
+
+CONTEXT_AC = 0x21
+
+
+def associate_ac(called: Column, calling: Column, results: Column, max_pdu: Column) -> Column:
+    """A-ASSOCIATE-AC. results: array of (id, result, transfer syntax); the syntax of a context that isn't accepted says nothing."""
+    context = lambda c: item(CONTEXT_AC, F.concat(big_endian(c["id"], 1), F.lit(b"\0"), big_endian(c["result"], 1), F.lit(b"\0"), item(TRANSFER_SYNTAX, c["transfer"].cast("binary"))))
+    user = item(USER_INFORMATION, item(MAX_LENGTH, big_endian(max_pdu, 4)))
+    return framed(ASSOCIATE_AC, F.concat(F.lit(b"\0\1\0\0"), _title(called), _title(calling), F.lit(b"\0" * 32), item(APPLICATION_CONTEXT, F.lit(APPLICATION_CONTEXT_UID).cast("binary")), join_bytes(F.transform(results, context)), user))
+
+
+def context_ac(data: Column) -> tuple[Column, Column, Column]:
+    """(id, result, transfer syntax) of a presentation context item of an acceptance."""
+    inner = items(F.substring(data, F.lit(5), F.length(data) - 4))
+    return number(data, 0, 1).cast("int"), number(data, 2, 1).cast("int"), F.rtrim(F.decode(F.get(inner, F.lit(0))["data"], "ISO-8859-1"))
+
+
+def max_length(user_information: Column) -> Column:
+    """The greatest PDU that the data of a user information item name; null where they name none."""
+    return number(F.get(F.filter(items(user_information), lambda i: i["type"] == MAX_LENGTH), F.lit(0))["data"], 0, 4)
+
+
+def associate_rj(result: Column, source: Column, reason: Column) -> Column:
+    return framed(ASSOCIATE_RJ, F.concat(F.lit(b"\0"), *[big_endian(c, 1) for c in (result, source, reason)]))
+
+
+def release(reply: bool = False) -> Column:
+    """A-RELEASE-RQ, or -RP as the reply."""
+    return framed(RELEASE_RP if reply else RELEASE_RQ, F.lit(b"\0" * 4))
+
+
+def abort(source: Column, reason: Column) -> Column:
+    return framed(ABORT, F.concat(F.lit(b"\0\0"), big_endian(source, 1), big_endian(reason, 1)))
+
+
+def reasons(pdu_body: Column) -> Column:
+    """struct(result, source, reason) of the body of a rejection or an abort; an abort's result is 0."""
+    return F.struct(*[number(pdu_body, k, 1).cast("int").alias(n) for k, n in ((1, "result"), (2, "source"), (3, "reason"))])

@@ -137,3 +137,27 @@ def overlay_bit(packed: Column, row: Column, col: Column, rows: int, cols: int)
     inside = (row >= 0) & (row < rows) & (col >= 0) & (col < cols)
     byte = F.get(packed, F.floor(at / 8).cast("int"))
     return F.when(inside, F.getbit(byte.cast("long"), (at % 8).cast("int")) == 1).otherwise(False)
+
+
+def ybr_422_to_rgb(samples: Column) -> Column:
+    """Array of r, g, b of pairs of pixels stored as Cb, Y, Cr, Y; samples behind the last whole group are left out, as they are no pixel."""
+    groups = F.sequence(F.lit(0), F.floor(F.size(samples) / 4).cast("int") - 1)
+    at = lambda g, k: F.get(samples, g * 4 + k).cast("double")
+    pair = lambda g: F.array(*ybr_to_rgb(at(g, 1), at(g, 0), at(g, 2)), *ybr_to_rgb(at(g, 3), at(g, 0), at(g, 2)))
+    return F.when(F.size(samples) >= 4, F.flatten(F.transform(groups, pair))).otherwise(F.array().cast("array<int>"))
+
+
+#: Fixed values of the standard (PS3.3 C.7.6.3.1.2): photometric interpretations by kind, and their channels once rendered.
+GREYSCALE, COLOUR = ["MONOCHROME1", "MONOCHROME2"], ["RGB", "PALETTE COLOR", "YBR_FULL", "YBR_FULL_422", "YBR_ICT", "YBR_RCT"]
+
+
+def photometric(c: Column) -> Column:
+    """struct(name, greyscale, channels) of a photometric interpretation, blanks and case aside; name null where it is none of those known."""
+    name = F.upper(F.trim(c))
+    known = F.when(name.isin(GREYSCALE + COLOUR), name)
+    return F.struct(known.alias("name"), F.coalesce(name.isin(GREYSCALE), F.lit(False)).alias("greyscale"), F.when(name.isin(GREYSCALE), 1).when(name.isin(COLOUR), 3).alias("channels"))
+
+
+def normalised(grey: Column) -> Column:
+    """Grey values 0 to 255 as shares from 0 to 1."""
+    return grey / 255.0

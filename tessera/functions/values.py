@@ -103,3 +103,32 @@ def pad_even(c: Column, pad: Column) -> Column:
 def status_class(c: Column) -> Column:
     """success, pending, cancel, warning (0001) or failure; every other code, 0xBxxx among them, counts as failure."""
     return F.when(c == 0, "success").when(c.isin(0xFF00, 0xFF01), "pending").when(c == 0xFE00, "cancel").when(c == 1, "warning").otherwise("failure")
+
+
+def format_dt(dt: Column) -> Column:
+    """A parsed date and time at its own precision, with its offset as +HHMM or -HHMM where it has one."""
+    off = dt["offset_min"]
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    shown = F.when(off.isNull(), "").otherwise(F.concat(F.when(off < 0, "-").otherwise("+"), two(F.abs(off) / 60), two(F.abs(off) % 60)))
+    return F.concat(format_da(dt["date"]), F.when(dt["time"].isNull(), "").otherwise(format_tm(dt["time"])), shown)
+
+
+def format_ds(c: Column) -> Column:
+    """A double as a decimal string of at most 16 characters: as it is where that fits, else with an exponent and six or four decimals; 0 where it
+    isn't finite."""
+    whole = F.when((c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("decimal(20,0)").cast("string"))
+    plain = F.coalesce(whole, c.cast("string"))
+    six, four = F.format_string("%.6E", c), F.format_string("%.4E", c)
+    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), "0").when(F.length(plain) <= 16, plain).when(F.length(six) <= 16, six).otherwise(four)
+
+
+def encoded_length(vr: Column, s: Column, i: Column, f: Column, b: Column) -> Column:
+    """Bytes of an element's value as it is written, padded to an even number. 0 for an empty one."""
+    size = F.when(vr.isin("US", "SS", "OW"), 2).when(vr.isin("UL", "SL", "AT", "OL", "FL", "OF"), 4).otherwise(8)
+    n = F.coalesce(F.octet_length(F.array_join(s, "\\")), F.size(i) * size, F.size(f) * size, F.octet_length(b), F.lit(0))
+    return (n + n % 2).cast("int")
+
+
+def is_empty(s: Column, i: Column, f: Column, b: Column) -> Column:
+    """True where an element has no value: none at all, or one without entries, characters or bytes."""
+    return F.coalesce(F.octet_length(F.array_join(s, "")), F.size(i), F.size(f), F.octet_length(b), F.lit(0)) == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.plans.dims import TAG_RANGE, dim_tag
+from tessera.plans.dims import TAG_RANGE, dim_tag, dim_uid
 
 #: Most ranges of a dimension that become conditions.
 MOST_RANGES = 1000
@@ -43,3 +43,27 @@ def range_lookup(df: DataFrame, value: str, ranges: DataFrame, low: str, high: s
         found = F.when(F.col(value).between(F.lit(r[low]), F.lit(r[high])), own).otherwise(found)
     own = df.withColumn("__found", found)
     return own.select(*[c for c in df.columns if c not in names], *[F.col(f"__found.{n}").alias(n) for n in names])
+
+
+def with_uid_name(df: DataFrame, uid: str) -> DataFrame:
+    """Adds `uid_name`, null for a UID that the table doesn't have. Trailing blanks and zero bytes of a UID don't count."""
+    names = dim_uid(df.sparkSession).select(F.col("uid").alias("__uid"), F.col("name").alias("uid_name"))
+    own = F.regexp_replace(F.col(uid), "[ \\x00]+$", "")
+    return df.drop("uid_name").join(F.broadcast(names), own == F.col("__uid"), "left").drop("__uid")  # a constant table
+
+
+def with_private_entry(elements: DataFrame, entries: DataFrame) -> DataFrame:
+    """Adds private_vr and private_keyword of private elements, by the creator that reserved their block in the same data set and level.
+
+    A block of an odd group is reserved by the element (group, 00xx) whose value names the creator; its elements are (group, xxyy). entries:
+    creator, group, element (yy), vr, keyword, each creator, group and element once. Null where the block has no creator or the
+    creator no entry. A creator that is named twice counts as the one that comes first by its name.
+    """
+    odd, low = F.floor(F.col("tag") / 65536) % 2 == 1, F.col("tag") % 65536
+    level = F.regexp_extract("path", "^(.*/)?[^/]*$", 1)
+    creators = elements.where(odd & low.between(0x10, 0xFF)).groupBy("file", level.alias("__level"), (F.floor(F.col("tag") / 65536) * 256 + low).alias("__block")).agg(F.min(F.trim(F.get("s", F.lit(0)))).alias("__creator"))
+    block = F.when(odd & (low >= 0x1000), F.floor(F.col("tag") / 65536) * 256 + F.floor(low / 256))
+    own = elements.withColumns({"__level": level, "__block": block, "__group": F.floor(F.col("tag") / 65536), "__element": low % 256})
+    own = own.join(creators, ["file", "__level", "__block"], "left")
+    known = entries.select(F.col("creator").alias("__creator"), F.col("group").cast("long").alias("__group"), F.col("element").cast("long").alias("__element"), F.col("vr").alias("private_vr"), F.col("keyword").alias("private_keyword"))
+    return own.join(known, ["__creator", "__group", "__element"], "left").select(*elements.columns, "private_vr", "private_keyword")

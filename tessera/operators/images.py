@@ -61,3 +61,41 @@ def overlay_groups(elements: DataFrame) -> DataFrame:
     group = F.floor(F.col("tag") / 65536)
     own = elements.where((F.col("depth") == 0) & group.between(0x6000, 0x601E) & (group % 2 == 0))
     return own.groupBy("file").agg(F.array_sort(F.collect_set(group)).alias("groups"))
+
+
+def overlays(elements: DataFrame) -> DataFrame:
+    """(file, group, rows, cols, origin_row, origin_col, data): each overlay plane that has rows, columns and data.
+
+    Groups are 6000 to 601E, even. The origin is (1, 1) where it is missing. Data are the packed bits. Null values count as missing.
+    """
+    group = F.floor(F.col("tag") / 65536).cast("int")
+    own = elements.where((F.col("depth") == 0) & group.between(0x6000, 0x601E) & (group % 2 == 0)).withColumn("element", F.col("tag") % 65536)
+    of = lambda e, c: F.max(F.when(F.col("element") == e, c))
+    number = lambda e, k: of(e, F.get("i", F.lit(k)).cast("int"))
+    out = own.groupBy("file", group.alias("group")).agg(
+        number(0x10, 0).alias("rows"), number(0x11, 0).alias("cols"), F.coalesce(number(0x50, 0), F.lit(1)).alias("origin_row"), F.coalesce(number(0x50, 1), F.lit(1)).alias("origin_col"), of(0x3000, F.col("b")).alias("data"))
+    return out.where("rows IS NOT NULL AND cols IS NOT NULL AND data IS NOT NULL")
+
+
+def palettes(elements: DataFrame) -> DataFrame:
+    """(file, channel, first, n, bits, table, error): red, green and blue lookup tables from their descriptors and data.
+
+    A descriptor is (entries, first value, bits); 0 entries are 65,536. Data are 16-bit words, little endian. `error` names what is missing or not as long as
+    the descriptor says; files without any descriptor have no row.
+    """
+    channel = F.when(F.col("tag").isin(0x00281101, 0x00281201), "red").when(F.col("tag").isin(0x00281102, 0x00281202), "green").when(F.col("tag").isin(0x00281103, 0x00281203), "blue")
+    own = elements.where("depth = 0").withColumn("channel", channel).where("channel IS NOT NULL")
+    described = F.col("tag") < 0x00281200
+    part = lambda k: F.max(F.when(described, F.get("i", F.lit(k)).cast("int")))
+    data = F.max(F.when(~described, F.coalesce(F.transform("i", lambda x: x.cast("int")), _words("b"))))
+    out = own.groupBy("file", "channel").agg(part(0).alias("n"), part(1).alias("first"), part(2).alias("bits"), data.alias("table"))
+    out = out.withColumn("n", F.when(F.col("n") == 0, 65536).otherwise(F.col("n")))
+    error = F.when(F.col("n").isNull() | F.col("bits").isNull(), "no descriptor").when(F.col("table").isNull(), "no data").when(F.size("table") != F.col("n"), "data and descriptor differ")
+    return out.select("file", "channel", "first", "n", "bits", "table", error.alias("error"))
+
+
+def _words(data: str) -> Column:
+    """16-bit little-endian words of a binary column."""
+    at = F.sequence(F.lit(0), F.floor(F.octet_length(data) / 2).cast("int") - 1)
+    word = lambda k: F.conv(F.concat(F.hex(F.substring(data, 2 * k + 2, F.lit(1))), F.hex(F.substring(data, 2 * k + 1, F.lit(1)))), 16, 10).cast("int")
+    return F.when(F.octet_length(data) >= 2, F.transform(at, word))

@@ -107,6 +107,27 @@ ENCODES = ["4.50", "4.51", "4.57", "4.70", "4.80", "4.81", "4.90", "4.91", "4.20
 STATUS = {"success": 0x0000, "pending": 0xFF00, "some_failed": 0xB000, "unknown_destination": 0xA801, "no_provider": 0x0211}
 
 
+# Fixed values of the standard (PS3.6 annex A): UIDs of SOP classes and their names.
+UID_NAME = [
+    ("1.2.840.10008.1.1", "Verification SOP Class"), ("1.2.840.10008.3.1.1.1", "DICOM Application Context Name"),
+    ("1.2.840.10008.5.1.4.1.1.1", "Computed Radiography Image Storage"), ("1.2.840.10008.5.1.4.1.1.1.1", "Digital X-Ray Image Storage - For Presentation"),
+    ("1.2.840.10008.5.1.4.1.1.2", "CT Image Storage"), ("1.2.840.10008.5.1.4.1.1.2.1", "Enhanced CT Image Storage"),
+    ("1.2.840.10008.5.1.4.1.1.4", "MR Image Storage"), ("1.2.840.10008.5.1.4.1.1.4.1", "Enhanced MR Image Storage"),
+    ("1.2.840.10008.5.1.4.1.1.6.1", "Ultrasound Image Storage"), ("1.2.840.10008.5.1.4.1.1.7", "Secondary Capture Image Storage"),
+    ("1.2.840.10008.5.1.4.1.1.12.1", "X-Ray Angiographic Image Storage"), ("1.2.840.10008.5.1.4.1.1.20", "Nuclear Medicine Image Storage"),
+    ("1.2.840.10008.5.1.4.1.1.88.11", "Basic Text SR Storage"), ("1.2.840.10008.5.1.4.1.1.104.1", "Encapsulated PDF Storage"),
+    ("1.2.840.10008.5.1.4.1.1.128", "Positron Emission Tomography Image Storage"), ("1.2.840.10008.5.1.4.1.1.481.1", "RT Image Storage"),
+    ("1.2.840.10008.5.1.4.1.2.1.1", "Patient Root Query/Retrieve Information Model - FIND"), ("1.2.840.10008.5.1.4.1.2.1.2", "Patient Root Query/Retrieve Information Model - MOVE"),
+    ("1.2.840.10008.5.1.4.1.2.1.3", "Patient Root Query/Retrieve Information Model - GET"), ("1.2.840.10008.5.1.4.1.2.2.1", "Study Root Query/Retrieve Information Model - FIND"),
+    ("1.2.840.10008.5.1.4.1.2.2.2", "Study Root Query/Retrieve Information Model - MOVE"), ("1.2.840.10008.5.1.4.1.2.2.3", "Study Root Query/Retrieve Information Model - GET"),
+]
+
+
+def dim_uid(spark: SparkSession) -> DataFrame:
+    """uid and name of SOP classes and transfer syntaxes."""
+    return spark.createDataFrame(UID_NAME + [(t[0], t[1]) for t in TRANSFER_SYNTAX], "uid string, name string")
+
+
 def dim_vr(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(VR, "vr string, name string, is_text boolean, long_length boolean, padding int, fixed_size int")
 

@@ -407,10 +407,10 @@ def scale_bilinear(spark, sf_dir):
     return _exploded(spark, sf_dir, lambda px: pixels.bilinear(F.transform(px, lambda x: (x % 256).cast("double")), 8, 8, 5, 5))
 
 
-@query(_FRAMES + "SELECT vec_id, CAST(i AS INT) AS i, ((p[i // 8 + 1] % 256) >> CAST(i % 8 AS INT)) & 1 = 1 AS bit FROM f, LATERAL (SELECT unnest(range(0, 64)) AS i)")
+@query(_FRAMES + "SELECT vec_id, CAST(i AS INT) AS i, ((p[i // 8 + 1] % 256) >> CAST(i % 8 AS INT)) & 1 = 1 AS bit FROM f, LATERAL (SELECT unnest(range(0, 512)) AS i)")
 def overlay_bits(spark, sf_dir):
-    own = frames_of(spark, sf_dir).select("vec_id", F.transform("px", lambda x: x % 256).alias("packed"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
-    return own.select("vec_id", "i", pixels.overlay_bit(F.col("packed"), F.floor(F.col("i") / 8), F.col("i") % 8, 8, 8).alias("bit"))
+    own = frames_of(spark, sf_dir).select("vec_id", F.transform("px", lambda x: x % 256).alias("packed"), F.explode(F.sequence(F.lit(0), F.lit(511))).alias("i"))
+    return own.select("vec_id", "i", pixels.overlay_bit(F.col("packed"), F.floor(F.col("i") / 64), F.col("i") % 64, 8, 64).alias("bit"))
 
 
 # ---- codec arithmetic ----
@@ -957,3 +957,118 @@ def tag_predicates(spark, sf_dir):
     own = table(spark, sf_dir, "part").select("p_partkey", form.alias("form")).select("p_partkey", t.alias("tag"))
     c = F.col("tag")
     return own.select("p_partkey", "tag", tags.is_private(c).alias("private"), tags.is_group_length(c).alias("group_length"), tags.is_file_meta(c).alias("file_meta"), tags.is_delimiter(c).alias("delimiter"), tags.text(c).alias("shown"))
+
+
+# ---- more values, codec arithmetic, image modules and protocol units ----
+
+
+@query(_NEIGHBOURS + """, d AS (SELECT vec_id, k, x, a, b, c, x * 20 - c * 17 AS w FROM n), m AS (SELECT *, CASE WHEN w <= -32768 THEN w + 65536 WHEN w > 32768 THEN w - 65536 ELSE w END AS d FROM d)
+SELECT vec_id, CAST(k AS INT) AS k, d, CAST(CASE WHEN d = 32768 THEN 16 WHEN d = 0 THEN 0 ELSE floor(log2(abs(d))) + 1 END AS INT) AS size, CAST(CASE WHEN d IN (0, 32768) THEN 0 WHEN d > 0 THEN d ELSE d + pow(2, floor(log2(abs(d))) + 1) - 1 END AS INT) AS bits FROM m""")
+def lossless_codes(spark, sf_dir):
+    """Differences of scaled samples as lossless JPEG codes them."""
+    d = codec_math.modular_difference(F.col("x") * 20, F.col("c") * 17)
+    own = _neighbours(spark, sf_dir).select("vec_id", "k", d.alias("d"))
+    size, bits = codec_math.difference_code(F.col("d"))
+    return own.select("vec_id", "k", "d", size.alias("size"), bits.alias("bits"))
+
+
+@query(_NEIGHBOURS + """, q AS (SELECT vec_id, k, a, CASE WHEN x - a > 0 THEN (x - a + 2) // 5 ELSE -((2 - (x - a)) // 5) END AS q FROM n),
+m AS (SELECT *, CASE WHEN (CASE WHEN q < 0 THEN q + 820 ELSE q END) >= 410 THEN (CASE WHEN q < 0 THEN q + 820 ELSE q END) - 820 ELSE (CASE WHEN q < 0 THEN q + 820 ELSE q END) END AS m FROM q)
+SELECT vec_id, CAST(k AS INT) AS k, CAST(q AS INT) AS quantized, CAST(m AS INT) AS error, CAST(greatest(0, least(4095, CASE WHEN a + 5 * m < -2 THEN a + 5 * m + 4100 WHEN a + 5 * m > 4097 THEN a + 5 * m - 4100 ELSE a + 5 * m END)) AS INT) AS sample,
+  CAST(CASE WHEN abs(q) <= 3 THEN 0 ELSE ceil(log2(abs(q) / 3.0)) END AS INT) AS golomb FROM m""")
+def jls_near_lossless(spark, sf_dir):
+    """Errors against the left neighbour in steps of five, their samples again, and the Golomb parameter of a context met three times."""
+    span = codec_math.jpeg_ls_defaults(4095, 2)["range"]
+    own = _neighbours(spark, sf_dir).select("vec_id", "k", "a", codec_math.quantized_error(F.col("x") - F.col("a"), 2).alias("quantized"))
+    own = own.withColumn("error", codec_math.modulo_error(F.col("quantized"), span))
+    sample = codec_math.reconstructed(F.col("a"), F.col("error"), 2, span, 4095)
+    return own.select("vec_id", "k", "quantized", "error", sample.alias("sample"), codec_math.golomb_parameter(F.lit(3), F.abs("quantized")).alias("golomb"))
+
+
+@query(_FRAMES + """, g AS (SELECT vec_id, i, p[CAST(i // 6 * 4 AS INT) + 1] % 256 AS cb, p[CAST(i // 6 * 4 AS INT) + 3] % 256 AS cr, p[CAST(i // 6 * 4 + CASE WHEN i % 6 < 3 THEN 1 ELSE 3 END AS INT) + 1] % 256 AS y FROM f, LATERAL (SELECT unnest(range(0, 96)) AS i))
+SELECT vec_id, CAST(i AS INT) AS i, CAST(greatest(0, least(255, round(CASE i % 3 WHEN 0 THEN y + 1.402::DOUBLE * (cr - 128) WHEN 1 THEN y - 0.344136::DOUBLE * (cb - 128) - 0.714136::DOUBLE * (cr - 128) ELSE y + 1.772::DOUBLE * (cb - 128) END))) AS INT) AS p FROM g""")
+def ybr_422(spark, sf_dir):
+    return _exploded(spark, sf_dir, lambda px: pixels.ybr_422_to_rgb(F.transform(px, lambda x: x % 256)))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 4 = 3 THEN strftime(ts, '%Y%m%d') ELSE strftime(ts, '%Y%m%d%H%M%S') END || CASE event_id % 4 WHEN 0 THEN '+0130' WHEN 1 THEN '-0500' ELSE '' END AS shown FROM events
+""")
+def dt_format(spark, sf_dir):
+    k = F.col("event_id") % 4
+    text = F.concat(F.when(k == 3, F.date_format("ts", "yyyyMMdd")).otherwise(F.date_format("ts", "yyyyMMddHHmmss")), F.when(k == 0, "+0130").when(k == 1, "-0500").otherwise(""))
+    own = table(spark, sf_dir, "events").select("event_id", values.parse_dt(text).alias("dt"))
+    return own.select("event_id", values.format_dt(F.col("dt")).alias("shown"))
+
+
+@query(f"""
+SELECT CAST(c_custkey AS VARCHAR) AS file, path, vr, CAST(n + n % 2 AS INT) AS length, n = 0 AS empty
+FROM (SELECT c_custkey, path, vr, CASE path WHEN '00189073' THEN 8 WHEN '00280010' THEN 2 ELSE coalesce(strlen({_VALUE}), 0) END AS n FROM customer, {_PATHS})
+""")
+def value_lengths(spark, sf_dir):
+    own = [F.col(c) for c in ("s", "i", "f", "b")]
+    return patient_elements(spark, sf_dir).select("file", "path", "vr", values.encoded_length(F.col("vr"), *own).alias("length"), values.is_empty(*own).alias("empty"))
+
+
+@query("""
+SELECT s_suppkey, '0300000000040001' || printf('%02X', s_nationkey % 3 + 1) || printf('%02X', s_nationkey % 10) AS rejected, '05000000000400000000' AS released, '06000000000400000000' AS replied, '070000000004000002' || printf('%02X', s_nationkey % 7) AS aborted,
+  1 AS result, s_nationkey % 3 + 1 AS source, s_nationkey % 10 AS reason FROM supplier
+""")
+def association_ends(spark, sf_dir):
+    """The units that end or refuse an association, as hexadecimal digits, and what a rejection says."""
+    n = F.col("s_nationkey")
+    rejected = pdu.associate_rj(F.lit(1), n % 3 + 1, n % 10)
+    own = table(spark, sf_dir, "supplier").select("s_suppkey", rejected.alias("u"), pdu.abort(F.lit(2), n % 7).alias("a"))
+    own = own.select("s_suppkey", F.hex("u").alias("rejected"), F.hex(pdu.release()).alias("released"), F.hex(pdu.release(True)).alias("replied"), F.hex("a").alias("aborted"), pdu.reasons(pdu.body(F.col("u"))).alias("r"))
+    return own.select("s_suppkey", "rejected", "released", "replied", "aborted", "r.result", "r.source", "r.reason")
+
+
+@query("""
+SELECT s_suppkey, 2 * (s_nationkey % 3) + 1 AS id, CASE WHEN s_nationkey % 2 = 0 THEN 0 ELSE 4 END AS result, '1.2.840.10008.1.2.1' AS transfer, CAST(16384 + s_nationkey AS BIGINT) AS max_pdu,
+  '2100001B' || printf('%02X', 2 * (s_nationkey % 3) + 1) || '00' || CASE WHEN s_nationkey % 2 = 0 THEN '00' ELSE '04' END || '00' || '40000013' || hex(encode('1.2.840.10008.1.2.1')) AS item FROM supplier
+""")
+def associate_accept(spark, sf_dir):
+    """Acceptances: the context item as hexadecimal digits, and decoded with the length that the user information names."""
+    n = F.col("s_nationkey")
+    results = F.array(F.struct((2 * (n % 3) + 1).alias("id"), F.when(n % 2 == 0, 0).otherwise(4).alias("result"), F.lit(negotiation.EXPLICIT_LE).alias("transfer")))
+    unit = pdu.associate_ac(F.upper("s_name"), F.lit("TESSERA"), results, n + 16384)
+    own = table(spark, sf_dir, "supplier").select("s_suppkey", pdu.body(unit).alias("body"))
+    own = own.select("s_suppkey", pdu.associate_items(F.col("body")).alias("items"))
+    of = lambda kind: F.filter("items", lambda i: i["type"] == kind)
+    own = own.select("s_suppkey", F.get(of(pdu.USER_INFORMATION), F.lit(0))["data"].alias("user"), F.explode(of(pdu.CONTEXT_AC)).alias("i"))
+    own = own.withColumn("max_pdu", pdu.max_length(F.col("user")))
+    number, result, transfer = pdu.context_ac(F.col("i.data"))
+    whole = F.concat(F.lit("2100"), F.lpad(F.hex(F.length("i.data")), 4, "0"), F.hex("i.data"))
+    return own.select("s_suppkey", number.alias("id"), result.alias("result"), transfer.alias("transfer"), "max_pdu", whole.alias("item"))
+
+
+@query("""
+SELECT vec_id, 24576 + 2 * (vec_id % 4) AS "group", 8 AS rows, 64 AS cols, CASE WHEN vec_id % 2 = 0 THEN 3 ELSE 1 END AS origin_row, CASE WHEN vec_id % 2 = 0 THEN -4 ELSE 1 END AS origin_col, CAST(sum(bit_count(b)) AS BIGINT) AS set_bits, CAST(sum(b) AS BIGINT) AS total
+FROM (SELECT vec_id, CAST(floor((CAST(unnest(embedding) AS DOUBLE) + 0.6) * 3000) AS INT) % 256 AS b FROM embeddings) GROUP BY 1
+""")
+def overlay_planes(spark, sf_dir):
+    """An overlay plane of 8x64 bits of the lower bytes of each frame's samples."""
+    group = 24576 + 2 * (F.col("vec_id") % 4)
+    packed = F.unhex(F.array_join(F.transform("px", lambda x: F.lpad(F.hex(x % 256), 2, "0")), ""))
+    none = F.lit(None)
+    row = lambda e, i=none, b=none: F.struct((group * 65536 + e).cast("long").alias("tag"), i.cast("array<decimal(20,0)>").alias("i"), b.cast("binary").alias("b"))
+    rows = F.array(row(0x10, F.array(F.lit(8))), row(0x11, F.array(F.lit(64))), row(0x50, F.when(F.col("vec_id") % 2 == 0, F.array(F.lit(3), F.lit(-4)))), row(0x3000, b=packed))
+    flat = frames_of(spark, sf_dir).select(F.col("vec_id").cast("string").alias("file"), F.explode(rows).alias("e")).select("file", F.lit(0).alias("depth"), "e.*")
+    out = images.overlays(flat)
+    byte = F.transform(F.sequence(F.lit(1), F.octet_length("data")), lambda k: F.conv(F.hex(F.substring("data", k, F.lit(1))), 16, 10).cast("long"))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select(F.col("file").cast("long").alias("vec_id"), "group", "rows", "cols", "origin_row", "origin_col", add(F.transform(byte, lambda x: F.bit_count(x).cast("long"))).alias("set_bits"), add(byte).alias("total"))
+
+
+@query(_FRAMES + """SELECT vec_id, c.channel, 5 AS first, 64 AS n, 16 AS bits, md5(list_aggregate(list_transform(p, lambda x: CAST(x * c.k AS VARCHAR)), 'string_agg', ',')) AS digest FROM f, (VALUES ('red', 1), ('green', 2), ('blue', 3)) c(channel, k)""")
+def palette_tables(spark, sf_dir):
+    """Lookup tables of 64 entries from descriptors and words, one channel's as bytes."""
+    none = F.lit(None)
+    row = lambda tag, i=none, b=none: F.struct(F.lit(tag).cast("long").alias("tag"), i.cast("array<decimal(20,0)>").alias("i"), b.cast("binary").alias("b"))
+    low_first = lambda x: F.concat(F.lpad(F.hex(x % 256), 2, "0"), F.lpad(F.hex(F.floor(x / 256)), 2, "0"))
+    described = F.array(F.lit(64), F.lit(5), F.lit(16))
+    times = lambda k: F.transform("px", lambda x: x * k)
+    rows = F.array(*[row(0x00281101 + k, described) for k in range(3)], row(0x00281201, times(1)), row(0x00281202, times(2)), row(0x00281203, b=F.unhex(F.array_join(F.transform(times(3), low_first), ""))))
+    flat = frames_of(spark, sf_dir).select(F.col("vec_id").cast("string").alias("file"), F.explode(rows).alias("e")).select("file", F.lit(0).alias("depth"), "e.*")
+    out = images.palettes(flat).where("error IS NULL")
+    return out.select(F.col("file").cast("long").alias("vec_id"), "channel", "first", "n", "bits", F.md5(F.array_join(F.transform("table", lambda x: x.cast("string")), ",")).alias("digest"))

@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tessera.functions import matching
+from tessera.functions import matching, pixels, values
 from tessera.operators import datasets, dictionary, frames, negotiation, query_retrieve
 from tessera.queries import archive
 from tessera.sources import dicom_json, part10
@@ -187,3 +187,20 @@ def test_paths_and_editing(spark):
     assert datasets.summary(df.limit(0)).count() == 0 and datasets.summary(df).first().n_elements == 2
     with pytest.raises(ValueError):
         datasets.removed(df, "x")
+
+
+def test_private_blocks_and_uid_names(spark):
+    rows = [("f", "00090010", 0x00090010, ["ACME"]), ("f", "00091001", 0x00091001, ["x"]), ("f", "00091101", 0x00091101, ["y"]), ("f", "00081115/0/00091001", 0x00091001, ["z"]), ("g", "00091001", 0x00091001, ["w"])]
+    df = spark.createDataFrame(rows, "file string, path string, tag long, s array<string>")
+    entries = spark.createDataFrame([("ACME", 9, 1, "LO", "Widget")], "creator string, group int, element int, vr string, keyword string")
+    got = {(r.file, r.path): r.private_keyword for r in dictionary.with_private_entry(df, entries).collect()}
+    assert len(got) == 5 and {k for k, v in got.items() if v} == {("f", "00091001")}
+    uids = spark.createDataFrame([("1.2.840.10008.1.1\0",), ("1.2.840.10008.1.2",), ("1.9",), (None,)], "u string")
+    assert [r.uid_name for r in dictionary.with_uid_name(uids, "u").collect()] == ["Verification SOP Class", "Implicit VR Little Endian", None, None]
+
+
+def test_values_and_photometric(spark):
+    own = spark.createDataFrame([(1.5,), (100.0,), (1.0 / 3,), (-1.23456789012e-30,), (float("nan"),)], "v double")
+    assert [r[0] for r in own.select(values.format_ds(F.col("v"))).collect()] == ["1.5", "100", "3.333333E-01", "-1.234568E-30", "0"]
+    kinds = spark.createDataFrame([(" monochrome1 ",), ("YBR_FULL",), ("HSV",), (None,)], "p string").select(pixels.photometric(F.col("p")).alias("p")).collect()
+    assert [tuple(r.p) for r in kinds] == [("MONOCHROME1", True, 1), ("YBR_FULL", False, 3), (None, False, None), (None, False, None)]
