@@ -691,20 +691,24 @@ def dicom_xml_write(spark, sf_dir):
     return dicom_json.to_xml(patient_elements(spark, sf_dir))
 
 
-@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, true AS same FROM documents")
+@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, true AS same, '0100000040000000' AS header FROM documents")
 def rle_roundtrip(spark, sf_dir):
+    """Whole texts as one segment: the header of what is encoded says one segment at byte 64."""
     own = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("px"), F.octet_length("text").cast("long").alias("n_bytes"))
-    own = own.withColumn("back", rle.rle_decode(rle.rle_encode(F.col("px")), F.col("n_bytes")))
-    return own.select("doc_id", "n_bytes", (F.col("px") == F.col("back")).alias("same"))
+    own = own.withColumn("packed", rle.rle_encode(F.col("px")))
+    own = own.withColumn("back", rle.rle_decode(F.col("packed"), F.col("n_bytes")))
+    return own.select("doc_id", "n_bytes", (F.col("px") == F.col("back")).alias("same"), F.hex(F.substring("packed", 1, 8)).alias("header"))
 
 
-@query("SELECT doc_id, true AS latin1, true AS utf8, true AS gb FROM documents")
+@query(r"SELECT doc_id, true AS latin1, true AS utf8, true AS gb, CASE WHEN NOT regexp_matches(text, '[^\x{00}-\x{FF}]') THEN CAST(length(text) AS INT) END AS latin1_bytes, CAST(strlen(text) AS INT) AS utf8_bytes, strlen(text) <> length(text) AS gb_differs FROM documents")
 def charset_roundtrip(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("doc_id", "text")
     same = lambda term: charset.decode(charset.encode(F.col("text"), term), term) == F.col("text")
     # what Latin-1 lacks is null and stays as it is
     latin = F.coalesce(same("ISO_IR 100"), F.lit(True))
-    return own.select("doc_id", latin.alias("latin1"), same("ISO_IR 192").alias("utf8"), same("GB18030").alias("gb"))
+    size = lambda term: F.octet_length(charset.encode(F.col("text"), term)).cast("int")
+    differs = charset.encode(F.col("text"), "GB18030") != F.col("text").cast("binary")
+    return own.select("doc_id", latin.alias("latin1"), same("ISO_IR 192").alias("utf8"), same("GB18030").alias("gb"), size("ISO_IR 100").alias("latin1_bytes"), size("ISO_IR 192").alias("utf8_bytes"), differs.alias("gb_differs"))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 65280 ELSE 529 END AS status FROM events")
@@ -759,13 +763,14 @@ def command_roundtrip(spark, sf_dir):
     return own.select("event_id", (le(8, 4).cast("int") + 2).alias("group_length"), le(20, 2).cast("int").alias("code"), le(30, 2).cast("long").alias("message"))
 
 
-@query("SELECT vec_id, 8 AS height, 8 AS width, true AS same FROM embeddings")
+@query("SELECT vec_id, 8 AS height, 8 AS width, true AS same, '89504E470D0A1A0A0000000D4948445200000008000000080800000000' AS header FROM embeddings")
 def png_roundtrip(spark, sf_dir):
     """Rendered frames as PNG files, read back."""
     byte = lambda x: F.lpad(F.hex(x % 256), 2, "0")
     own = frames_of(spark, sf_dir).select("vec_id", F.unhex(F.array_join(F.transform("px", byte), "")).alias("frame"))
-    own = own.withColumn("back", png.png_decode(png.png_encode(F.col("frame"), 8, 8)))
-    return own.select("vec_id", F.col("back.rows").alias("height"), F.col("back.cols").alias("width"), (F.col("frame") == F.col("back.pixels")).alias("same"))
+    own = own.withColumn("png", png.png_encode(F.col("frame"), 8, 8))
+    own = own.withColumn("back", png.png_decode(F.col("png")))
+    return own.select("vec_id", F.col("back.rows").alias("height"), F.col("back.cols").alias("width"), (F.col("frame") == F.col("back.pixels")).alias("same"), F.hex(F.substring("png", 1, 29)).alias("header"))
 
 
 @query(_FRAMES + "SELECT vec_id, 0 AS frame, CAST(i AS INT) AS i, p[CAST(i AS INT) + 1] AS p FROM f, LATERAL (SELECT unnest(range(0, 64)) AS i) UNION ALL SELECT vec_id, 1, CAST(i AS INT), p[CAST(64 - i AS INT)] FROM f, LATERAL (SELECT unnest(range(0, 64)) AS i)")
