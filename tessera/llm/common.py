@@ -28,11 +28,16 @@ def space_words(text: bytes | None) -> list[bytes]:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests) a folder of this machine."""
+    """The cluster's shared folder. Only a local master (tests) may name none; it gets a folder of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-checkpoint-")
+        if current.isDefined():
+            named = current.get()
+        elif spark.sparkContext.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        else:
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -13,7 +13,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tessera.llm.common import map_texts, words
+from tessera.llm.common import checkpoint, map_texts, words
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -130,9 +130,9 @@ def decontaminate(
     hit_spans are word spans [start, end) that occurrences cover, merged; hit_items the distinct ids, as strings, of the
     items with an occurring window. Columns of `docs` with these names are replaced.
 
-    The tables of the items are broadcast in blocks of about `block_bytes` of item text, whose size is counted first:
-    a benchmark larger than that is searched for in several passes, one after the other in the same task, so what
-    is held at a time stays bounded and no shuffle is needed. A document is never split or cut.
+    The tables of the items are broadcast in blocks of about `block_bytes` of item text, whose size is counted first; the tables are
+    several times that. A benchmark larger than one block is searched for in several passes with a checkpoint between them, so that a
+    worker holds one block's tables at a time; no shuffle is needed. A document is never split or cut.
 
     Null and empty texts have no words. A null item id is named by the empty string; items of equal id count once.
     Repeated documents are each returned. Without items or documents the result has no hits or no rows.
@@ -153,7 +153,7 @@ def decontaminate(
             keep = [*carry, text_col] if n_blocks > 1 and text_col not in carry else carry
             out = map_texts(docs, text_col, keep, _FIELDS, scan)
         else:
-            out = _again(out, text_col, scan)
+            out = _again(checkpoint(out), text_col, scan)
     return out.select(*[F.col(f"`{c}`") for c in carry if c not in {f.name for f in _FIELDS}], *[f.name for f in _FIELDS])
 
 

@@ -35,46 +35,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out() -> Column:
+    """True for the rows whose labels no model may see; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside benchmark windows. Null texts have no words; a document without hits has the hash of the empty string; repeated rows each count."""
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return out.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame):
+    """Fitted on labels that are not held out; without any the score is 0.5."""
     return fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out()))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each whole text; null and empty texts get the score of a text without terms, repeated rows equal scores."""
     docs = table(spark, sf_dir, "documents")
     out = score_toxicity(docs, toxicity_model(spark, sf_dir, docs), carry=["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document; null texts have size 0, null sources are one source, repeated rows are each mixed."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and labels of each whole text; null texts are empty, repeated rows each scanned."""
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document, sizes near equal; null texts count 8 bytes, rows of equal text follow one another."""
     out = shard(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document; texts without words are linked with nothing, rows without an id are kept and have no component."""
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=NEAR)
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page; empty for null, empty and contentless pages, equal for equal pages."""
     return extract_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"]).select("page_id", "url", F.col("main_text").alias("text"), "n_chars")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each whole text; null and empty texts are scored by their statistics, repeated rows equally."""
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out()))
     out = score_quality(docs, model, carry=["doc_id"])
@@ -82,10 +92,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of each url; null urls have empty host and path and the template's verdict, equal urls equal ones."""
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules=URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each text and of its edit; null texts are empty, equal ids are ordered by a hash of the text."""
     out = compare_with_edit(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 

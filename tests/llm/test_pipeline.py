@@ -26,7 +26,7 @@ def test_stages_one_after_the_other(spark, sf_dir, tmp_path):
             gone = set(before) - kept
             assert gone and gone & toxic and len(gone - toxic) < 0.1 * len(before)
         elif name == "near_dedup":
-            assert kept == {d for d, (_, c) in brute_groups(before, 85, 100).items() if c == d}
+            assert kept == {d for d, (_, c) in brute_groups(before, 80, 100).items() if c == d}
         elif name == "decontamination":
             search = build_search([t.encode() for _, t in items], 10)
             suspects = {d for d, t in before.items() if any(s.find(words(t.encode())) for s in search)}
@@ -37,7 +37,7 @@ def test_stages_one_after_the_other(spark, sf_dir, tmp_path):
             for s, n in sources.values():
                 sizes[s] = sizes.get(s, 0) + n
             for r in rows:
-                assert before[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
+                assert r.text in before[r.doc_id] and r.n_chars == len(r.text)
                 taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
             assert all(abs(taken.get(s, 0) - t) <= 12 + 0.002 * t for s, t in targets(sizes).items())
         else:
