@@ -67,7 +67,12 @@ def decode(raw: Column, charset: str) -> Column:
 
 
 def encode(text: Column, charset: str) -> Column:
-    """Text as bytes; null where a character can't be encoded."""
+    """Text as bytes; null where a character can't be encoded. Latin-1 and UTF-8 stay in the JVM, the rest goes through Arrow batches."""
+    if charset == "ISO_IR 192":
+        return F.encode(text, "UTF-8")
+    if charset == "ISO_IR 100":
+        return F.when(~text.rlike(r"[^\x00-\xFF]"), F.encode(text, "ISO-8859-1"))
+
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
         def one(t):
