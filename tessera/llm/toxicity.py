@@ -5,20 +5,21 @@ its longer words. The factors let a pair of terms (an insult with a mention of a
 terms alone.
 
 The machine is fitted on a bounded sample of labelled texts (`max_rows`, the rows that come first by a hash of their id,
-so reruns agree). Spark makes the term lists; the driver sees those of the sample and no text. Every term that is in
-`least_texts` of them takes part, whatever their labels.
+so reruns agree). Spark makes the term lists; one task fits on those of the sample, as its size is bounded, and the driver sees the
+machine alone. Every term that is in `least_texts` of them takes part, whatever their labels.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tessera.llm import factorization
-from tessera.llm.common import checkpoint, map_texts, words
+from tessera.llm.common import map_texts, words
 from tessera.llm.factorization import FactorizationMachine
 
 #: Bytes of a word that make its stem.
@@ -71,7 +72,24 @@ def fit_toxicity(
     def terms_of(texts):
         yield pa.array([hashed_terms(t, buckets) for t in texts], pa.list_(pa.int32()))
 
-    found = map_texts(sample, "text", ["at", "label"], fields, terms_of).toArrow().sort_by("at")
+    found = map_texts(sample, "text", ["at", "label"], fields, terms_of)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = list(batches)
+        m = _fitted(pa.Table.from_batches(own) if own else found_schema.empty_table(), buckets, least_texts, fit)
+        yield pa.RecordBatch.from_pydict({"terms": [m.terms.tobytes()], "w0": [m.w0], "w": [m.w.tobytes()], "v": [m.v.tobytes()], "factors": [m.v.shape[1]]})
+
+    found_schema = pa.schema([("at", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int32()))])
+    row = found.repartition(1).mapInArrow(fitted, "terms binary, w0 double, w binary, v binary, factors long").first()
+    if row is None:  # no labelled text
+        return _fitted(found_schema.empty_table(), buckets, least_texts, fit)
+    numbers = lambda name, kind: np.frombuffer(bytes(row[name]), kind)
+    return FactorizationMachine(numbers("terms", np.int32), row["w0"], numbers("w", np.float32), numbers("v", np.float32).reshape(-1, row["factors"]), buckets)
+
+
+def _fitted(found: pa.Table, buckets: int, least_texts: int, fit: dict) -> FactorizationMachine:
+    """The machine of a table of (at, label, terms), whose rows are put in the order of `at`."""
+    found = found.sort_by("at")
     lists = found.column("terms").combine_chunks()
     flat, counts = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)
     texts = np.bincount(flat, minlength=buckets)
@@ -80,7 +98,6 @@ def fit_toxicity(
     place[terms] = np.arange(len(terms))
     rows = [r[r >= 0] for r in np.split(place[flat], np.cumsum(counts)[:-1])] if len(counts) else []
     y = np.array(found.column("label").to_pylist(), dtype=float)
-    del found, lists, flat, place, texts
     return factorization.fit(rows, y, terms.astype(np.int32), buckets, **fit)
 
 
