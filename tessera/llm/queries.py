@@ -15,6 +15,7 @@ from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.oracles import SQL
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.sharding import shard
+from tessera.llm.token_files import through_files
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
 from tessera.llm.url_filter import judge_urls
 
@@ -102,8 +103,16 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place and checksum of each document's token ids, read from files; null texts have the end id alone, null ids come first, repeated rows are each written."""
+    import public_tokenizers
+
+    out = through_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontaminate, op2_toxicity, op3_mixing, op4_licenses, op5_sharding, op6_near_dedup, op7_html, op8_quality, op9_urls, op10_fingerprint]
+    own = [op1_decontaminate, op2_toxicity, op3_mixing, op4_licenses, op5_sharding, op6_near_dedup, op7_html, op8_quality, op9_urls, op10_fingerprint, op12_token_files]
     return {f.__name__: f for f in own}
 
 
