@@ -211,7 +211,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     tokenizer: path of a file of the tokenizers library, there on every executor. Null texts are empty; null ids come first; rows of equal id
     are all written, in an order that reruns repeat. An empty table gives a folder without shards. The texts are encoded once: the ids are
     kept as Parquet in the folder until they have been counted and written. Beside counts of ids, of which there are as many as the
-    vocabulary has entries, nothing reaches the driver; one exchange brings the coded documents into order.
+    vocabulary has entries, nothing reaches the driver; one exchange brings the documents' ids into order, and the task that codes them writes them.
     """
     spark = docs.sparkSession
     width = Encoder(tokenizer).width
@@ -227,12 +227,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     rank = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     rank[vocab] = np.arange(len(vocab))
     bits = 1 if len(vocab) <= 1 << 16 else 2
-    per = 8 // bits
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [pack(rank[np.frombuffer(v.as_buffer(), f"<u{width}")], bits) for v in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([c + d for c, d in pairs], pa.binary())], names=["doc_id", "place", "n", "code"])
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, at = fs.FileSystem.from_uri(folder)
@@ -241,9 +235,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         out, held, held_ids = None, ([], [], [], []), 0
         for batch in batches:
             out = out or target.open_output_stream(f"{at}/{name}")
-            for doc_id, length, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                cut, code = -(-length // per), code.as_py()
-                for part, value in zip(held, (doc_id, length, code[:cut], code[cut:]), strict=True):
+            for doc_id, length, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                control, data = pack(rank[np.frombuffer(ids.as_buffer(), f"<u{width}")], bits)
+                for part, value in zip(held, (doc_id, length, control, data), strict=True):
                     part.append(value)
                 held_ids, docs_, ids_ = held_ids + length, docs_ + 1, ids_ + length
                 if held_ids >= CHUNK_IDS:
@@ -257,10 +251,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     # rows of equal id are told apart by a checksum, and equal rows by where they stand in the written table, so that no id is one task's
     keyed = tokens.select("doc_id", (F.crc32("ids") * (1 << 31) + F.monotonically_increasing_id() % (1 << 31)).alias("place"), "n", "ids")
-    keyed = keyed.mapInArrow(coded, "doc_id long, place long, n long, code binary")
     shards = max(1, -(-int(n.sum()) // shard_ids))
     ordered = keyed.repartitionByRange(shards, "doc_id", "place").sortWithinPartitions("doc_id", "place")
-    ordered.select("doc_id", "n", "code").mapInArrow(written, "shard int, file string, docs long, ids long, bytes long").write.parquet(f"{folder}/manifest")
+    ordered.select("doc_id", "n", "ids").mapInArrow(written, "shard int, file string, docs long, ids long, bytes long").write.parquet(f"{folder}/manifest")
     system.delete_dir(f"{root}/ids")
 
 
