@@ -107,4 +107,30 @@ SELECT doc_id, CAST(length(at_) AS BIGINT) AS n_chars, sha256(bt_) AS edited_sha
   {_like('a', 'b')} AS near_edited, {_like('a', 'c')} AS near_next FROM p
 """
 
-SQL = {"op1_decontaminate": DECONTAMINATE, "op3_mixing": MIXING, "op4_licenses": LICENSES, "op6_near_dedup": NEAR_DEDUP, "op10_fingerprint": FINGERPRINT}
+
+def _told(*values: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in values) + ")"
+
+
+#: Levels by grouping runs; CRC-32 bit by bit; a proof step is L or R and the sibling, or - where there is none.
+MANIFEST = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_told("doc_id", "source", "lang", "n_chars", "text")} AS leaf, {_told("doc_id", "source", "lang", "n_chars + 1", "text")} AS altered,
+  xor(list_reduce([4294967295]::BIGINT[] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), c -> CAST(ord(c) AS BIGINT)),
+    (c, b) -> list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], (x, z) -> CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS crc FROM documents),
+g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER () AS trees FROM (SELECT DISTINCT lang FROM d)),
+o AS (SELECT d.*, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM d JOIN g ON g.lang IS NOT DISTINCT FROM d.lang),
+t AS (SELECT 0 AS lvl, tree, idx, n, leaf AS h FROM o UNION ALL SELECT lvl + 1, tree, idx // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY lvl, tree, idx // 2),
+u AS (SELECT 0 AS lvl, tree AS idx, trees AS n, h FROM t JOIN g USING (tree) WHERE n = 1 UNION ALL SELECT lvl + 1, idx // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY lvl, idx // 2),
+s AS (SELECT tree, idx, lvl, CASE WHEN h IS NULL THEN '-' WHEN (idx >> lvl) % 2 = 1 THEN 'L' || h ELSE 'R' || h END AS step
+  FROM (SELECT o.tree, o.idx, v.lvl, b.h FROM o JOIN (SELECT DISTINCT tree, lvl FROM t WHERE n > 1) v ON v.tree = o.tree LEFT JOIN t b ON b.tree = o.tree AND b.lvl = v.lvl AND b.idx = xor(o.idx >> v.lvl, 1))),
+r AS (SELECT tree, lvl, CASE WHEN h IS NULL THEN '-' WHEN (tree >> lvl) % 2 = 1 THEN 'L' || h ELSE 'R' || h END AS step
+  FROM (SELECT g.tree, v.lvl, b.h FROM g, (SELECT DISTINCT lvl FROM u WHERE n > 1) v LEFT JOIN u b ON b.lvl = v.lvl AND b.idx = xor(g.tree >> v.lvl, 1))),
+p AS (SELECT tree, idx, list(step ORDER BY lvl) AS steps FROM s GROUP BY 1, 2),
+q AS (SELECT tree, list(step ORDER BY lvl) AS steps FROM r GROUP BY 1),
+a AS (SELECT o.*, CASE WHEN crc % 7 = 0 THEN altered ELSE leaf END AS claimed, coalesce(p.steps, []) || coalesce(q.steps, []) AS steps, t.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root
+  FROM o LEFT JOIN p ON p.tree = o.tree AND p.idx = o.idx LEFT JOIN q ON q.tree = o.tree JOIN t ON t.tree = o.tree AND t.n = 1),
+f AS (SELECT *, list_reduce([claimed] || steps, (c, x) -> sha256(CASE WHEN x[1] = 'L' THEN x[2:] || c WHEN x[1] = 'R' THEN c || x[2:] ELSE c END)) AS folded_root FROM a)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, x -> x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
+"""
+
+SQL = {"op1_decontaminate": DECONTAMINATE, "op3_mixing": MIXING, "op4_licenses": LICENSES, "op6_near_dedup": NEAR_DEDUP, "op10_fingerprint": FINGERPRINT, "op11_manifest": MANIFEST}

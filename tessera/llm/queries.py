@@ -10,6 +10,7 @@ from tessera.llm.decontaminate import decontaminate
 from tessera.llm.fingerprint import compare_with_edit
 from tessera.llm.html_text import extract_text
 from tessera.llm.licenses import scan_licenses
+from tessera.llm.merkle_manifest import leaf_digest, manifest
 from tessera.llm.mixing import mix
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.oracles import SQL
@@ -103,6 +104,17 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of each row, and the root that a leaf of altered values leads to. A row without an id comes first in its
+    language and is never altered, rows of equal id are ordered by their leaf, repeated rows are each a leaf; without rows there is no root."""
+    values = ["doc_id", "source", "lang", "n_chars", "text"]
+    altered = leaf_digest([F.col(v) + 1 if v == "n_chars" else F.col(v) for v in values])
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.unhex(altered))
+    m = manifest(table(spark, sf_dir, "documents"), values, "lang", "doc_id", {"doc_id": F.col("doc_id"), "claimed": claimed})
+    out = m.rows.withColumn("root", F.lit(m.root)).withColumn("folded_root", m.folded_root(F.coalesce(F.lower(F.hex("claimed")), "leaf")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(m.proof(), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place and checksum of each document's token ids, read from files; null texts have the end id alone, null ids come first, repeated rows are each written."""
     import public_tokenizers
@@ -112,7 +124,7 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontaminate, op2_toxicity, op3_mixing, op4_licenses, op5_sharding, op6_near_dedup, op7_html, op8_quality, op9_urls, op10_fingerprint, op12_token_files]
+    own = [op1_decontaminate, op2_toxicity, op3_mixing, op4_licenses, op5_sharding, op6_near_dedup, op7_html, op8_quality, op9_urls, op10_fingerprint, op11_manifest, op12_token_files]
     return {f.__name__: f for f in own}
 
 
