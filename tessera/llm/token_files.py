@@ -41,14 +41,14 @@ LENGTHS = {bits: ((np.arange(256)[:, None] >> (bits * np.arange(8 // bits))) & (
 CHUNK_IDS = 1_000_000
 
 # Letters, digits and white space up to U+017F, which every version of Unicode agrees on, for the pattern that the byte-level pre-tokenizer
-# splits by (a fixed value). Texts with other characters are encoded whole by the library.
+# splits by (a fixed value). Texts with further characters, some punctuation aside, are encoded whole by the library.
 _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _S = r"\t-\r \x85\xa0"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_OTHER = re.compile(rf"[^{_L}{_N}{_S}!-~\xa1-\xbf\xd7\xf7‐-‧]")
-#: A space that does not begin a word: it is followed by white space or ends the text.
-_LONE_SPACE = re.compile(rf" (?:[{_S}]|\Z)")
+_OTHER = re.compile(r"[^\x00-\x7f\x85\xa0-ſ‐-‧]")
+#: Spaces that don't begin a word, as white space follows them (or the text ends).
+_LONE_SPACES = tuple(f" {c}" for c in " \n\t\r\v\f\x85\xa0")
 
 
 class _Kept(dict):
@@ -72,7 +72,7 @@ class Encoder:
     space before it, is kept. The ids are the library's for the whole text; texts that can't be split so are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 650_000):
         import json
         import os
 
@@ -112,9 +112,9 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
 
     def __call__(self, text: str) -> bytes:
-        if not self.in_pieces or _OTHER.search(text):
+        if not self.in_pieces or not text.isascii() and _OTHER.search(text):
             return self.whole(text)
-        if _LONE_SPACE.search(text):
+        if text.endswith(" ") or any(x in text for x in _LONE_SPACES):
             return self.split(text)
         first, *rest = text.split(" ")
         return b"".join([self.split(first), *map(self.spaced.__getitem__, rest)])

@@ -20,8 +20,8 @@ def lib(text):
     return LIB.encode(text or "", add_special_tokens=False).ids
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.one_of(st.text(alphabet=" \n\t'stredaA1é€ \x1c²½,.　ſƀ’", max_size=40), st.text(max_size=30), st.lists(st.sampled_from(["the", "don't", "DON'T", " ", "  ", "\n", "x" * 70, "12,5", "Über"]), max_size=12).map(" ".join)))
+@settings(max_examples=1500, deadline=None)
+@given(st.one_of(st.text(alphabet=" \n\t'stredaA1é€ \x1c²½,.　ſƀ’", max_size=40), st.text(max_size=30), st.text(alphabet=[chr(c) for c in range(0x180)], max_size=30), st.text(alphabet=[chr(c) for c in range(33)] + ["a", "1"], max_size=30), st.lists(st.sampled_from(["the", "don't", "DON'T", " ", "  ", "\n", "x" * 70, "12,5", "Über"]), max_size=12).map(" ".join)))
 def test_ids_are_those_of_the_whole_text(text):
     assert np.frombuffer(OWN(text), "<u2").tolist() == lib(text)
 
