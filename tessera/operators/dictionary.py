@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.operators.intervals import first_range_of
 from tessera.plans.dims import TAG_RANGE, dim_tag, dim_uid
 
-#: Most ranges of a dimension that become conditions.
-MOST_RANGES = 1000
+#: Most ranges of a dimension that become conditions, each within the next: hundreds are too deep for the planner's stack.
+MOST_RANGES = 64
 
 
 def with_entry(df: DataFrame, tag: str) -> DataFrame:
@@ -29,12 +30,12 @@ def with_entry(df: DataFrame, tag: str) -> DataFrame:
 def range_lookup(df: DataFrame, value: str, ranges: DataFrame, low: str, high: str, order: str) -> DataFrame:
     """Each row with the columns of the first range (by `order`) that holds its value, null where none does or the value is null.
 
-    The ranges are a dimension of at most MOST_RANGES rows (more are an error) and become conditions of the row itself: no row moves,
-    repeated rows stay. Ranges with a null bound hold nothing. A column of `df` named like one of the ranges' is replaced.
+    At most MOST_RANGES ranges become conditions of the row itself, so that no row moves; more are joined by equal blocks, which takes
+    whole numbers. Repeated rows stay, ranges with a null bound hold nothing, and a column of `df` named like one of the ranges' is replaced.
     """
     rows = ranges.orderBy(order).limit(MOST_RANGES + 1).collect()
     if len(rows) > MOST_RANGES:
-        raise ValueError(f"more than {MOST_RANGES} ranges")
+        return first_range_of(df, value, ranges, low, high, order)
     names = [c for c in ranges.columns if c not in (low, high)]
     kind = ranges.select(*names).schema
     found = F.lit(None).cast(kind)

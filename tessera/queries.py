@@ -6,15 +6,17 @@ value is floor((x + 0.6) * 3000); conversations are fragments; events are the me
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.functions import charset, codec_math, pdu, pixels, png, rle, tags, values
-from tessera.operators import datasets, dictionary, frames, images, negotiation, query_retrieve
+from tessera.operators import datasets, dictionary, frames, images, intervals, negotiation, query_retrieve
 from tessera.operators.query_retrieve import Hierarchy
 from tessera.plans import dims
-from tessera.sources import dicom_json, files, part10
+from tessera.sources import dicom_json, dicom_source, files, part10
+from tessera.streaming import exchanges
 from tessera.streaming import messages as stream_messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,6 +212,19 @@ def dictionary_range_lookup(spark, sf_dir):
     return dictionary.range_lookup(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", ranges, "low", "high", "entry").select("p_partkey", "band")
 
 
+@query("""
+WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS o, l_orderkey * 8 + l_linenumber AS low, l_orderkey * 8 + l_linenumber + CAST(floor(max(l_quantity)) AS BIGINT) AS high, max(l_shipdate) AS shipped FROM lineitem GROUP BY l_orderkey, l_linenumber)
+SELECT o_orderkey, f.o AS entry, shipped FROM orders LEFT JOIN (SELECT o_orderkey AS k, min(o) AS o FROM orders JOIN r ON o_orderkey * 8 + 40 BETWEEN low AND high GROUP BY 1) f ON k = o_orderkey LEFT JOIN r ON r.o = f.o
+""")
+def interval_join(spark, sf_dir):
+    """The first of tens of thousands of overlapping ranges, one for each line of an order, that holds each order's number."""
+    at = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    ranges = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.floor(F.max("l_quantity")).alias("n"), F.max("l_shipdate").alias("shipped"))
+    ranges = ranges.select(at.alias("entry"), at.alias("low"), (at + F.col("n")).alias("high"), "shipped")
+    own = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 8 + 40).alias("at"))
+    return intervals.first_range_of(own, "at", ranges, "low", "high", "entry").select("o_orderkey", "entry", "shipped")
+
+
 @query("""
 SELECT p_partkey, tag, CASE WHEN tag = 1048592 THEN 'PN' WHEN tag % 65536 = 0 THEN 'UL' WHEN g BETWEEN 24576 AND 24831 AND g % 2 = 0 AND e IN (16, 17) THEN 'US' WHEN g BETWEEN 9 AND 65535 AND g % 2 = 1 AND e BETWEEN 16 AND 255 THEN 'LO' ELSE 'UN' END AS vr
 FROM (SELECT *, tag // 65536 AS g, tag % 65536 AS e FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 1048592 WHEN 1 THEN (24576 + p_size) * 65536 + 16 WHEN 2 THEN (9 + 2 * p_size) * 65536 + 16 WHEN 3 THEN CAST(p_size AS BIGINT) * 65536 ELSE 1048592 + 60000 END AS tag FROM part))
@@ -720,6 +735,93 @@ def store_stream(spark, sf_dir):
     return stream_messages.run_available(stream, _folder(spark), lambda b: stream_messages.answered(b, providers, "event_type").select("event_id", "status"))
 
 
+def _own_folder(spark, kind: str) -> str:
+    """A URI below the shared folder that nothing else has."""
+    base = _folder(spark).rstrip("/")
+    return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/{kind}-{uuid.uuid4().hex}"
+
+
+def _patient_files(spark, sf_dir) -> DataFrame:
+    """(name, content) of a file for each customer."""
+    return part10.write_content(patient_elements(spark, sf_dir)).select(F.concat("file", F.lit(".dcm")).alias("name"), "content")
+
+
+def _first_values(elements: DataFrame) -> DataFrame:
+    """id and name of each file from its element rows."""
+    first = lambda tag: F.max(F.when(F.col("tag") == tag, F.get("s", F.lit(0))))
+    return elements.groupBy("file").agg(first(0x00100020).alias("id"), first(0x00100010).alias("name")).drop("file")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name || '=' || c_mktsegment AS name FROM customer")
+def dicom_source_scan(spark, sf_dir):
+    """Files committed by the data source's writer and scanned again, the tags asked for being pushed to the parser."""
+    dicom_source.register(spark)
+    folder = _own_folder(spark, "scan")
+    _patient_files(spark, sf_dir).write.format("dicom").mode("append").save(folder)
+    return _first_values(spark.read.format("dicom").load(folder).where(F.col("tag").isin(0x00100010, 0x00100020)))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name || '=' || c_mktsegment AS name FROM customer")
+def dicom_source_stream(spark, sf_dir):
+    """Files that come in two commits, stored by a stream that is started again after each: every file once."""
+    dicom_source.register(spark)
+    folder, out = _own_folder(spark, "incoming"), _own_folder(spark, "stored")
+    own = _patient_files(spark, sf_dir)
+    even = F.crc32("name") % 2 == 0
+    for part in (own.where(even), own.where(~even)):
+        part.write.format("dicom").mode("append").save(folder)
+        stream = spark.readStream.format("dicom").option("log", f"{folder}-log").option("tags", "00100010,00100020").load(folder)
+        stream_messages.stored_once(stream, out, f"{out}-state", _first_values)
+    return spark.read.parquet(out).drop("batch")
+
+
+def _as_instants(events: DataFrame) -> DataFrame:
+    """Watermarks need instants: wall clock times count as UTC, whatever the session's time zone."""
+    return events.withColumn("ts", F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))"))
+
+
+_EXCHANGE_SQL = """
+WITH q AS (SELECT event_id AS request, user_id, ts AS asked FROM events WHERE event_type = 'view'), a AS (SELECT event_id AS response, user_id, ts AS answered, CAST(value AS INT) AS status FROM events WHERE event_type = 'purchase')
+SELECT request, response, CASE WHEN response IS NULL THEN 529 ELSE status END AS status FROM q LEFT JOIN a ON q.user_id = a.user_id AND answered BETWEEN asked AND asked + INTERVAL 6 HOUR
+"""
+
+
+def _exchanges(events: DataFrame) -> DataFrame:
+    asked = events.where("event_type = 'view'").select(F.col("event_id").alias("request"), "user_id", F.col("ts").alias("asked"))
+    answers = events.where("event_type = 'purchase'").select(F.col("event_id").alias("response"), "user_id", F.col("ts").alias("answered"), F.floor("value").cast("int").alias("status"))
+    return exchanges.answered_in_time(asked, answers, "user_id", "asked", "answered", "status", "6 HOURS", "1 day").select("request", "response", "status")
+
+
+@query(_EXCHANGE_SQL.replace("CAST(value AS INT)", "CAST(floor(value) AS INT)"))
+def exchange_batch(spark, sf_dir):
+    """Views as requests, purchases of the same user within six hours as their responses; 0211 where there is none."""
+    return _exchanges(_as_instants(table(spark, sf_dir, "events")))
+
+
+@query(_EXCHANGE_SQL.replace("CAST(value AS INT)", "CAST(floor(value) AS INT)") + """
+WHERE response IS NOT NULL OR asked + INTERVAL 6 HOUR < (SELECT min(t) FROM (SELECT max(asked) AS t FROM q UNION ALL SELECT max(answered) FROM a)) - INTERVAL 1 DAY
+""")
+def exchange_stream(spark, sf_dir):
+    """The same as a stream joined with a stream: a request without a response comes out when the watermark has passed its time."""
+    stream = stream_messages.message_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
+    return stream_messages.run_available(_exchanges(_as_instants(stream)), _folder(spark))
+
+
+@query("""
+WITH m AS (SELECT *, CAST(coalesce(count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS message FROM events)
+SELECT user_id AS association, message, CAST(count(*) AS BIGINT) AS parts, md5(string_agg(props, '' ORDER BY event_id)) AS digest, bool_or(event_type = 'error') AS complete FROM m GROUP BY 1, 2
+HAVING bool_or(event_type = 'error') OR max(ts) + INTERVAL 1 DAY < (SELECT max(ts) FROM events)
+""")
+def assemble_until_idle_stream(spark, sf_dir):
+    """Properties of a user's events as parts of messages that an error ends, with list state and a timer for each user: what a user
+    who was idle for a day at the end has of a message comes out unfinished, that of others stays in state."""
+    stream = stream_messages.message_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
+    out = exchanges.assembled_until_idle(_as_instants(stream).withColumn("last", F.col("event_type") == "error"), "user_id", "event_id", "props", "last", "ts", 86_400)
+    with exchanges.rocksdb_state(spark):
+        stored = stream_messages.run_available(out, _folder(spark))
+    return stored.select("association", "message", "parts", F.md5("data").alias("digest"), "complete")
+
+
 # ---- protocol units, images, file names ----
 
 

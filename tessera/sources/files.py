@@ -1,4 +1,4 @@
-"""Objects stored as files of any file system that pyarrow knows, and a Python data source `dicom` that scans them."""
+"""Objects stored as files of any file system that pyarrow knows."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-from tessera.sources import part10
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,42 +47,3 @@ def save_files(objects: DataFrame, folder: str, name: str = "name", content: str
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     return objects.select(name, content).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
-class FilePart(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-
-class DicomReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.folder = options["path"]
-        self.per_part = int(options.get("filesPerPartition", "64"))
-        self.tags = frozenset(int(t, 16) for t in options["tags"].split(",")) if options.get("tags") else None
-
-    def partitions(self):
-        system, root = fs.FileSystem.from_uri(self.folder)
-        paths = sorted(i.path for i in system.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file and i.path.endswith(".dcm"))
-        return [FilePart(paths[k : k + self.per_part]) for k in range(0, len(paths), self.per_part)] or [FilePart([])]
-
-    def read(self, partition: FilePart):
-        system, _ = fs.FileSystem.from_uri(self.folder)
-        run = part10._parsed(self.tags)
-        for path in partition.paths:
-            with system.open_input_stream(path) as file:
-                batch = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([file.read()], pa.binary())], names=["file", "content"])
-            yield from run([batch])
-
-
-class DicomDataSource(DataSource):
-    """spark.dataSource.register(DicomDataSource); spark.read.format("dicom").option("tags", "00100010,00100020").load(uri)"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "dicom"
-
-    def schema(self) -> str:
-        return part10.ELEMENTS
-
-    def reader(self, schema) -> DicomReader:
-        return DicomReader(self.options)

@@ -23,17 +23,23 @@ def answered(messages: DataFrame, providers: DataFrame, service: str) -> DataFra
     return messages.join(F.broadcast(providers), service, "left").withColumn("status", F.coalesce("status", F.lit(STATUS["no_provider"])))
 
 
-def run_available(stream: DataFrame, folder: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Process all that is there now, each micro-batch written once under its number, and read the result.
+def stored_once(stream: DataFrame, out: str, state: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """Process all that is there now, each micro-batch written once under its number.
 
-    A batch that is repeated after a failure overwrites its own folder, so no row is stored twice.
+    A batch that is repeated after a failure overwrites its own folder, so no row is stored twice. Called again with the same `out` and
+    `state`, it goes on where it was, with what has come since.
     """
-    out = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
 
     def store(batch: DataFrame, number: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(store).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_available(stream: DataFrame, folder: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """`stored_once` to a folder of its own, read back."""
+    out = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    stored_once(stream, out, f"{out}-state", transform)
     return stream.sparkSession.read.parquet(out).drop("batch")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import pdu, png
 from tessera.operators import images
-from tessera.sources import files, part10
+from tessera.sources import dicom_source, files, part10
 from tests.test_operators import element, file_of
 
 
@@ -17,7 +17,7 @@ def test_files_are_stored_and_scanned(spark, tmp_path):
     folder = f"file://{tmp_path}/store"
     assert files.save_files(named, folder) == 5 and files.save_files(named, folder) == 5
     assert sorted(p.name for p in (tmp_path / "store").iterdir()) == ["1.2.2.dcm", "1.2.3.dcm", "1.2.4.dcm", "1.2_3-1.dcm", "1.2_3.dcm"]
-    spark.dataSource.register(files.DicomDataSource)
+    dicom_source.register(spark)
     scanned = spark.read.format("dicom").option("tags", "00100020").option("filesPerPartition", "2").load(folder)
     assert scanned.rdd.getNumPartitions() == 3
     assert sorted(r.s[0] for r in scanned.collect()) == [f"P{k}" for k in range(5)]
