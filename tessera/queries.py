@@ -15,7 +15,7 @@ from tessera.functions import charset, codec_math, pdu, pixels, png, rle, tags,
 from tessera.operators import datasets, dictionary, frames, images, intervals, negotiation, query_retrieve
 from tessera.operators.query_retrieve import Hierarchy
 from tessera.plans import dims
-from tessera.sources import dicom_json, dicom_source, files, part10
+from tessera.sources import dicom_json, dicom_source, files, json_elements, part10
 from tessera.streaming import exchanges
 from tessera.streaming import messages as stream_messages
 
@@ -701,6 +701,24 @@ _XML = " || ".join([
 ])
 
 
+@query("""
+WITH v AS (SELECT CAST(o_orderkey AS VARCHAR) AS file, o_orderkey % 8 AS kind, o_orderkey * 97 AS big, CAST(floor(o_totalprice) AS BIGINT) AS price, strftime(o_orderdate, '%Y%m%d') AS day, o_orderpriority AS text FROM orders)
+SELECT file, '00280010' AS path, 'US' AS vr, NULL AS s, CASE WHEN kind = 7 OR big > 65535 THEN NULL ELSE CAST(big AS VARCHAR) END AS i, CASE WHEN kind = 7 THEN 'empty and other values are mixed' WHEN big > 65535 THEN 'out of range' END AS error FROM v WHERE kind <> 6
+UNION ALL SELECT file, '00181149', 'IS', CASE WHEN kind <> 5 THEN CAST(price AS VARCHAR) END, NULL, CASE WHEN kind = 5 THEN 'not a number' END FROM v WHERE kind <> 6
+UNION ALL SELECT file, '00081115', 'SQ', NULL, NULL, NULL FROM v WHERE kind <> 6
+UNION ALL SELECT file, '00081115/0', '', NULL, NULL, NULL FROM v WHERE kind <> 6
+UNION ALL SELECT file, '00081115/0/00080020', 'DA', CASE WHEN kind <> 4 THEN day END, NULL, CASE WHEN kind = 4 THEN 'not a date or time' END FROM v WHERE kind <> 6
+UNION ALL SELECT file, '00081115/0/00081030', CASE WHEN kind <> 3 THEN 'LO' END, CASE WHEN kind <> 3 THEN text END, NULL, CASE WHEN kind = 3 THEN 'unknown VR' END FROM v WHERE kind <> 6
+UNION ALL SELECT file, NULL, NULL, NULL, NULL, 'not JSON' FROM v WHERE kind = 6
+""")
+def dicom_json_typed(spark, sf_dir):
+    """Objects read with the rules of each VR; by their keys some hold what a rule forbids, in an item too, or are cut short."""
+    text = F.expr("""concat('{"00280010":{"vr":"US","Value":[', o_orderkey * 97, if(o_orderkey % 8 = 7, ',null', ''), ']},"00181149":{"vr":"IS","Value":["', cast(floor(o_totalprice) AS bigint), if(o_orderkey % 8 = 5, 'x', ''), '"]},"00081115":{"vr":"SQ","Value":[{"00080020":{"vr":"DA","Value":["',
+      date_format(o_orderdate, 'yyyyMMdd'), if(o_orderkey % 8 = 4, '1', ''), '"]},"00081030":{"vr":"', if(o_orderkey % 8 = 3, 'XX', 'LO'), '","Value":["', o_orderpriority, '"]}}]}', if(o_orderkey % 8 = 6, '', '}'))""")
+    own = json_elements.read_json(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("file"), text.alias("json")))
+    return own.select("file", "path", "vr", F.array_join("s", "\\").alias("s"), F.array_join(F.transform("i", lambda x: x.cast("string")), "\\").alias("i"), "error")
+
+
 @query(f"SELECT CAST(c_custkey AS VARCHAR) AS file, '<NativeDicomModel>' || {_XML} || '</NativeDicomModel>' AS xml FROM customer")
 def dicom_xml_write(spark, sf_dir):
     return dicom_json.to_xml(patient_elements(spark, sf_dir))

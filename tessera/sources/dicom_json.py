@@ -5,11 +5,13 @@ Sequences are rendered from the innermost items outwards, one grouping for each
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.values import person_component, person_groups, xml_escape
+from tessera.sources.files import shared_folder
 
 BULK = ["OB", "OD", "OF", "OL", "OV", "OW", "UN"]
 JSON_ELEMENTS = "map<string, struct<vr: string, Value: array<string>, InlineBinary: string, BulkDataURI: string>>"
@@ -79,29 +81,31 @@ def to_json(elements: DataFrame, file: str = "file", bulk_uri: Column | None = N
     return nested(elements, element_json(bulk_uri), whole, lambda parts: F.array_join(parts, ","), file).withColumnRenamed("text", "json")
 
 
-def from_json(df: DataFrame, file: str = "file", json: str = "json", most_depth: int = 32) -> DataFrame:
+def from_json(df: DataFrame, file: str = "file", json: str = "json") -> DataFrame:
     """(file, path, depth, tag, vr, value, inline, uri): a row for each element and item of DICOM JSON objects, nested ones too.
 
-    Values are given as text, person names as `alphabetic=ideographic=phonetic`. Text that is no object gives no row. One pass for
-    each level of nesting that occurs, at most `most_depth` of them; deeper items are not read.
+    Values are given as text as they stand, person names as `alphabetic=ideographic=phonetic`; `json_elements.read_json` has their types and says what is
+    wrong with them. Text that is no object, and null, give no row; of a tag that an object has twice the last counts; repeated files give
+    repeated rows. The items of each level of nesting are written to the shared folder, so each is parsed for itself, however many levels there are.
     """
-    level = df.select(file, F.lit("").alias("at"), F.col(json).alias("object"))
-    out = None
-    for depth in range(most_depth + 1):
-        parsed = level.select(file, "at", F.explode(F.from_json("object", JSON_ELEMENTS)).alias("k", "e"))
-        path = F.concat("at", F.upper("k"))
-        name = lambda v: F.rtrim(F.concat_ws("=", *[F.coalesce(F.get_json_object(v, f"$.{g}"), F.lit("")) for g in ("Alphabetic", "Ideographic", "Phonetic")]), F.lit("="))
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/json-{uuid.uuid4().hex}"
+    level, depth, out = df.select(F.col(file).alias("file"), F.lit("").alias("at"), F.col(json).alias("object")), 0, None
+    none = F.lit(None)
+    name = lambda v: F.rtrim(F.concat_ws("=", *[F.coalesce(F.get_json_object(v, f"$.{g}"), F.lit("")) for g in ("Alphabetic", "Ideographic", "Phonetic")]), F.lit("="))
+    while True:
+        parsed = level.select("file", "at", F.explode(F.from_json("object", JSON_ELEMENTS)).alias("k", "e")).withColumn("path", F.concat("at", F.upper("k")))
         value = F.when(F.col("e.vr") == "PN", F.transform("e.Value", name)).when(F.col("e.vr") != "SQ", F.col("e.Value"))
-        rows = parsed.select(file, path.alias("path"), F.lit(depth).alias("depth"), F.conv("k", 16, 10).cast("long").alias("tag"), F.col("e.vr").alias("vr"), value.alias("value"), F.unbase64("e.InlineBinary").alias("inline"), F.col("e.BulkDataURI").alias("uri"))
+        rows = parsed.select("file", "path", F.lit(depth).alias("depth"), F.conv("k", 16, 10).cast("long").alias("tag"), F.col("e.vr").alias("vr"), value.alias("value"), F.unbase64("e.InlineBinary").alias("inline"), F.col("e.BulkDataURI").alias("uri"))
         out = rows if out is None else out.unionByName(rows)
-        items = parsed.where("e.vr = 'SQ'").select(file, path.alias("path"), F.posexplode("e.Value").alias("n", "object"))
+        items = parsed.where("e.vr = 'SQ'").select("file", "path", F.posexplode("e.Value").alias("n", "object"))
+        items.select("file", F.concat("path", F.lit("/"), F.col("n").cast("string")).alias("path"), "object").write.parquet(f"{folder}/{depth}")
+        items = spark.read.parquet(f"{folder}/{depth}")
         if items.isEmpty():
-            break
-        own = F.concat("path", F.lit("/"), F.col("n").cast("string"))
-        none = F.lit(None)
-        out = out.unionByName(items.select(file, own.alias("path"), F.lit(depth + 1).alias("depth"), F.lit(ITEM).cast("long").alias("tag"), F.lit("").alias("vr"), none.cast("array<string>").alias("value"), none.cast("binary").alias("inline"), none.cast("string").alias("uri")))
-        level = items.select(file, F.concat(own, F.lit("/")).alias("at"), "object")
-    return out
+            return out.withColumnRenamed("file", file)
+        depth += 1
+        out = out.unionByName(items.select("file", "path", F.lit(depth).alias("depth"), F.lit(ITEM).cast("long").alias("tag"), F.lit("").alias("vr"), none.cast("array<string>").alias("value"), none.cast("binary").alias("inline"), none.cast("string").alias("uri")))
+        level = items.select("file", F.concat("path", F.lit("/")).alias("at"), "object")
 
 
 def element_xml() -> Column:
