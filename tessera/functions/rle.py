@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 
@@ -79,25 +79,39 @@ def decode_frame(frame: bytes, n_pixels: int, samples: int, width: int) -> bytes
     return out.tobytes()
 
 
-def rle_encode(pixels: Column, samples: int = 1, width: int = 1) -> Column:
-    @F.pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda p: None if p is None else encode_frame(bytes(p), samples, width))
+def _each(fn, *columns: pa.Array) -> pa.Array:
+    """One result for each row, null where an argument is null or the row can't be coded. Bytes are looked at where the batch has them."""
 
-    return run(pixels)
+    def one(row):
+        if not all(v.is_valid for v in row):
+            return None
+        try:
+            return fn(*[v.as_buffer() if isinstance(v, pa.BinaryScalar | pa.LargeBinaryScalar) else v.as_py() for v in row])
+        except (ValueError, struct.error):
+            return None
 
+    return pa.array(map(one, zip(*columns, strict=True)), pa.binary())
 
-def rle_decode(frame: Column, n_pixels: Column, samples: int = 1, width: int = 1) -> Column:
-    """Pixels of a frame; null where it can't be decoded."""
 
-    @F.pandas_udf("binary")
-    def run(s: pd.Series, n: pd.Series) -> pd.Series:
-        def one(f, k):
-            try:
-                return None if f is None else decode_frame(bytes(f), int(k), samples, width)
-            except (ValueError, struct.error):
-                return None
+def _column(value: Column | int) -> Column:
+    return F.lit(value) if isinstance(value, int) else value.cast("int")
+
+
+def rle_encode(pixels: Column, samples: Column | int = 1, width: Column | int = 1) -> Column:
+    """A frame of interleaved samples of `width` bytes; null for null, and where the bytes aren't whole pixels."""
+
+    @F.arrow_udf("binary")
+    def run(p: pa.Array, s: pa.Array, w: pa.Array) -> pa.Array:
+        return _each(encode_frame, p, s, w)
+
+    return run(pixels, _column(samples), _column(width))
+
+
+def rle_decode(frame: Column, n_pixels: Column, samples: Column | int = 1, width: Column | int = 1) -> Column:
+    """Pixels of a frame; null where it can't be decoded."""
 
-        return pd.Series([one(f, k) for f, k in zip(s, n, strict=True)])
+    @F.arrow_udf("binary")
+    def run(f: pa.Array, n: pa.Array, s: pa.Array, w: pa.Array) -> pa.Array:
+        return _each(lambda data, *shape: decode_frame(data.to_pybytes(), *shape), f, n, s, w)
 
-    return run(frame, n_pixels)
+    return run(frame, n_pixels.cast("long"), _column(samples), _column(width))

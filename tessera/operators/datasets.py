@@ -7,8 +7,10 @@ their number. Editing gives new rows and leaves the old table as it is.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.frames import fragment_offsets
 
@@ -102,7 +104,8 @@ def encapsulated(fragments: DataFrame, file: str, frame: str, order: str, data:
     """Element rows of encapsulated pixel data of fragments: the offset table as 7FE00010/0, then the fragments in order.
 
     An offset is where the first fragment of a frame begins: 8 bytes and the even length of each fragment before it. All fragments of a file
-    meet in one task only as lengths; a stream beyond the 32 bits of an offset is an error row.
+    meet in one task only as keys and lengths, their bytes are dealt by fragment; a stream beyond the 32 bits of an offset is an error row.
+    Fragments of equal order are ordered by a hash of their bytes.
     """
     own = fragments.select(F.col(file).cast("string").alias("file"), F.col(frame).alias("frame"), F.col(order).alias("order"), F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("b"))
     length = F.octet_length("b")
@@ -113,8 +116,16 @@ def encapsulated(fragments: DataFrame, file: str, frame: str, order: str, data:
     table = F.transform(F.array_sort(F.collect_list("offset")), lambda x: swapped(digits(x)))
     offsets = firsts.groupBy("file").agg(F.unhex(F.array_join(table, "")).alias("b"), F.max("offset").alias("most"))
     error = F.when(F.col("most") > 0xFFFFFFFF, "the fragments are longer than an offset can say")
-    number = F.expr("row_number() OVER (PARTITION BY file ORDER BY frame, order)")
-    placed = own.withColumn("k", number).select("file", F.col("k").alias("k"), "b", F.lit(None).cast("string").alias("error"))
+    # fragments are numbered by their keys alone, and the bytes then meet their number; equal fragments of one key share a range of numbers
+    keys = ["file", "frame", "order", "h"]
+    own = own.withColumn("h", F.xxhash64("b"))
+    number = F.row_number().over(Window.partitionBy("file").orderBy("frame", "order", "h"))
+    numbers = own.select(keys).withColumn("k", number).groupBy(keys).agg(F.min("k").alias("k"), F.count("*").alias("copies"))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in keys]
+    met = own.alias("x").join(numbers.alias("y"), reduce(and_, same)).select(*[F.col(f"x.{c}") for c in keys], "b", "k", "copies")
+    again = F.row_number().over(Window.partitionBy("k", *keys).orderBy("k")) - 1
+    met = met.where("copies = 1").unionByName(met.where("copies > 1").withColumn("k", F.col("k") + again))
+    placed = met.select("file", "k", "b", F.lit(None).cast("string").alias("error"))
     both = placed.unionByName(offsets.select("file", F.lit(0).alias("k"), "b", error.alias("error")))
     none = F.lit(None)
     return both.select(

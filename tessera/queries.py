@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.functions import charset, codec_math, pdu, pixels, png, rle, tags, values
-from tessera.operators import datasets, dictionary, frames, images, intervals, negotiation, query_retrieve
+from tessera.operators import codecs, datasets, dictionary, frames, images, intervals, negotiation, query_retrieve
 from tessera.operators.query_retrieve import Hierarchy
 from tessera.plans import dims
 from tessera.sources import dicom_json, dicom_source, files, json_elements, part10
@@ -247,6 +247,39 @@ def codec_capability(spark, sf_dir):
     return own.select("p_partkey", "decodes", "encodes")
 
 
+# bytes of the 8x8 frames in seven shades; runs of two and more are repeated, single bytes between them are literals
+_SHADES = "list_transform(embedding, lambda x: CAST(floor((x + 0.6) * 3000) AS BIGINT) // 600 % 256)"
+_HEX = "printf('%02X', CAST({} AS BIGINT))"
+
+
+@query(f"""
+WITH f AS (SELECT vec_id, vec_id % 6 AS kind, {_SHADES} AS px FROM embeddings),
+p AS (SELECT vec_id, i, px[i] AS v, CASE WHEN i > 1 AND px[i] = px[i - 1] THEN 0 ELSE 1 END AS new FROM f, LATERAL (SELECT unnest(range(1, 65)) AS i)),
+r AS (SELECT vec_id, run, min(i) AS i, count(*) AS n, any_value(v) AS v FROM (SELECT *, sum(new) OVER (PARTITION BY vec_id ORDER BY i) AS run FROM p) GROUP BY 1, 2),
+g AS (SELECT *, sum(CASE WHEN n = 1 AND before = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY vec_id ORDER BY i) AS part FROM (SELECT *, lag(n) OVER (PARTITION BY vec_id ORDER BY i) AS before FROM r)),
+s AS (SELECT vec_id, part, CASE WHEN max(n) > 1 THEN {_HEX.format("257 - max(n)")} || {_HEX.format("max(v)")} ELSE {_HEX.format("count(*) - 1")} || string_agg({_HEX.format("v")}, '' ORDER BY i) END AS h FROM g GROUP BY 1, 2),
+e AS (SELECT vec_id, string_agg(h, '' ORDER BY part) AS h FROM s GROUP BY 1),
+x AS (SELECT f.vec_id, kind, array_to_string(list_transform(px, lambda v: {_HEX.format("v")}), '') AS raw, '0100000040000000' || repeat('00', 56) || h || CASE WHEN length(h) % 4 = 2 THEN '00' ELSE '' END AS packed FROM f JOIN e ON e.vec_id = f.vec_id)
+SELECT vec_id, CASE WHEN kind IN (0, 4) THEN 'rle' WHEN kind IN (1, 3) THEN 'native' WHEN kind = 5 THEN 'inverse' END AS codec, CASE WHEN kind = 0 THEN packed WHEN kind = 1 THEN raw WHEN kind = 5 THEN array_to_string(list_reverse(regexp_extract_all(raw, '..')), '') END AS coded,
+  CASE kind WHEN 2 THEN 'no codec for 1.2.3.4' WHEN 3 THEN 'BitsStored exceeds BitsAllocated' WHEN 4 THEN 'BitsStored must be at least 1' END AS error, CASE WHEN kind IN (0, 1, 5) THEN raw END AS pixels FROM x
+""")
+def codec_dispatch(spark, sf_dir):
+    """Frames of five transfer syntaxes and depths coded and decoded by the registry: run lengths, native data, a codec registered over a
+    built-in one, a syntax without a codec, depths that can't be."""
+    byte = lambda x: F.lpad(F.hex(F.floor(x / 600) % 256), 2, "0")
+    kind = F.col("vec_id") % 6
+    own = frames_of(spark, sf_dir).select("vec_id", F.unhex(F.array_join(F.transform("px", byte), "")).alias("frame"))
+    uid = F.when(kind.isin(0, 4), "1.2.840.10008.1.2.5").when(kind == 2, "1.2.3.4").when(kind == 5, "1.2.840.10008.1.2").otherwise("1.2.840.10008.1.2.1")
+    own = own.select("vec_id", uid.alias("uid"), "frame", *[F.lit(8).alias(c) for c in ("rows", "cols", "bits_allocated")], F.lit(1).alias("samples"), F.when(kind == 3, 9).when(kind == 4, 0).otherwise(8).alias("bits_stored"))
+    # bytes from last to first: over UTF-8 hexadecimal digits, two by two
+    turned = lambda data: F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex(data), F.lit("(..)"))), ""))
+    inverse = codecs.Codec("inverse", ("1.2.840.10008.1.2",), ("1.2.840.10008.1.2",), turned, turned)
+    known = [*codecs.BUILT_IN, inverse]
+    coded = codecs.encoded(own, known, data="frame", out="coded").drop("codec", "error")
+    out = codecs.decoded(coded, known, data="coded", out="pixels")
+    return out.select("vec_id", "codec", F.hex("coded").alias("coded"), "error", F.hex("pixels").alias("pixels"))
+
+
 # ---- fragments, frames, chunks ----
 
 

@@ -1,7 +1,10 @@
 """Literal cases of the standard's rules, each for the Column expression that implements it."""
 
+from datetime import date
+
 import pytest
-from pyspark.sql import functions as F
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import SparkSession, functions as F
 
 from tessera.functions import charset, codec_math, matching, pixels, rle, values
 
@@ -17,17 +20,42 @@ def results(spark, predicate, cases):
     return [r.v for r in df.select("k", F.get(checks, F.col("k")).alias("v")).orderBy("k").collect()]
 
 
+#: (key, value, does it match); wildcards are also held against a plain matcher of their own below
 WILDCARDS = [
-    ("", "anything", True), ("*", "", True), ("?", "x", True), ("?", "", False), ("?", "hello world", False), ("?ell*??l?", "hello world", True),
-    ("?ell***?*?l??", "hello world", False), ("?ell*?**?l?*", "hello world", True), ("Hello world!", "hello world!", False),
-    ("Hello*world!", "Helloworld!", True), ("Hello*world!", "Hi world!", False), ("100%", "100%", True), ("100%", "1000", False), ("a_b", "axb", False), ("a\\b", "a\\b", True),
+    ("", "no key matches all", True), ("CT*", "CT", True), ("CT*", "CTA chest", True), ("CT*", "MCT", False), ("?R", "MR", True), ("?R", "R", False), ("?R", "MRI", False),
+    ("*^*^", "Okafor^Ada^", True), ("*^*^", "Okafor", False), ("knee", "Knee", False), ("50%", "50%", True), ("50%", "505", False), ("L_3", "L43", False), ("C\\D", "C\\D", True), ("K.", "Ks", False),
 ]
 DATES = [
-    ("", "20170224", True), ("-20000101", "20000101", True), ("-20000101", "19990531", True), ("-20000101", "20010101", False), ("20000101-", "20010101", True),
-    ("20000101-", "19991231", False), ("19990101-20000305", "20000101", True), ("19990101-20000305", "19980107", False), ("19990101-20000305", "20000306", False),
-    ("1987.08.02", "19870802", True), ("-2023", "20230615", False), ("2023-", "20230615", True), ("", "bad", False), ("junk-20200101", "20190101", True), ("20200101", None, False),
+    ("", "19750630", True), ("-19750630", "19750630", True), ("-19750630", "19750701", False), ("19750630-", "19750629", False), ("19750630-", "20240229", True),
+    ("19750101-19751231", "19750630", True), ("19750101-19751231", "19741231", False), ("19750101-19751231", "19760101", False), ("1975.06.30", "19750630", True),
+    ("-1975", "19750630", False), ("1976-", "19760101", True), ("", "no date", False), ("junk-19750630", "19740101", True), ("19750630", None, False),
 ]
-UIDS = [("", "1.2", True), ("456.789.10\\123.456.789.10", "123.456.789.10", True), ("456.789.10\\123.456.79.10", "123.456.789.10", False)]
+UIDS = [("", "2.25.9", True), ("2.25.1\\2.25.9", "2.25.9", True), ("2.25.1\\2.25.9", "2.25.19", False), ("2.25.9", "2.25.9", True)]
+
+
+def plain_match(key, value):
+    """Whether `value` fits a key of characters, ? and *, by looking at every way to cut it."""
+    if not key:
+        return not value
+    if key[0] == "*":
+        return any(plain_match(key[1:], value[k:]) for k in range(len(value) + 1))
+    return bool(value) and key[0] in ("?", value[0]) and plain_match(key[1:], value[1:])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="aB?*%_\\.", min_size=1, max_size=7), st.text(alphabet="aB%_\\.", max_size=7)), min_size=5, max_size=25))
+def test_wildcards_against_a_plain_matcher(cases):
+    spark = SparkSession.getActiveSession()
+    assert results(spark, matching.wildcard, [(k, v, None) for k, v in cases]) == [plain_match(k, v) for k, v in cases]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.dates(date(1900, 1, 1), date(2099, 12, 31)), st.dates(date(1900, 1, 1), date(2099, 12, 31)), st.dates(date(1900, 1, 1), date(2099, 12, 31)), st.sampled_from(["{a}-{b}", "-{b}", "{a}-", "{a}"])), min_size=5, max_size=25))
+def test_date_ranges_against_dates(cases):
+    spark = SparkSession.getActiveSession()
+    da = lambda d: d.strftime("%Y%m%d")
+    keyed = [(form.format(a=da(a), b=da(b)), da(d), {"{a}-{b}": a <= d <= b, "-{b}": d <= b, "{a}-": a <= d, "{a}": a == d}[form]) for a, b, d, form in cases]
+    assert results(spark, matching.date_range, keyed) == [w for _, _, w in keyed]
 
 
 def test_matching(spark):
@@ -37,9 +65,9 @@ def test_matching(spark):
 
 
 def test_dates_and_times(spark):
-    da = {"20231215": (2023, 12, 15), "2023": (2023, 0, 0), "202312": (2023, 12, 0), "2023.12.15": (2023, 12, 15), "20231": None, "2023121": None, "abcdefgh": None}
-    tm = {"143022.500000": (14, 30, 22, 500000), "14": (14, 0, 0, 0), "250000": None, "1430.5": (14, 30, 0, 0), "143060": None, "143022.5": (14, 30, 22, 500000)}
-    dt = {"20230615120000.000000+0000": (2023, 12, 0), "20230615": (2023, None, None), "202306151200": (2023, 12, None), "20230615120000-0530": (2023, 12, -330), "x": None}
+    da = {"19990704": (1999, 7, 4), "1999": (1999, 0, 0), "199907": (1999, 7, 0), "1999.07.04": (1999, 7, 4), "19997": None, "1999070": None, "July 4th": None}
+    tm = {"081503.250000": (8, 15, 3, 250000), "08": (8, 0, 0, 0), "240000": None, "0815.2": (8, 15, 0, 0), "081561": None, "081503.25": (8, 15, 3, 250000)}
+    dt = {"19990704081503.250000+0100": (1999, 8, 60), "19990704": (1999, None, None), "199907040815": (1999, 8, None), "19990704081503-0930": (1999, 8, -570), "noon": None}
     for cases, parse in ((da, values.parse_da), (tm, values.parse_tm), (dt, values.parse_dt)):
         df = spark.createDataFrame([(c,) for c in cases], "c string").select("c", parse(F.col("c")).alias("v"))
         for r in df.collect():
@@ -50,7 +78,7 @@ def test_dates_and_times(spark):
 
 
 def test_uids_and_names(spark):
-    good, bad = ["1.2.3.4", "0", "1.0.1"], ["", ".1.2.3", "1.2.3.", "1..2", "1.2.abc", "1.2.3a", "1.02.3", "1.00.3", "1" * 65]
+    good, bad = ["2.25.7", "0", "2.0.9", "2" * 64], ["", ".2.25", "2.25.", "2..25", "2.x.25", "2.25b", "2.025", "2.00.1", "2" * 65]
     df = spark.createDataFrame([(u,) for u in [*good, *bad, None]], "u string").select("u", values.uid_valid(F.col("u")).alias("v"))
     assert {r.u: r.v for r in df.collect()} == {**dict.fromkeys(good, True), **dict.fromkeys([*bad, None], False)}
     r = one(spark, g=values.person_groups(F.lit("Yamada^Tarou^M^Dr^II=山田^太郎=")), w=values.format_person(values.person_groups(F.lit("A^B=="))))
