@@ -2,8 +2,8 @@
 
 A section ends at an empty line, a paragraph at a line end; a paragraph is hashed in runs of at most eight words, counted from its
 start, so that a change inside a long paragraph still leaves equal branches before it. A node's hash is the hash of
-its children's hashes, the root's that of the sections'. Equal roots mean equal texts; where two trees differ,
-their differing branches say in which section, paragraph and run.
+its children's hashes, the root's that of the sections'. Equal roots mean equal texts; trees are compared by the branches they share
+at each level, and where two differ, their differing branches say in which section, paragraph and run.
 """
 
 from __future__ import annotations
@@ -53,17 +53,53 @@ def with_fingerprint(df: DataFrame, text_col: str, prefix: str = "") -> DataFram
     return df.withColumn(f"{prefix}fingerprint", print_).drop(full, cut)
 
 
-def leaves(fingerprint: Column) -> Column:
-    """The distinct leaves that a fingerprint shows."""
-    return F.array_distinct(F.regexp_extract_all(F.substring_index(fingerprint, ":", -1), F.lit(f"[0-9a-f]{{{LEAF}}}"), 0))
+def nodes(fingerprint: Column) -> Column:
+    """struct(sections, paragraphs, leaves): the branches of each level of a fingerprint's tree as it shows them, from first to last, those
+    without a leaf left out. A branch is what it shows of all its leaves, so equal branches are equal subtrees."""
+    body = F.substring_index(fingerprint, ":", -1)
+    sections = F.filter(F.split(body, ";"), lambda s: s.rlike("[0-9a-f]"))
+    paragraphs = F.filter(F.split(body, "[;,]"), lambda p: p != "")
+    return F.struct(sections.alias("sections"), paragraphs.alias("paragraphs"), F.regexp_extract_all(body, F.lit(f"[0-9a-f]{{{LEAF}}}"), 0).alias("leaves"))
+
+
+def in_common(own: Column, other: Column) -> Column:
+    """How many elements two arrays share, each as often as both have it: one walk over both, sorted together."""
+    both = F.array_sort(F.concat(F.transform(own, lambda x: F.struct(x.alias("x"), F.lit(0).alias("side"))), F.transform(other, lambda x: F.struct(x.alias("x"), F.lit(1).alias("side")))))
+    # of each element first those of `own` come, which wait, then those of `other`, each of which takes one
+    start = F.struct(F.lit("").alias("x"), F.lit(0).alias("waiting"), F.lit(0).alias("n"))
+
+    def step(s: Column, e: Column) -> Column:
+        waiting = F.when(s["x"] == e["x"], s["waiting"]).otherwise(0)
+        taken = (e["side"] == 1) & (waiting > 0)
+        return F.struct(e["x"].alias("x"), F.when(e["side"] == 0, waiting + 1).when(taken, waiting - 1).otherwise(waiting).alias("waiting"), F.when(taken, s["n"] + 1).otherwise(s["n"]).alias("n"))
+
+    return F.aggregate(both, start, step)["n"]
 
 
 def likeness(a: str, b: str) -> Column:
-    """Of two columns of fingerprints: twice the common leaves over the leaves of both, from `leaves`; 1 where the roots agree."""
-    own, other = F.col(f"{a}_leaves"), F.col(f"{b}_leaves")
-    n = F.size(own) + F.size(other)
+    """Of two columns of fingerprints, whose `nodes` stand in <column>_nodes: twice the branches that both trees have, at every level and as
+    often as both have them, over the branches of both; 1 where the roots agree. Trees with other roots are below 1, whatever they share."""
+    own, other = F.col(f"{a}_nodes"), F.col(f"{b}_nodes")
+    levels = ("sections", "paragraphs", "leaves")
+    n = sum((F.size(own[k]) + F.size(other[k]) for k in levels), F.lit(2))
     agree = F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1)
-    return F.when(agree, 1.0).when(n == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(own, other)) / n)
+    return F.when(agree, 1.0).otherwise(2.0 * sum((in_common(own[k], other[k]) for k in levels[1:]), in_common(own["sections"], other["sections"])) / n)
+
+
+def differing_branches(own: Column, other: Column) -> Column:
+    """Where a text differs from another, by their fingerprints: array of struct(section, paragraph, runs), the places from 0 of the
+    paragraphs of `own` that `other` hasn't got, and in each the places of the runs it hasn't got. Empty where the roots agree.
+
+    The trees are descended from the root: only sections that the other tree hasn't got are looked into, and of these only such paragraphs.
+    """
+    body = lambda f: F.substring_index(f, ":", -1)
+    runs = lambda p: F.regexp_extract_all(p, F.lit(f"[0-9a-f]{{{LEAF}}}"), 0)
+    missing = lambda mine, theirs: F.filter(F.transform(mine, lambda x, k: F.struct(k.alias("at"), x.alias("x"))), lambda e: ~F.array_contains(theirs, e["x"]))
+    their_paragraphs, their_runs = F.split(body(other), "[;,]"), runs(body(other))
+    sections = missing(F.split(body(own), ";"), F.split(body(other), ";"))
+    paragraphs = F.flatten(F.transform(sections, lambda s: F.transform(missing(F.split(s["x"], ","), their_paragraphs), lambda p: F.struct(s["at"].alias("section"), p["at"].alias("paragraph"), p["x"].alias("x")))))
+    found = F.transform(paragraphs, lambda p: F.struct(p["section"].alias("section"), p["paragraph"].alias("paragraph"), F.transform(missing(runs(p["x"]), their_runs), lambda r: r["at"]).alias("runs")))
+    return F.when(F.substring_index(own, ":", 1) == F.substring_index(other, ":", 1), F.slice(found, 1, 0)).otherwise(found)
 
 
 def _bucket_table(spark, bounds: list[int], parts: dict[int, int], low: int, high: int) -> tuple[DataFrame, Column, Column]:
@@ -148,7 +184,7 @@ def compare_with_edit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     own = with_fingerprint(own.withColumn("edited", edited), "edited", "edited_")
-    own = own.withColumns({f"{c}_leaves": leaves(F.col(c)) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint")})
+    own = own.withColumns({f"{c}_nodes": nodes(F.col(c)) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint")})
     return own.select(
         "doc_id", "n_chars", "text", "edited", "fingerprint", "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"),

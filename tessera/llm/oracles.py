@@ -90,11 +90,17 @@ def _shown(prefix: str) -> str:
         return f"replace(array_to_string(list_transform({prefix}l, lambda p: array_to_string(list_transform(p, lambda h: {cut}), '')), ','), ',,', ';')"
 
     root = f"md5(array_to_string(list_transform(string_split({body('h')}, ';'), lambda s: md5(array_to_string(list_transform(string_split(s, ','), lambda p: md5(p)), ''))), ''))"
-    return f"{root} AS {prefix}root, {body(f'substr(h, 1, {LEAF})')} AS {prefix}body, list_distinct(list_transform(flatten({prefix}l), lambda h: substr(h, 1, {LEAF}))) AS {prefix}d"
+    return f"{root} AS {prefix}root, {body(f'substr(h, 1, {LEAF})')} AS {prefix}body"
 
 
 def _like(a: str, b: str) -> str:
-    return f"CASE WHEN {a}root = {b}root THEN 1.0::DOUBLE WHEN len({a}d) + len({b}d) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({a}d, {b}d)) / (len({a}d) + len({b}d)) END"
+    return f"CASE WHEN {a}root = {b}root THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * coalesce({a}{b}.common, 0) / (2 + coalesce({a}{b}.n, 0)) END"
+
+
+def _shared(a: str, b: str) -> str:
+    """Branches of each level counted on either side and met by their names."""
+    return f"""SELECT doc_id, sum(least(x, y)) AS common, sum(x + y) AS n FROM (
+  SELECT doc_id, lvl, node, count(*) FILTER (WHERE side = '{a}') AS x, count(*) FILTER (WHERE side = '{b}') AS y FROM v WHERE side IN ('{a}', '{b}') GROUP BY 1, 2, 3) GROUP BY 1"""
 
 
 FINGERPRINT = f"""
@@ -102,9 +108,14 @@ WITH o AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 x AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS nxt FROM o),
 e AS (SELECT doc_id, text, nxt, substr(text, 1, length(text) - length(text) // 2) || substr(nxt, 1, length(text) // 2) AS edited FROM x),
 l AS (SELECT doc_id, {_print('a', 'text')}, {_print('b', 'edited')}, {_print('c', 'nxt')} FROM e),
-p AS (SELECT doc_id, at_, bt_, {_shown('a')}, {_shown('b')}, {_shown('c')} FROM l)
-SELECT doc_id, CAST(length(at_) AS BIGINT) AS n_chars, sha256(bt_) AS edited_sha256, aroot || ':' || abody AS fingerprint, broot || ':' || bbody AS edited_fingerprint,
-  {_like('a', 'b')} AS near_edited, {_like('a', 'c')} AS near_next FROM p
+p AS (SELECT doc_id, at_, bt_, {_shown('a')}, {_shown('b')}, {_shown('c')} FROM l),
+w AS (SELECT doc_id, 'a' AS side, abody AS body FROM p UNION ALL SELECT doc_id, 'b', bbody FROM p UNION ALL SELECT doc_id, 'c', cbody FROM p),
+v AS (SELECT doc_id, side, 1 AS lvl, unnest(list_filter(string_split(body, ';'), lambda s: regexp_matches(s, '[0-9a-f]'))) AS node FROM w
+  UNION ALL SELECT doc_id, side, 2, unnest(list_filter(string_split(replace(body, ';', ','), ','), lambda s: s <> '')) FROM w
+  UNION ALL SELECT doc_id, side, 3, unnest(regexp_extract_all(body, '[0-9a-f]{{{LEAF}}}')) FROM w),
+ab AS ({_shared('a', 'b')}), ac AS ({_shared('a', 'c')})
+SELECT p.doc_id, CAST(length(at_) AS BIGINT) AS n_chars, sha256(bt_) AS edited_sha256, aroot || ':' || abody AS fingerprint, broot || ':' || bbody AS edited_fingerprint,
+  {_like('a', 'b')} AS near_edited, {_like('a', 'c')} AS near_next FROM p LEFT JOIN ab ON ab.doc_id = p.doc_id LEFT JOIN ac ON ac.doc_id = p.doc_id
 """
 
 

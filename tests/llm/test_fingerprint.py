@@ -1,9 +1,10 @@
 import hashlib
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tessera.llm.fingerprint import LEAF, compare_with_edit, with_next
+from tessera.llm.fingerprint import LEAF, compare_with_edit, differing_branches, likeness, nodes, with_fingerprint, with_next
 
 RUN = re.compile(r"[ \t]*[^ \t]+(?:[ \t]+[^ \t]+){0,7}[ \t]*|[ \t]+")
 
@@ -17,13 +18,15 @@ def brute(text):
     sections = ",".join("".join(p) for p in leaves).replace(",,", ";").split(";")
     root = md5("".join(md5("".join(md5(p) for p in s.split(","))) for s in sections))
     shown = ",".join("".join(h[:LEAF] for h in p) for p in leaves).replace(",,", ";")
-    return f"{root}:{shown}", {h[:LEAF] for p in leaves for h in p}
+    own = shown.split(";")
+    levels = [s for s in own if s.strip(",")], [p for s in own for p in s.split(",") if p], [h[:LEAF] for p in leaves for h in p]
+    return f"{root}:{shown}", [Counter(x) for x in levels]
 
 
 def like(a, b):
     if a[0].split(":")[0] == b[0].split(":")[0]:
         return 1.0
-    return 2 * len(a[1] & b[1]) / (len(a[1]) + len(b[1])) if a[1] or b[1] else 0.0
+    return 2 * sum((x & y).total() for x, y in zip(a[1], b[1])) / (2 + sum(x.total() + y.total() for x, y in zip(a[1], b[1])))
 
 
 def check(spark, rows, **how):
@@ -78,3 +81,27 @@ def test_most_rows_under_one_id(spark):
     hashed = [(r.doc_id, r.text) for r in docs.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text")).collect()]
     want = sorted((str(d), str(t), str(hashed[(k + 1) % len(hashed)][1])) for k, (d, t) in enumerate(hashed))
     assert out[0] == want
+
+
+def compared(spark, pairs):
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
+    df = with_fingerprint(with_fingerprint(df, "a", "a_"), "b", "b_").withColumns({f"{c}_nodes": nodes(F.col(c)) for c in ("a_fingerprint", "b_fingerprint")})
+    out = df.select("k", likeness("a_fingerprint", "b_fingerprint").alias("like"), differing_branches(F.col("a_fingerprint"), F.col("b_fingerprint")).alias("at")).orderBy("k").collect()
+    return [r.like for r in out], [[(d.section, d.paragraph, list(d.runs)) for d in r.at] for r in out]
+
+
+def test_trees_with_other_roots_are_less_than_alike(spark):
+    run = "one two three four five six seven eight "
+    pairs = [(run, run * 5), ("x\n\ny", "y\nx"), ("a\n\nb", "b\n\na"), ("a\nb", "a\n\nb"), ("same text", "same text"), ("", ""), ("", "words"), ("", "\n\n"), ("a b", "c d")]
+    got, _ = compared(spark, pairs)
+    assert got[4:6] == [1.0, 1.0] and got[6:9] == [0.0, 0.0, 0.0] and all(0 < v < 1 for v in got[:4])
+    assert got[0] < 0.3 and got == [like(brute(a), brute(b)) for a, b in pairs]
+
+
+def test_the_edited_paragraph_is_found(spark):
+    text = "\n\n".join("\n".join(f"section {s} paragraph {p} " + " ".join(f"word{s}.{p}.{w}" for w in range(40)) for p in range(6)) for s in range(30))
+    other = text.replace("word17.4.20", "changed").replace("section 29 paragraph 0", "section 29, paragraph 0")
+    (near, same), (at, none) = compared(spark, [(text, other), (text, text)])
+    # four words stand before the numbered ones: word 20 is in run 3
+    assert at == [(17, 4, [3]), (29, 0, [0])] and none == [] and same == 1.0 and 0.9 < near < 1
+    assert compared(spark, [(text, "")])[1][0][0] == (0, 0, list(range(6)))
