@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.common import checkpoint, looked_up
 
-#: Words in a host name that mark its urls as bad, as a source of labels.
-BAD_HOST_WORDS = ["adult", "ads", "bets", "casino", "pills", "porn", "spam", "xxx"]
+#: Words of a url that mark it as bad, as a source of labels.
+BAD_WORDS = ["adult", "ads", "bets", "casino", "pills", "porn", "spam", "xxx"]
 #: Segments that vary: those with digits and those of over 40 characters.
 VARIABLE = r"[0-9]|^.{41,}$"
 
@@ -45,11 +45,12 @@ def rule_column(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def rule_and_word_labels(urls: DataFrame, rules: list[tuple[str, str, str]]) -> Column:
-    """Labels where no others are known: what the rules say of a url (block 1, allow 0); 1 where no rule fits and a word of the
-    host name stands in BAD_HOST_WORDS; null for all others."""
-    words = F.arrays_overlap(F.split(F.col("host"), r"[.\-_]"), F.array(*map(F.lit, BAD_HOST_WORDS)))
-    return F.coalesce((rule_column(rules)[1] == "block").cast("int"), F.when(words, 1))
+def word_labels(urls: DataFrame, rules: list[tuple[str, str, str]]) -> Column:
+    """Labels where no others are known, of the urls that no rule fits: 1 where a word of BAD_WORDS stands in the host's name or the path, else
+    0, as nothing speaks against them. Urls that a rule decides are no evidence on others and have none."""
+    words = F.split(ascii_lower(F.concat_ws("/", "host", "path")), "[^a-z]+")
+    bad = F.arrays_overlap(words, F.array(*map(F.lit, BAD_WORDS)))
+    return F.when(rule_column(rules)[1].isNull(), bad.cast("int"))
 
 
 def path_templates(urls: DataFrame, *, least_known: int = 4, alike_z: float = 1.64) -> DataFrame:
@@ -96,15 +97,15 @@ def judge_urls(urls: DataFrame, *, url_col: str = "url", rules: list[tuple[str,
     """Every row of `urls` with host, path, template, purity (share of bad, smoothed), rule and verdict ("allow" or "block").
 
     The longest fitting rule decides, else the template: it is rejected if its purity is at least `reject_at`. `weight`: how many labels the
-    share of the host, and of all, counts as. `bad_col` names labels (0, 1, null unknown); without it the rules and the words of
-    host names label urls (`rule_and_word_labels`). Null urls have empty host and path and template "/"; without any label all
+    share of the host, and of all, counts as. `bad_col` names labels (0, 1, null unknown); without it words of
+    the urls label those that no rule fits (`word_labels`). Null urls have empty host and path and template "/"; without any label all
     purities are 0.5. Equal urls get equal results. Columns with the new names are replaced; the others are carried through every
     level, so select what is needed.
     """
     made = ["host", "path", "bad", "template", "purity", "rule", "verdict"]
     own = urls.withColumn("__bad", F.col(f"`{bad_col}`").cast("int") if bad_col else F.lit(None).cast("int"))
     own = with_host_and_path(own.drop(*[c for c in made if c != url_col]), url_col)
-    rows = path_templates(own.withColumn("bad", F.col("__bad") if bad_col else rule_and_word_labels(own, list(rules))).drop("__bad"), **tree)
+    rows = path_templates(own.withColumn("bad", F.col("__bad") if bad_col else word_labels(own, list(rules))).drop("__bad"), **tree)
     per = checkpoint(rows.groupBy("host", "template").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.count("bad").alias("k")))
     hosts = checkpoint(per.groupBy("host").agg(F.sum("b").alias("host_b"), F.sum("k").alias("host_k")))
     n_hosts, all_b, all_k = hosts.agg(F.count("*"), F.coalesce(F.sum("host_b"), F.lit(0)), F.coalesce(F.sum("host_k"), F.lit(0))).first()

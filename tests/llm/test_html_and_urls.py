@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common, html_text
 from tessera.llm.html_text import extract_text, main_text
 from tessera.llm.queries import URL_RULES, queries
-from tessera.llm.url_filter import BAD_HOST_WORDS, judge_urls, rule_and_word_labels, with_host_and_path
+from tessera.llm.url_filter import BAD_WORDS, judge_urls, with_host_and_path, word_labels
 
 P = "This paragraph of the article is long enough to be taken for content by its ratio of text to tags."
 CASES = [
@@ -171,19 +171,27 @@ def test_branches_differ_at_any_depth(spark):
     assert out[rows[1][0]].template == f"/{deep}/bad/**" and all(out[u].verdict == ("block" if bad else "allow") for u, bad in rows)
 
 
-def test_the_tree_decides_and_foretells_labels_left_out(spark, sf_dir):
-    """Verdicts of urls without a rule follow from no host word alone; purities learned on half of the ruled urls tell the other half apart."""
+def test_ordinary_hosts_stay_and_labels_left_out_are_foretold(spark, sf_dir):
+    """Without a rule no url is blocked whose host has no bad word; purities learned on half of the labels, none of a ruled url, tell the other half."""
     folder = sf_dir.replace("sf0.01", "sf0.1")
     out = queries()["op9_urls"](spark, folder).where("rule IS NULL").collect()
-    words = {(any(w in BAD_HOST_WORDS for w in re.split(r"[.\-_]", r.host)), r.verdict) for r in out}
-    assert {(False, "allow"), (False, "block"), (True, "block")} <= words
-    assert len({r.template for r in out}) > 3
+    words = lambda r: any(w in BAD_WORDS for w in re.split("[^a-z]+", f"{r.host}/{r.path}".lower()))
+    assert {(words(r), r.verdict) for r in out} == {(False, "allow"), (True, "block")}
     urls = with_host_and_path(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url"))
-    label = rule_and_word_labels(urls, URL_RULES)
-    urls = urls.select("page_id", "url", label.alias("full"), F.when(F.crc32("url") % 2 == 0, label).alias("half"))
-    left = judge_urls(urls, bad_col="half").where("full IS NOT NULL AND half IS NULL").toPandas()
-    right = ((left.purity >= 0.5) == (left.full == 1)).mean()
-    assert right > max(left.full.mean(), 1 - left.full.mean()) + 0.1
+    label = word_labels(urls, URL_RULES)
+    urls = urls.select("page_id", "url", "host", "path", label.alias("full"), F.when(F.crc32("url") % 2 == 0, label).alias("half"))
+    assert urls.where("full IS NOT NULL AND host LIKE '%.com' AND path LIKE '/de/%'").count() == 0
+    left = judge_urls(urls.drop("host", "path"), bad_col="half").where("full IS NOT NULL AND half IS NULL").toPandas()
+    right, plain = ((left.purity >= 0.5) == (left.full == 1)).mean(), 1 - left.full.mean()
+    assert right > plain + 0.8 * (1 - plain)
+
+
+def test_words_of_a_path_part_a_host(spark):
+    """Sections of one host get both verdicts, by a word in the path, and so do urls of theirs that have no label of their own."""
+    rows = [f"s://h.net/{'casino' if k % 2 else 'news'}/{'abcdefgh'[k % 8]}" for k in range(80)]
+    out = {r.url: (r.template, r.verdict) for r in judge_urls(spark.createDataFrame([(u,) for u in [*rows, "s://h.net/casino/new?x", "s://h.net/news/new"]], "url string")).collect()}
+    assert out["s://h.net/casino/new?x"] == ("/casino/**", "block") and out["s://h.net/news/new"] == ("/news/**", "allow")
+    assert {v for _, v in out.values()} == {"allow", "block"}
 
 
 def test_parts_and_articles_all_stay():
