@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.functions import charset, codec_math, pdu, pixels, png, rle, tags, values
-from tessera.operators import codecs, datasets, dictionary, frames, images, intervals, negotiation, query_retrieve
+from tessera.operators import codecs, datasets, dictionary, frames, images, intervals, negotiation, query_retrieve, sketches
 from tessera.operators.query_retrieve import Hierarchy
 from tessera.plans import dims
 from tessera.sources import dicom_json, dicom_source, files, json_elements, part10
@@ -667,6 +667,41 @@ def part10_deflated_roundtrip(spark, sf_dir):
     return part10.instances(part10.parse_elements(files, "file", "content", [0x00100010, 0x00100020, 0x00080018, 0x00280010]), ["PatientName", "PatientID", "SOPInstanceUID", "Rows"])
 
 
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS file, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN '1.2.840.10008.1.2' ELSE '1.2.840.10008.1.2.1' END AS syntax, CASE WHEN c_custkey % 5 > 0 THEN CAST(c_custkey AS VARCHAR) END AS id, CASE WHEN c_custkey % 5 > 0 THEN c_nationkey END AS "rows", c_custkey % 5 = 0 AS failed FROM customer
+""")
+def payload_fallback(spark, sf_dir):
+    """Data sets of two encodings, half of them under the other's name, and some that are cut short."""
+    own = table(spark, sf_dir, "customer")
+    le = lambda n, size: F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(255)), 2, "0") for k in range(size)])
+    id_ = F.hex(F.concat(F.col("c_custkey").cast("string"), F.when(F.length(F.col("c_custkey").cast("string")) % 2 == 1, " ").otherwise("")))
+    n = F.length(id_) / 2
+    implicit = F.concat(F.lit("10002000"), le(n.cast("int"), 4), id_, F.lit("2800100002000000"), le(F.col("c_nationkey"), 2))
+    explicit = F.concat(F.lit("100020004C4F"), le(n.cast("int"), 2), id_, F.lit("2800100055530200"), le(F.col("c_nationkey"), 2))
+    whole = F.when(F.col("c_custkey") % 2 == 0, implicit).otherwise(explicit)
+    data = F.unhex(F.when(F.col("c_custkey") % 5 == 0, F.substring(whole, F.lit(1), F.length(whole) - 2)).otherwise(whole))
+    said = F.when(F.col("c_custkey") % 4 < 2, "1.2.840.10008.1.2.1").otherwise("1.2.840.10008.1.2")
+    rows = part10.payload_elements(own.select("c_custkey", data.alias("data"), said.alias("said")), "c_custkey", "data", "said")
+    first = lambda tag, c: F.max(F.when(F.col("tag") == tag, F.get(c, F.lit(0))))
+    return rows.groupBy("file").agg(F.max("syntax").alias("syntax"), first(0x00100020, "s").alias("id"), first(0x00280010, "i").cast("int").alias("rows"), F.count_if(F.col("error").isNotNull() & F.col("tag").isNull()).alias("n")).select("file", "syntax", "id", "rows", (F.col("n") > 0).alias("failed"))
+
+
+@query("""
+SELECT c_nationkey, CAST(count(*) AS BIGINT) AS "rows", true AS merged_is_direct, true AS within_error FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1
+""")
+def related_sketch(spark, sf_dir):
+    """Different parts in the instances of each nation's studies: a sketch of each year's batch, kept and merged, beside one of all rows and the exact count."""
+    own = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    own = own.select("c_nationkey", F.year("o_orderdate").alias("year"), "l_partkey")
+    batches = sketches.sketched(own, ["c_nationkey", "year"], "l_partkey").drop("year")
+    even = F.col("rows") % 2 == 0
+    kept = sketches.merged(batches.where(even), batches.where(~even), ["c_nationkey"])
+    direct = sketches.estimated(sketches.sketched(own, ["c_nationkey"], "l_partkey"), ["c_nationkey"], "direct").drop("rows")
+    exact = own.groupBy("c_nationkey").agg(F.countDistinct("l_partkey").alias("exact"))
+    out = sketches.estimated(kept, ["c_nationkey"]).join(direct, "c_nationkey").join(exact, "c_nationkey")
+    return out.select("c_nationkey", "rows", (F.col("different") == F.col("direct")).alias("merged_is_direct"), (F.abs(F.col("different") - F.col("exact")) <= sketches.ERROR * F.col("exact")).alias("within_error"))
+
+
 # hexadecimal digits of the explicit little-endian files, written out from the standard: a tag's groups and lengths are little endian, values have even lengths
 _BYTES_SQL = r"""
 WITH v AS (SELECT c_custkey, '1.2.3.' || c_custkey AS uid, c_name || '=' || c_mktsegment AS name, CAST(c_custkey AS VARCHAR) AS id, c_nationkey AS n FROM customer),

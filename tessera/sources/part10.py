@@ -171,6 +171,64 @@ def _parsed(wanted: frozenset[int] | None):
     return run
 
 
+class StrictParser(Parser):
+    """For data whose encoding is only supposed: a VR must be one, and tags must ascend, or the supposition was wrong."""
+
+    def header(self, at: int) -> tuple[int, str, int, int]:
+        out = super().header(at)
+        if self.explicit and out[0] not in (_ITEM, _ITEM_END, _SEQUENCE_END) and self.data[at + 4 : at + 6].decode("latin-1") not in _PAD:
+            raise ValueError(f"element {out[0]:08X} has no value representation")
+        return out
+
+
+def parse_payload(data: bytes, syntax: str, wanted: frozenset[int] | None = None) -> tuple[list[tuple], bool, str]:
+    """(elements, little-endian, transfer syntax) of a data set without meta group. It is read by the syntax it is said to have; if it isn't that, by
+    implicit little-endian, or by explicit where it was said to be implicit. If neither reads it, what was wrong with the first is raised."""
+    implicit, explicit = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1"
+    first: Exception | None = None
+    for supposed in (syntax, explicit if syntax == implicit else implicit):
+        try:
+            if supposed not in _SYNTAX:
+                raise ValueError(f"unknown transfer syntax {supposed}")
+            little, is_explicit, deflated = _SYNTAX[supposed]
+            body = zlib.decompressobj(-15).decompress(data) if deflated else data
+            rows, end = StrictParser(body, little, is_explicit, None if wanted is None else wanted | {0x00080005}).rows(0, len(body))
+            top = [r[2] for r in rows if r[1] == 0 and "/" not in r[0]]
+            if end != len(body) or any(x >= y for x, y in zip(top, top[1:])):
+                raise ValueError("the elements are not in order or end before the data")
+            return rows, little, supposed
+        except (ValueError, struct.error, zlib.error, LookupError, RecursionError) as e:
+            first = first or e
+    raise first
+
+
+def payload_elements(payloads: DataFrame, file: str, content: str, syntax: str, tags: list[int] | None = None) -> DataFrame:
+    """Element rows of data sets without meta group, as messages carry them, with `syntax`, the transfer syntax by which each was read.
+
+    `syntax` names what a data set is said to have; where it isn't that, the other of implicit and explicit little-endian is tried. What
+    neither reads is one row with `error` and no syntax. A null data set is empty and gives no row; a null syntax is tried as explicit.
+    """
+    wanted = None if tags is None else frozenset(tags)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from decimal import Decimal
+
+        schema = pa.schema([("file", pa.string()), ("path", pa.string()), ("depth", pa.int32()), ("tag", pa.int64()), ("vr", pa.string()), ("s", pa.list_(pa.string())), ("i", pa.list_(pa.decimal128(20, 0))), ("f", pa.list_(pa.float64())), ("b", pa.binary()), ("error", pa.string()), ("syntax", pa.string())])
+        for batch in batches:
+            for name, data, said in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                try:
+                    rows, little, chosen = parse_payload(data.as_py() or b"", (said or "1.2.840.10008.1.2.1").rstrip("\0 "), wanted)
+                    charset = next((r[4].decode("latin-1").strip("\0 ") for r in rows if r[2] == 0x00080005), "")
+                    values = [(r, decoded(r[3], r[4], little, charset)) for r in rows if wanted is None or r[2] in wanted or r[3] in ("SQ", "")]
+                    out = [(name, *r[:4], s, i and [Decimal(x) for x in i], f, b, None, chosen) for r, (s, i, f, b) in values]
+                except (ValueError, struct.error, zlib.error, LookupError, RecursionError) as e:
+                    out = [(name, *[None] * 8, str(e)[:300], None)]
+                columns = list(zip(*out, strict=True)) or [()] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+    return payloads.select(F.col(file).cast("string"), F.col(content), F.col(syntax).cast("string")).mapInArrow(run, ELEMENTS + ", syntax string")
+
+
 def parse_elements(files: DataFrame, file: str, content: str, tags: list[int] | None = None) -> DataFrame:
     """Elements of files held in a binary column. A null file is an error row."""
     wanted = None if tags is None else frozenset(tags)
