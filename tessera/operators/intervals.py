@@ -7,8 +7,12 @@ the ranges that hold the same block only the first counts, which leaves one row
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.sources.files import shared_folder
+
 #: Rows of a looked-up table that may be broadcast, and parts of each key in a join beyond that.
 MOST_BROADCAST, SALTS = 50_000, 32
 #: Levels of blocks: whole numbers are longs.
@@ -25,6 +29,13 @@ def looked_up(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     return own.join(salted, [key, "__salt"], "left").drop("__salt")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Written to the shared folder, so that what is used twice is made once."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/intervals-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def blocks_of(low: Column, high: Column) -> Column:
     """The blocks of a range, both ends included, as an array of (level, block).
 
@@ -54,6 +65,7 @@ def first_ranges(values: DataFrame, ranges: DataFrame, low: str, high: str, orde
     own = ranges.where(F.col(low).isNotNull() & F.col(high).isNotNull() & (F.col(low) <= F.col(high)))
     blocks = own.select(F.struct(F.col(order).alias("__order"), *[F.col(c) for c in names]).alias("found"), F.explode(blocks_of(F.col(low), F.col(high))).alias("at"))
     blocks = blocks.groupBy(F.col("at.level").alias("level"), F.col("at.block").alias("block")).agg(F.min_by("found", "found.__order").alias("found"))
+    blocks = _kept(blocks)  # looked at for its levels, then joined
     levels = sorted(r[0] for r in blocks.select("level").distinct().collect())  # at most LEVELS + 1
     if not levels:
         return values.select("value", F.lit(None).cast(blocks.schema["found"].dataType).alias("found")).limit(0)
@@ -72,5 +84,5 @@ def first_range_of(df: DataFrame, value: str, ranges: DataFrame, low: str, high:
     names = [c for c in ranges.columns if c not in (low, high)]
     distinct = df.select(F.col(value).cast("long").alias("value")).where("value IS NOT NULL").distinct()
     found = first_ranges(distinct, ranges, low, high, order).withColumnRenamed("value", "__value").withColumnRenamed("found", "__found")
-    own = looked_up(df.withColumn("__value", F.col(value).cast("long")), found, "__value")
+    own = looked_up(df.withColumn("__value", F.col(value).cast("long")), _kept(found), "__value")  # counted, then joined
     return own.select(*[c for c in df.columns if c not in names], *[F.col(f"__found.{n}").alias(n) for n in names])
