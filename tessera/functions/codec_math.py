@@ -42,11 +42,16 @@ def golomb_bits(mapped: Column, k: int, limit: int, qbpp: int) -> Column:
 
 def jpeg_ls_defaults(max_val: int, near: int = 0) -> dict[str, int]:
     """Thresholds and traits of the JPEG-LS standard for samples up to `max_val`."""
-    f = (min(max_val, 4095) + 128) // 256
     keep = lambda v, low: low if v < low or v > max_val else v
-    t1 = keep(f * 1 + 2 + 3 * near, near + 1)
-    t2 = keep(f * 4 + 3 + 5 * near, t1)
-    t3 = keep(f * 17 + 4 + 7 * near, t2)
+    if max_val >= 128:
+        f = (min(max_val, 4095) + 128) // 256
+        t1, t2, t3 = f + 2 + 3 * near, f * 4 + 3 + 5 * near, f * 17 + 4 + 7 * near
+    else:
+        f = 256 // (max_val + 1)
+        t1, t2, t3 = max(2, 3 // f + 3 * near), max(3, 7 // f + 5 * near), max(4, 21 // f + 7 * near)
+    t1 = keep(t1, near + 1)
+    t2 = keep(t2, t1)
+    t3 = keep(t3, t2)
     span = (max_val + 2 * near) // (2 * near + 1) + 1
     bpp = max(2, max_val.bit_length())
     return {"t1": t1, "t2": t2, "t3": t3, "range": span, "bpp": bpp, "qbpp": (span - 1).bit_length(), "limit": 2 * (bpp + max(8, bpp))}

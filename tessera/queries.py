@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.functions import charset, codec_math, pdu, pixels, png, rle, tags, values
-from tessera.operators import codecs, datasets, dictionary, frames, images, intervals, negotiation, query_retrieve, sketches
+from tessera.operators import codecs, datasets, dictionary, frames, images, intervals, jpeg_ls, negotiation, query_retrieve, sketches
 from tessera.operators.query_retrieve import Hierarchy
 from tessera.plans import dims
 from tessera.sources import dicom_json, dicom_source, files, json_elements, part10
@@ -1265,3 +1265,67 @@ def palette_tables(spark, sf_dir):
     flat = frames_of(spark, sf_dir).select(F.col("vec_id").cast("string").alias("file"), F.explode(rows).alias("e")).select("file", F.lit(0).alias("depth"), "e.*")
     out = images.palettes(flat).where("error IS NULL")
     return out.select(F.col("file").cast("long").alias("vec_id"), "channel", "first", "n", "bits", F.md5(F.array_join(F.transform("table", lambda x: x.cast("string")), ",")).alias("digest"))
+
+
+# ---- context modelling of JPEG-LS scans ----
+
+
+def coarse_scan(spark, sf_dir) -> DataFrame:
+    """The samples of each 8x8 frame in 16 grey values, so that runs and repeated contexts occur, with neighbours, contexts and modes."""
+    own = frames_of(spark, sf_dir).select("vec_id", F.transform("px", lambda x: F.least(F.lit(15), F.greatest(F.lit(0), F.floor(x / 400))).cast("int")).alias("px"))
+    return jpeg_ls.scan_samples(own, ["vec_id"], "px", 8, 8, 15)
+
+
+def _jls_scan_sql() -> str:
+    """Samples with contexts and, by a recursion along each scan, whether they are in a run (r) and where it began (run)."""
+    q = [_gradient_sql(d, {"t1": 2, "t2": 3, "t3": 4}) for d in ("(d - b)", "(b - c)", "(c - a)")]
+    return f"""WITH RECURSIVE f AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(least(15, greatest(0, floor(floor((CAST(x AS DOUBLE) + 0.6) * 3000) / 400))) AS INT)) AS p FROM embeddings),
+w AS (SELECT vec_id, CAST(i AS INT) AS i, p[i + 1] AS x, CASE WHEN i < 8 THEN 0 ELSE p[i - 7] END AS b,
+  CASE WHEN i % 8 = 0 THEN CASE WHEN i < 16 THEN 0 ELSE p[i - 15] END WHEN i < 8 THEN 0 ELSE p[i - 8] END AS c,
+  CASE WHEN i < 8 THEN 0 WHEN i % 8 = 7 THEN p[i - 7] ELSE p[i - 6] END AS d, p[i] AS l FROM f, LATERAL (SELECT unnest(range(0, 64)) AS i)),
+v AS (SELECT vec_id, i, x, CASE WHEN i % 8 = 0 THEN b ELSE l END AS a, b, c, d FROM w),
+u AS (SELECT *, (({q[0]}) * 9 + ({q[1]})) * 9 + ({q[2]}) AS s FROM v),
+z AS (SELECT vec_id, i, s = 0 AS r, CASE WHEN s = 0 THEN i END AS run, x = a AS e FROM u WHERE i = 0
+  UNION ALL SELECT vec_id, i, f OR g, CASE WHEN g THEN run WHEN f THEN i END, e FROM (
+    SELECT u.vec_id, u.i, u.s = 0 AS f, u.i % 8 > 0 AND z.r AND z.e AS g, z.run, u.x = u.a AS e FROM z JOIN u ON u.vec_id = z.vec_id AND u.i = z.i + 1)) """
+
+
+_LEAST_K = lambda n, a: f"CAST(list_filter(range(0, 32), lambda j: ({n}) * pow(2, j) >= ({a}))[1] AS INT)"
+_MOD16 = lambda e: f"((({e}) + 40) % 16 + CASE WHEN (({e}) + 40) % 16 < 0 THEN 16 ELSE 0 END - 8)"
+_CODE = lambda m, k, limit: f"CASE WHEN (({m}) >> ({k})) < {limit} - 5 THEN (({m}) >> ({k})) + 1 + ({k}) ELSE {limit} END"
+
+
+@query(_jls_scan_sql() + f""", t AS (SELECT u.vec_id, abs(s) AS q, x, {_MED} AS p, CASE WHEN s < 0 THEN -1 ELSE 1 END AS g, row_number() OVER (PARTITION BY u.vec_id, abs(s) ORDER BY u.i) AS t
+  FROM u JOIN z ON u.vec_id = z.vec_id AND u.i = z.i WHERE NOT r),
+y AS (SELECT DISTINCT vec_id, q, CAST(0 AS BIGINT) AS t, 2 AS a, 0 AS b, 0 AS c, 1 AS n, CAST(0 AS BIGINT) AS bits FROM t
+  UNION ALL SELECT vec_id, q, t, CAST(a AS INT), CAST(CASE WHEN b <= -n THEN greatest(b + n, 1 - n) WHEN b > 0 THEN least(b - n, 0) ELSE b END AS INT), CAST(CASE WHEN b <= -n THEN c - 1 WHEN b > 0 THEN c + 1 ELSE c END AS INT), CAST(n AS INT), CAST(bits AS BIGINT) FROM (
+    SELECT vec_id, q, t, c, CASE WHEN n = 4 THEN floor((a + abs(e)) / 2.0) ELSE a + abs(e) END AS a, CASE WHEN n = 4 THEN floor((b + e) / 2.0) ELSE b + e END AS b, CASE WHEN n = 4 THEN 3 ELSE n + 1 END AS n, bits + {_CODE('m', 'k', 24)} AS bits FROM (
+      SELECT *, CAST(CASE WHEN k = 0 AND 2 * b <= -n THEN CASE WHEN e >= 0 THEN 2 * e + 1 ELSE -2 * e - 2 END WHEN e >= 0 THEN 2 * e ELSE -2 * e - 1 END AS INT) AS m FROM (
+        SELECT t.vec_id, t.q, t.t, a, b, c, n, bits, {_LEAST_K('n', 'a')} AS k, {_MOD16('g * (x - greatest(0, least(15, p + g * c)))')} AS e FROM y JOIN t ON t.vec_id = y.vec_id AND t.q = y.q AND t.t = y.t + 1))))
+SELECT vec_id, q, a, b, c, n, CAST(t AS INT) AS samples, bits FROM y QUALIFY row_number() OVER (PARTITION BY vec_id, q ORDER BY t DESC) = 1""")
+def jls_contexts(spark, sf_dir):
+    """States of the regular contexts after the scan of each frame, with counts halved at 4."""
+    return jpeg_ls.context_states(coarse_scan(spark, sf_dir), ["vec_id"], 15, 4)
+
+
+@query(_jls_scan_sql() + f""", o AS (SELECT {jpeg_ls.RUN_ORDERS} AS j),
+t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY run) AS t FROM (
+  SELECT u.vec_id, run, count(*) FILTER (x = a) AS length, max(x) FILTER (x <> a) AS x, max(a) FILTER (x <> a) AS a, max(b) FILTER (x <> a) AS b FROM u JOIN z ON u.vec_id = z.vec_id AND u.i = z.i WHERE r GROUP BY 1, 2)),
+y AS (SELECT DISTINCT vec_id, CAST(0 AS BIGINT) AS t, 0 AS k, 2 AS a0, 1 AS n0, 0 AS m0, 2 AS a1, 1 AS n1, 0 AS m1, CAST(0 AS BIGINT) AS bits FROM t
+  UNION ALL SELECT vec_id, t, CAST(CASE WHEN x IS NULL THEN k ELSE greatest(0, k - 1) END AS INT),
+    CAST(CASE WHEN x IS NULL OR h THEN a0 ELSE an END AS INT), CAST(CASE WHEN x IS NULL OR h THEN n0 ELSE nn END AS INT), CAST(CASE WHEN x IS NULL OR h THEN m0 ELSE mn END AS INT),
+    CAST(CASE WHEN x IS NULL OR NOT h THEN a1 ELSE an END AS INT), CAST(CASE WHEN x IS NULL OR NOT h THEN n1 ELSE nn END AS INT), CAST(CASE WHEN x IS NULL OR NOT h THEN m1 ELSE mn END AS INT), CAST(bits AS BIGINT) FROM (
+    SELECT *, CASE WHEN n = 4 THEN floor(af / 2.0) ELSE af END AS an, CASE WHEN n = 4 THEN 3 ELSE n + 1 END AS nn, CASE WHEN n = 4 THEN floor(mf / 2.0) ELSE mf END AS mn,
+      was + ones + CASE WHEN x IS NULL THEN CAST(rest > 0 AS INT) ELSE 1 + jk + {_CODE('em', 'g', '(23 - jk)')} END AS bits FROM (
+      SELECT *, a + floor((em + 1 - CAST(h AS INT)) / 2.0) AS af, m + CAST(e < 0 AS INT) AS mf FROM (
+        SELECT *, CAST(2 * abs(e) - CAST(h AS INT) - CAST((g = 0 AND e > 0 AND 2 * m < n) OR (e < 0 AND (2 * m >= n OR g <> 0)) AS INT) AS INT) AS em FROM (
+          SELECT *, {_LEAST_K('n', 'a + CASE WHEN h THEN n // 2 ELSE 0 END')} AS g FROM (
+            SELECT *, CASE WHEN h THEN a1 ELSE a0 END AS a, CASE WHEN h THEN n1 ELSE n0 END AS n, CASE WHEN h THEN m1 ELSE m0 END AS m, j[k + 1] AS jk, k - was_k AS ones,
+              length - coalesce(list_sum(list_transform(list_slice(j, was_k + 1, k), lambda v: CAST(pow(2, v) AS INT))), 0) AS rest FROM (
+              SELECT t.vec_id, t.t, y.k AS was_k, y.bits AS was, length, x, t.a = t.b AS h, {_MOD16('CASE WHEN t.a > t.b THEN -1 ELSE 1 END * (x - t.b)')} AS e, a0, n0, m0, a1, n1, m1, o.j,
+                CAST(list_max(list_filter(range(y.k, 32), lambda v: coalesce(list_sum(list_transform(list_slice(o.j, y.k + 1, v), lambda w: CAST(pow(2, w) AS INT))), 0) <= length)) AS INT) AS k
+              FROM y JOIN t ON t.vec_id = y.vec_id AND t.t = y.t + 1, o)))))))
+SELECT vec_id, CAST(t AS INT) AS runs, k AS run_index, a0, n0, m0, a1, n1, m1, bits FROM y QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY t DESC) = 1""")
+def jls_runs(spark, sf_dir):
+    """Run index and interruption contexts after the scan of each frame, with counts halved at 4."""
+    return jpeg_ls.run_states(coarse_scan(spark, sf_dir), ["vec_id"], 15, 4)
