@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.functions import charset, codec_math, pdu, pixels, png, rle, tags, values
+from tessera.functions import charset, codec_math, pdu, pixels, png, rle, tags, values, wavelets
 from tessera.operators import codecs, datasets, dictionary, frames, images, intervals, jpeg_ls, negotiation, query_retrieve, sketches
 from tessera.operators.query_retrieve import Hierarchy
 from tessera.plans import dims
@@ -1329,3 +1329,69 @@ SELECT vec_id, CAST(t AS INT) AS runs, k AS run_index, a0, n0, m0, a1, n1, m1, b
 def jls_runs(spark, sf_dir):
     """Run index and interruption contexts after the scan of each frame, with counts halved at 4."""
     return jpeg_ls.run_states(coarse_scan(spark, sf_dir), ["vec_id"], 15, 4)
+
+
+# ---- wavelet pyramids ----
+
+
+def odd_frames(spark, sf_dir) -> DataFrame:
+    """The upper left 7 x 5 samples of each frame, row by row."""
+    cut = lambda px: F.transform(F.sequence(F.lit(0), F.lit(34)), lambda i: F.get(px, (F.floor(i / 5) * 8 + i % 5).cast("int")))
+    return frames_of(spark, sf_dir).select("vec_id", cut(F.col("px")).alias("px"))
+
+
+def _lift_sql(source: str, keys: str, along: str, n: int, reversible: bool) -> str:
+    """One level along `along` of rows (keys, along, p): low half, then high half."""
+    n_even, n_odd = (n + 1) // 2, n // 2
+    if n_odd == 0:
+        return source
+    odd = lambda x, d: f"list_transform(range(0, {n_odd}), lambda k: {d}[k + 1] + ({x}))"
+    even = lambda x, e: f"list_transform(range(0, {n_even}), lambda k: {e}[k + 1] + ({x}))"
+    beside_odd = f"e[k + 1] + e[least(k + 2, {n_even})]"
+    beside_even = f"d[greatest(k, 1)] + d[least(k + 1, {n_odd})]"
+    out = f"SELECT {keys}, list(p ORDER BY {along}) AS p FROM ({source}) GROUP BY {keys}"
+    out = f"SELECT {keys}, list_transform(range(0, {n_even}), lambda k: p[2 * k + 1]) AS e, list_transform(range(0, {n_odd}), lambda k: p[2 * k + 2]) AS d FROM ({out})"
+    if reversible:
+        steps = [(False, f"-CAST(floor(({beside_odd}) / 2.0) AS INT)"), (True, f"CAST(floor(({beside_even} + 2) / 4.0) AS INT)")]
+    else:
+        steps = [(at, f"{by!r}e0 * ({beside_even if at else beside_odd})") for at, by in zip((False, True, False, True), (wavelets.ALPHA, wavelets.BETA, wavelets.GAMMA, wavelets.DELTA), strict=True)]
+    for at, by in steps:
+        out = f"SELECT {keys}, {even(by, 'e') + ' AS e, d' if at else 'e, ' + odd(by, 'd') + ' AS d'} FROM ({out})"
+    scaled = "list_concat(e, d)" if reversible else f"list_concat(list_transform(e, lambda v: v / {wavelets.SCALE!r}e0), list_transform(d, lambda v: v * {wavelets.SCALE!r}e0))"
+    return f"SELECT {keys}, k AS {along}, p[k + 1] AS p FROM (SELECT {keys}, {scaled} AS p FROM ({out})), LATERAL (SELECT CAST(unnest(range(0, {n})) AS INT) AS k)"
+
+
+def _pyramid_sql(reversible: bool) -> str:
+    """Three levels of 7 x 5 samples as tables t0 to t3, of which t holds the coefficients that stay."""
+    kind, h, w = "INT" if reversible else "DOUBLE", 7, 5
+    out = _FRAMES + f", l0 AS (SELECT vec_id, r, c, CAST(p[r * 8 + c + 1] AS {kind}) AS p FROM f, LATERAL (SELECT CAST(unnest(range(0, 7)) AS INT) AS r), LATERAL (SELECT CAST(unnest(range(0, 5)) AS INT) AS c)), "
+    kept = []
+    for level in range(3):
+        across = _lift_sql(f"SELECT * FROM l{level}", "vec_id, r", "c", w, reversible)
+        out += f"t{level} AS ({_lift_sql(across, 'vec_id, c', 'r', h, reversible)}), "
+        h, w = (h + 1) // 2, (w + 1) // 2
+        out += f"l{level + 1} AS (SELECT vec_id, r, c, p FROM t{level} WHERE r < {h} AND c < {w}), "
+        kept.append(f"SELECT vec_id, r, c, p, CASE WHEN r < {h} THEN 'HL' WHEN c < {w} THEN 'LH' ELSE 'HH' END || '{level + 1}' AS band FROM t{level} WHERE r >= {h} OR c >= {w}")
+    return out + f"t AS ({' UNION ALL '.join([*kept, 'SELECT vec_id, r, c, p, ' + repr('LL3') + ' FROM l3'])}) "
+
+
+@query(_pyramid_sql(True) + "SELECT vec_id, r * 5 + c AS i, p, band FROM t")
+def wavelet_pyramid(spark, sf_dir):
+    """Three levels of the 5/3 transform of frames with odd sides, with the sub-band of each coefficient."""
+    own = odd_frames(spark, sf_dir).select("vec_id", F.posexplode(wavelets.pyramid(F.col("px"), 7, 5, 3)).alias("i", "p"))
+    return own.withColumn("band", wavelets.band_of(F.col("i"), 7, 5, 3))
+
+
+@query(_pyramid_sql(False) + """SELECT vec_id, r * 5 + c AS i, p, CAST(sign(p) * floor(abs(p) / (CASE band WHEN 'LL3' THEN 1.0e0 ELSE pow(0.5e0, CAST(band[3] AS INT) * CASE WHEN band[1:2] = 'HH' THEN 2 ELSE 1 END) END)) AS INT) AS q FROM t""")
+def wavelet_pyramid_97(spark, sf_dir):
+    """Three levels of the 9/7 transform of frames with odd sides, and the coefficients in the steps of their sub-bands."""
+    own = odd_frames(spark, sf_dir).select("vec_id", wavelets.pyramid(F.col("px"), 7, 5, 3, reversible=False).alias("p"))
+    own = own.withColumn("q", wavelets.quantized(F.col("p"), 7, 5, 3, 12, unit=4096.0))
+    return own.select("vec_id", F.posexplode(F.arrays_zip("p", "q")).alias("i", "v")).select("vec_id", "i", "v.p", "v.q")
+
+
+@query(_FRAMES + "SELECT vec_id, CAST(i AS INT) AS i, p[CAST(i // 5 * 8 + i % 5 AS INT) + 1] AS p, p[CAST(i // 5 * 8 + i % 5 AS INT) + 1] AS p97 FROM f, LATERAL (SELECT unnest(range(0, 35)) AS i)")
+def wavelet_pyramid_inverse(spark, sf_dir):
+    """The samples again from the coefficients of both transforms; those of the 9/7 one rounded."""
+    own = odd_frames(spark, sf_dir).select("vec_id", *[wavelets.pyramid_inverse(wavelets.pyramid(F.col("px"), 7, 5, 3, k), 7, 5, 3, k).alias(n) for n, k in (("p", True), ("p97", False))])
+    return own.select("vec_id", F.posexplode(F.arrays_zip("p", F.transform("p97", lambda v: F.round(v).cast("int")).alias("p97"))).alias("i", "v")).select("vec_id", "i", "v.p", "v.p97")
