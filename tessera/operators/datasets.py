@@ -93,6 +93,30 @@ def with_value(elements: DataFrame, path: str, vr: str, *, s: Column | None = No
     return removed(elements, own).select("file", *_COLUMNS).unionByName(rows)
 
 
+def with_items(elements: DataFrame, path: str, items: DataFrame) -> DataFrame:
+    """The rows with a sequence put in, or in the place of the one at `path`, in every data set, with the items that `items` gives to it.
+
+    `items` holds element rows with `item`, a number that orders a sequence's items (gaps are closed, the first is 0); their paths and depths are
+    those inside the item. A row with a null path stands for an item that is there without elements. Data sets that `items` does not name get an
+    empty sequence; items of unknown data sets, and of null numbers, have no place and are left out. Rows that agree in file, item and path come twice.
+    """
+    own = _known(path)
+    if not re.fullmatch(PATH[1:-1], own):
+        raise ValueError(f"{path!r} is an item, not a sequence")
+    out = with_value(elements, own, "SQ")
+    inside = own.count("/") // 2 + 1
+    places = out.where(F.col("path") == own).select("file").distinct()
+    numbered = items.where(F.col("item").isNotNull()).select("file", "item").distinct()
+    numbered = numbered.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("item")) - 1).join(places, "file", "left_semi")
+    at = F.concat(F.lit(own + "/"), F.col("k").cast("string"))
+    null = lambda kind: F.lit(None).cast(kind)
+    heads = numbered.select("file", at.alias("path"), F.lit(inside).alias("depth"), F.lit(_ITEM).cast("long").alias("tag"), F.lit("").alias("vr"), null("array<string>").alias("s"),
+                            null("array<decimal(20,0)>").alias("i"), null("array<double>").alias("f"), null("binary").alias("b"), null("string").alias("error"))
+    held = items.where("path IS NOT NULL").join(numbered, ["file", "item"])
+    held = held.select("file", F.concat(at, F.lit("/"), F.col("path")).alias("path"), (F.col("depth") + inside).cast("int").alias("depth"), "tag", "vr", "s", F.col("i").cast("array<decimal(20,0)>").alias("i"), "f", "b", "error")
+    return out.unionByName(heads).unionByName(held)
+
+
 def merged(elements: DataFrame, others: DataFrame) -> DataFrame:
     """The rows of both; where both have a path of a data set, that of `others` stays, with all below it."""
     top = others.select("file", F.substring("path", 1, 8).alias("__top")).distinct()

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.functions import charset, codec_math, pdu, pixels, png, rle, tags, values, wavelets
-from tessera.operators import codecs, datasets, dictionary, frames, images, intervals, jpeg_ls, negotiation, query_retrieve, sketches
+from tessera.operators import codecs, datasets, dictionary, element_values, frames, images, intervals, jpeg_ls, negotiation, query_retrieve, sketches
 from tessera.operators.query_retrieve import Hierarchy
 from tessera.plans import dims
 from tessera.sources import dicom_json, dicom_source, files, json_elements, part10
@@ -1395,3 +1395,69 @@ def wavelet_pyramid_inverse(spark, sf_dir):
     """The samples again from the coefficients of both transforms; those of the 9/7 one rounded."""
     own = odd_frames(spark, sf_dir).select("vec_id", *[wavelets.pyramid_inverse(wavelets.pyramid(F.col("px"), 7, 5, 3, k), 7, 5, 3, k).alias(n) for n, k in (("p", True), ("p97", False))])
     return own.select("vec_id", F.posexplode(F.arrays_zip("p", F.transform("p97", lambda v: F.round(v).cast("int")).alias("p97"))).alias("i", "v")).select("vec_id", "i", "v.p", "v.p97")
+
+
+# ---- values of elements by type, and sequences with items ----
+
+
+def typed_elements(spark, sf_dir) -> DataFrame:
+    """Elements of many VRs for each customer, written to files and parsed again."""
+    own = table(spark, sf_dir, "customer")
+    key, none = F.col("c_custkey"), F.lit(None)
+
+    def row(tag: int, vr: str, s=none, i=none, f=none, b=none):
+        kinds = {"s": (s, "array<string>"), "i": (i, "array<decimal(20,0)>"), "f": (f, "array<double>"), "b": (b, "binary")}
+        return F.struct(F.lit(f"{tag:08X}").alias("path"), F.lit(0).alias("depth"), F.lit(tag).cast("long").alias("tag"), F.lit(vr).alias("vr"), *[v.cast(t).alias(n) for n, (v, t) in kinds.items()])
+
+    rows = F.array(
+        row(0x00080008, "CS", s=F.array(F.lit("ORIGINAL"), F.col("c_mktsegment"))), row(0x00080018, "UI", s=F.array(F.concat(F.lit("1.2.3."), key.cast("string")))),
+        row(0x00080060, "CS"), row(0x00100010, "PN", s=F.array(F.concat_ws("=", "c_name", "c_mktsegment"))), row(0x00181041, "DS", s=F.array(F.col("c_acctbal").cast("string"), F.lit("1"))),
+        row(0x00186020, "SL", i=F.array(-key * 70000, key)), row(0x00189073, "FD", f=F.array(F.col("c_acctbal") / 7)), row(0x00200013, "IS", s=F.array(key.cast("string"))),
+        row(0x00280010, "US", i=F.array(F.col("c_nationkey"), F.lit(9))), row(0x00281199, "UL", i=F.array(F.lit(4294967295) - key)), row(0x00420011, "OB", b=F.encode("c_mktsegment", "UTF-8")),
+    )
+    flat = own.select(key.cast("string").alias("file"), F.explode(rows).alias("e")).select("file", "e.*", F.lit(None).cast("string").alias("error"))
+    return part10.parse_elements(part10.write_content(flat), "file", "content").where("depth = 0 AND tag >= 524296")
+
+
+_TYPED = """WITH e AS (SELECT CAST(c_custkey AS VARCHAR) AS file, unnest([
+  {'path': '00080008', 'vr': 'CS', 'string': 'ORIGINAL', 'strings': 'ORIGINAL|' || c_mktsegment, 'u16': NULL, 'u32': NULL, 'i32': NULL, 'f64': NULL, 'bytes': NULL},
+  {'path': '00080018', 'vr': 'UI', 'string': '1.2.3.' || c_custkey, 'strings': '1.2.3.' || c_custkey, 'u16': NULL, 'u32': NULL, 'i32': NULL, 'f64': NULL, 'bytes': NULL},
+  {'path': '00080060', 'vr': 'CS', 'string': NULL, 'strings': NULL, 'u16': NULL, 'u32': NULL, 'i32': NULL, 'f64': NULL, 'bytes': NULL},
+  {'path': '00100010', 'vr': 'PN', 'string': c_name, 'strings': c_name || '=' || c_mktsegment, 'u16': NULL, 'u32': NULL, 'i32': NULL, 'f64': NULL, 'bytes': NULL},
+  {'path': '00181041', 'vr': 'DS', 'string': CAST(c_acctbal AS VARCHAR), 'strings': c_acctbal || '|1', 'u16': NULL, 'u32': NULL, 'i32': NULL, 'f64': c_acctbal, 'bytes': NULL},
+  {'path': '00186020', 'vr': 'SL', 'string': NULL, 'strings': NULL, 'u16': NULL, 'u32': NULL, 'i32': CAST(-c_custkey * 70000 AS INT), 'f64': NULL, 'bytes': NULL},
+  {'path': '00189073', 'vr': 'FD', 'string': NULL, 'strings': NULL, 'u16': NULL, 'u32': NULL, 'i32': NULL, 'f64': c_acctbal / 7, 'bytes': NULL},
+  {'path': '00200013', 'vr': 'IS', 'string': CAST(c_custkey AS VARCHAR), 'strings': CAST(c_custkey AS VARCHAR), 'u16': NULL, 'u32': NULL, 'i32': NULL, 'f64': NULL, 'bytes': NULL},
+  {'path': '00280010', 'vr': 'US', 'string': NULL, 'strings': NULL, 'u16': c_nationkey, 'u32': NULL, 'i32': NULL, 'f64': NULL, 'bytes': NULL},
+  {'path': '00281199', 'vr': 'UL', 'string': NULL, 'strings': NULL, 'u16': NULL, 'u32': CAST(4294967295 - c_custkey AS BIGINT), 'i32': NULL, 'f64': NULL, 'bytes': NULL},
+  {'path': '00420011', 'vr': 'OB', 'string': NULL, 'strings': NULL, 'u16': NULL, 'u32': NULL, 'i32': NULL, 'f64': NULL, 'bytes': hex(encode(c_mktsegment)) || CASE WHEN length(c_mktsegment) % 2 = 1 THEN '00' ELSE '' END}]) AS e FROM customer) """
+
+
+@query(_TYPED + "SELECT file, e.path, e.vr, e.string, e.strings, e.u16, e.u32, e.i32, e.f64, e.bytes FROM e")
+def element_getters(spark, sf_dir):
+    """Every getter on every element: null where the element holds another kind."""
+    own = element_values.typed(typed_elements(spark, sf_dir))
+    return own.select("file", "path", "vr", "string", F.array_join("strings", "|").alias("strings"), "u16", "u32", "i32", "f64", F.hex("bytes").alias("bytes"))
+
+
+@query(_TYPED + """SELECT file, e.path, e.vr, CASE e.vr WHEN 'CS' THEN 'Code String' WHEN 'UI' THEN 'Unique Identifier' WHEN 'PN' THEN 'Person Name' WHEN 'DS' THEN 'Decimal String' WHEN 'SL' THEN 'Signed Long' WHEN 'FD' THEN 'Floating Point Double'
+  WHEN 'IS' THEN 'Integer String' WHEN 'US' THEN 'Unsigned Short' WHEN 'UL' THEN 'Unsigned Long' ELSE 'Other Byte' END AS name, e.vr IN ('CS', 'UI', 'PN', 'DS', 'IS') AS is_text, e.vr = 'OB' AS long_length,
+  CASE WHEN e.vr IN ('CS', 'PN', 'DS', 'IS') THEN 32 ELSE 0 END AS padding, CASE e.vr WHEN 'FD' THEN 8 WHEN 'SL' THEN 4 WHEN 'UL' THEN 4 WHEN 'US' THEN 2 END AS fixed_size FROM e""")
+def vr_traits(spark, sf_dir):
+    """Name, kind, length field, padding and size of the VR of each element."""
+    return element_values.with_vr_traits(typed_elements(spark, sf_dir)).select("file", "path", "vr", "name", "is_text", "long_length", "padding", "fixed_size")
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS file, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS item, '1.2.' || o_orderkey AS uid, upper(o_orderstatus) AS status
+FROM orders JOIN customer ON c_custkey = o_custkey""")
+def sequence_items(spark, sf_dir):
+    """The orders of each customer as the items of a sequence, written into files, parsed and read as data sets again."""
+    files = patient_elements(spark, sf_dir).where("depth = 0")
+    uid = F.struct(F.lit("00081155").alias("path"), F.lit(0x00081155).cast("long").alias("tag"), F.lit("UI").alias("vr"), F.array(F.concat(F.lit("1.2."), F.col("o_orderkey").cast("string"))).alias("s"))
+    code = F.struct(F.lit("00080060").alias("path"), F.lit(0x00080060).cast("long").alias("tag"), F.lit("CS").alias("vr"), F.array(F.upper("o_orderstatus")).alias("s"))
+    items = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("file"), F.col("o_orderkey").alias("item"), F.explode(F.array(uid, code)).alias("e"))
+    items = items.select("file", "item", "e.path", F.lit(0).alias("depth"), "e.tag", "e.vr", "e.s", *[F.lit(None).cast(t).alias(n) for n, t in (("i", "array<decimal(20,0)>"), ("f", "array<double>"), ("b", "binary"), ("error", "string"))])
+    written = part10.write_content(datasets.with_items(files, "00081115", items))
+    back = element_values.items_of(part10.parse_elements(written, "file", "content"), "00081115")
+    value = lambda tag: F.max(F.when(F.col("tag") == tag, element_values.as_string()))
+    return back.groupBy("file", "item").agg(value(0x00081155).alias("uid"), value(0x00080060).alias("status"))
