@@ -1,7 +1,7 @@
 """License scans by diagonal voting. DataFrame functions only.
 
-Every rolling run of three words of a document is hashed and joined with the runs of the license templates (a small fixed
-table, broadcast). A hit votes for its diagonal, the document position less the template position. Votes
+Every rolling run of three words of a document that begins with a word of a template, as all others can't meet one, is hashed and
+joined with the runs of the license templates (a small fixed table, broadcast). A hit votes for its diagonal, the document position less the template position. Votes
 are added up by diagonal, neighbouring diagonals are merged (a word put in or left out moves the votes by one), and the
 span of the merged diagonal is verified by how much of the template it covers. The join compares the words
 themselves besides the hash, so a hit is never a collision.
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 GRAM = 3
 
-#: Lower-cased words of [^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]; upper-case letters are words too before they are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words; upper-case letters are words too before they are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
@@ -60,6 +60,11 @@ def lowered(text: Column) -> Column:
     return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u2126")))
 
 
+def listed_words(text: Column) -> Column:
+    """All words of a text, in order."""
+    return F.array_remove(F.split(lowered(text), BETWEEN), "")
+
+
 def template_grams(spark: SparkSession, templates: list[Template]) -> DataFrame:
     """One row for each run of GRAM words of each template: a table that is as small as the list of templates."""
     rows = []
@@ -79,12 +84,12 @@ def license_spans(docs: DataFrame, templates: list[Template], *, key: list[str],
     `cover` on diagonals that are at most `drift` apart from one to the next. Equal rows of `docs` are one document.
     """
     text = F.col(f"`{text_col}`")
-    w = F.regexp_extract_all(lowered(text), F.lit(WORD), 0)
-    listed = docs.where(text.isNotNull()).select(*key, w.alias("__w"))
-    rolled = listed.where(F.size("__w") >= GRAM).select(
-        *key, F.posexplode(F.arrays_zip(F.col("__w").alias("w0"), F.slice("__w", 2, F.greatest(F.size("__w") - 1, F.lit(1))).alias("w1"), F.slice("__w", 3, F.greatest(F.size("__w") - 2, F.lit(1))).alias("w2"))).alias("pos", "w")
-    )
-    hashed = rolled.select(*key, "pos", F.col("w.w0").alias("w0"), F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2")).withColumn("gram", F.xxhash64("w0", "w1", "w2"))
+    listed = docs.where(text.isNotNull()).select(*key, listed_words(text).alias("__w"))
+    at = lambda i: F.get("__w", i)
+    first = sorted({w for t in templates for w in t.text.split()[: 1 - GRAM]})
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("__w") - GRAM, F.lit(0))), lambda i: at(i).isin(first) & at(i + 2).isNotNull())
+    rolled = listed.select(*key, F.explode(F.transform(places, lambda i: F.struct(i.alias("pos"), at(i).alias("w0"), at(i + 1).alias("w1"), at(i + 2).alias("w2")))).alias("w"))
+    hashed = rolled.select(*key, "w.*").withColumn("gram", F.xxhash64("w0", "w1", "w2"))
     grams = F.broadcast(template_grams(docs.sparkSession, templates))
     same = (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2"))
     hits = hashed.join(grams, "gram").where(same).select(*key, "template", "label", "exact", "grams", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal"))
@@ -118,7 +123,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("score").alias("score"),
         F.array_sort(F.collect_set(F.struct("start", "end", "label", "score"))).alias("spans"),
     )
-    counted = keyed.select("doc_id", "h", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")).alias("d")
+    counted = keyed.select("doc_id", "h", F.coalesce(F.size(listed_words(F.col("text"))), F.lit(0)).cast("long").alias("n_words")).alias("d")
     out = counted.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.h") == F.col("f.h")), "left")
     return out.select(
         "d.doc_id", "d.n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
