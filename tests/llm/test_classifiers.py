@@ -62,6 +62,39 @@ def test_scores_are_explicit_sums_over_pairs(rows, seed):
     assert model.scores([np.array(r, dtype=np.int64) for r in rows]) == pytest.approx(want)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_splits_are_the_best_of_all(seed):
+    """Every node of a tree of two levels takes, of all features and cuts between its bins, the one with the largest gain."""
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(160, 4)), 1 if seed % 2 else 6)
+    x[:, 3] = 2.0  # nothing to cut
+    y = ((x[:, 0] + 0.5 * x[:, 1] ** 2 + rng.normal(scale=0.4, size=160)) > 0.4).astype(float)
+    model = BoostedTrees.fit(x, y, trees=1, depth=2, rate=0.3, bins=16, l2=1.0, least=2.0)
+    q = y.mean()
+    g, h = q - y, np.full(len(y), q * (1 - q))
+    value = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1.0)
+
+    def gains(inside):
+        for j in range(4):
+            for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 17)[1:-1])):
+                left, right = inside & (x[:, j] <= cut), inside & (x[:, j] > cut)
+                if h[left].sum() >= 2 and h[right].sum() >= 2:
+                    yield value(left) + value(right) - value(inside), j, cut
+
+    nodes, at = [np.ones(len(y), bool)], np.zeros(len(y), int)
+    for k in range(3):
+        inside, j, cut = nodes[k], model.feature[0, k], model.threshold[0, k]
+        left = inside & (x[:, j] <= cut)
+        best = max((v for v, _, _ in gains(inside)), default=0)
+        assert (value(left) + value(inside & ~left) - value(inside) if np.isfinite(cut) else 0) == pytest.approx(max(best, 0), abs=1e-6)
+        nodes += [left, inside & ~left]
+    for k, inside in enumerate(nodes[3:]):
+        at[inside] = k
+        assert model.leaf[0, k] == pytest.approx(-0.3 * g[inside].sum() / (h[inside].sum() + 1.0))
+    z = model.base + model.leaf[0][at]
+    assert model.scores(x) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_trees_walk_as_one_row_at_a_time():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 5))
