@@ -4,7 +4,7 @@ from datetime import date
 
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import functions as F
 
 from tessera.functions import charset, codec_math, matching, pixels, rle, values
 
@@ -44,15 +44,13 @@ def plain_match(key, value):
 
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.text(alphabet="aB?*%_\\.", min_size=1, max_size=7), st.text(alphabet="aB%_\\.", max_size=7)), min_size=5, max_size=25))
-def test_wildcards_against_a_plain_matcher(cases):
-    spark = SparkSession.getActiveSession()
+def test_wildcards_against_a_plain_matcher(spark, cases):
     assert results(spark, matching.wildcard, [(k, v, None) for k, v in cases]) == [plain_match(k, v) for k, v in cases]
 
 
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.tuples(st.dates(date(1900, 1, 1), date(2099, 12, 31)), st.dates(date(1900, 1, 1), date(2099, 12, 31)), st.dates(date(1900, 1, 1), date(2099, 12, 31)), st.sampled_from(["{a}-{b}", "-{b}", "{a}-", "{a}"])), min_size=5, max_size=25))
-def test_date_ranges_against_dates(cases):
-    spark = SparkSession.getActiveSession()
+def test_date_ranges_against_dates(spark, cases):
     da = lambda d: d.strftime("%Y%m%d")
     keyed = [(form.format(a=da(a), b=da(b)), da(d), {"{a}-{b}": a <= d <= b, "-{b}": d <= b, "{a}-": a <= d, "{a}": a == d}[form]) for a, b, d, form in cases]
     assert results(spark, matching.date_range, keyed) == [w for _, _, w in keyed]

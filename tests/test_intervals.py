@@ -74,10 +74,7 @@ def test_the_dictionary_takes_any_number_of_ranges(spark):
 
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.tuples(st.integers(-50, 50), st.integers(-5, 60)), max_size=12))
-def test_first_range_of_any_ranges(ends):
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
+def test_first_range_of_any_ranges(spark, ends):
     ranges = [(k, str(k), a, a + n) for k, (a, n) in enumerate(ends)]
     values = list(range(-60, 120, 3))
     assert looked(spark, values, ranges) == brute(values, ranges)
