@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,9 +14,11 @@ from tessera.plans.dims import STATUS
 
 
 def message_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream; `glob` picks files by name."""
-    reader = spark.readStream.schema(schema)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(folder)
+    """Parquet files of a folder as a stream; `glob` picks files by name, or folders with all files in them, as Spark's writers make of a table."""
+    if not glob:
+        return spark.readStream.schema(schema).parquet(folder)
+    # in braces a plain name is a pattern too: Spark takes a path without one for a folder
+    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/{{{glob}}}")
 
 
 def answered(messages: DataFrame, providers: DataFrame, service: str) -> DataFrame:
@@ -37,10 +40,15 @@ def stored_once(stream: DataFrame, out: str, state: str, transform: Callable[[Da
 
 
 def run_available(stream: DataFrame, folder: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """`stored_once` to a folder of its own, read back."""
+    """`stored_once` to a folder of its own, read back; a stream without files gives no rows."""
     out = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
     stored_once(stream, out, f"{out}-state", transform)
-    return stream.sparkSession.read.parquet(out).drop("batch")
+    try:
+        return stream.sparkSession.read.parquet(out).drop("batch")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return stream.sparkSession.createDataFrame([], transform(stream).schema)
 
 
 def windowed_counts(messages: DataFrame, ts: str, service: str, late: str = "1 day", width: str = "6 hours") -> DataFrame:
