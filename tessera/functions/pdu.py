@@ -56,30 +56,42 @@ def p_data(pdvs: Column) -> Column:
 
 
 def _walk(data: Column, header: int, length, make, kind_of: str) -> Column:
-    """Values one after the other; ends at what doesn't fit. The number of steps is bounded by the length of the data."""
-    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.length(data) / header).cast("int")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind_of).alias("out"))
+    """Values one after the other; ends at what doesn't fit. `length` (of the data and a place) and `make` (of the data, a place and a length) say how long
+    a value is and what it is.
 
-    def step(state: Column, _: Column) -> Column:
-        at = state["at"]
-        n = length(at)
-        fits = (at + header <= F.length(data)) & (at + header + n <= F.length(data)) & (n >= 0)
-        moved = F.struct((at + header + n).alias("at"), F.concat(state["out"], F.array(make(at, n)).cast(kind_of)).alias("out"))
-        return F.when(F.coalesce(fits, F.lit(False)), moved).otherwise(state)
+    The number of steps is bounded by the length of the data. They are taken in runs of its square root, and no run begins behind the end, so few
+    long values don't cost the steps of many short ones. The data are bound once: an expression would be computed anew in each step."""
 
-    return F.aggregate(steps, start, step, lambda s: s["out"])
+    def of(d: Column) -> Column:
+        most = F.greatest(F.lit(0), F.floor(F.length(d) / header).cast("int"))
+        run = F.ceil(F.sqrt(most + 1)).cast("int")
+        fits = lambda at: F.coalesce((at + header <= F.length(d)) & (length(d, at) >= 0) & (at + header + length(d, at) <= F.length(d)), F.lit(False))
+
+        def step(state: Column, _: Column) -> Column:
+            at = state["at"]
+            n = length(d, at)
+            moved = F.struct((at + header + n).alias("at"), F.concat(state["out"], F.array(make(d, at, n)).cast(kind_of)).alias("out"))
+            return F.when(fits(at), moved).otherwise(state)
+
+        def steps(state: Column, _: Column) -> Column:
+            return F.when(fits(state["at"]), F.aggregate(F.sequence(F.lit(1), run), state, step)).otherwise(state)
+
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind_of).alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), run), start, steps, lambda s: s["out"])
+
+    return F.get(F.transform(F.array(data), of), F.lit(0))
 
 
 def pdvs(p_data_body: Column) -> Column:
     """The (context, control, data) of a P-DATA-TF body."""
-    part = lambda at, n: F.substring(p_data_body, (at + 1).cast("int"), n.cast("int"))
-    return _walk(p_data_body, 6, lambda at: number(p_data_body, at, 4) - 2, lambda at, n: F.struct(number(p_data_body, at + 4, 1).cast("int").alias("context"), number(p_data_body, at + 5, 1).cast("int").alias("control"), part(at + 6, n).alias("data")), PDVS)
+    part = lambda d, at, n: F.substring(d, (at + 1).cast("int"), n.cast("int"))
+    return _walk(p_data_body, 6, lambda d, at: number(d, at, 4) - 2, lambda d, at, n: F.struct(number(d, at + 4, 1).cast("int").alias("context"), number(d, at + 5, 1).cast("int").alias("control"), part(d, at + 6, n).alias("data")), PDVS)
 
 
 def items(data: Column) -> Column:
     """The (type, data) of a run of items with two-byte lengths."""
-    part = lambda at, n: F.substring(data, (at + 1).cast("int"), n.cast("int"))
-    return _walk(data, 4, lambda at: number(data, at + 2, 2), lambda at, n: F.struct(number(data, at, 1).cast("int").alias("type"), part(at + 4, n).alias("data")), ITEMS)
+    part = lambda d, at, n: F.substring(d, (at + 1).cast("int"), n.cast("int"))
+    return _walk(data, 4, lambda d, at: number(d, at + 2, 2), lambda d, at, n: F.struct(number(d, at, 1).cast("int").alias("type"), part(d, at + 4, n).alias("data")), ITEMS)
 
 
 def is_last(control: Column) -> Column:
