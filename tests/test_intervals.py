@@ -78,3 +78,16 @@ def test_first_range_of_any_ranges(spark, ends):
     ranges = [(k, str(k), a, a + n) for k, (a, n) in enumerate(ends)]
     values = list(range(-60, 120, 3))
     assert looked(spark, values, ranges) == brute(values, ranges)
+
+
+def test_only_frequent_keys_of_a_large_lookup_are_repeated(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "MOST_BROADCAST", 10)
+    monkeypatch.setattr(intervals, "MOST_OF_KEY", 20)
+    points = spark.range(300).select("id", F.when(F.col("id") < 100, 7).otherwise(F.col("id")).alias("v"))
+    table = spark.range(40).select(F.col("id").alias("o"), (F.col("id") * 5).alias("low"), (F.col("id") * 5 + 2).alias("high"), F.concat(F.lit("r"), "id").alias("name"))
+    out = intervals.first_range_of(points, "v", table, "low", "high", "o")
+    want = {k: (lambda v: f"r{v // 5}" if v < 200 and v % 5 < 3 else None)(7 if k < 100 else k) for k in range(300)}
+    assert out.count() == 300 and {r.id: r.name for r in out.collect()} == want
+    counts = spark.createDataFrame([(k, f"n{k}", 100 if k == 7 else 1) for k in range(30)], "v long, t string, n long")
+    plan = intervals.looked_up(points.withColumn("v", F.col("v").cast("long")), counts, "v", "n")
+    assert plan.count() == 300 and {r.t for r in plan.where("id < 100").collect()} == {"n7"}
