@@ -8,11 +8,16 @@
   the log under the batch's number, which is the offset. A batch that is run again reads the files its log entry names, so every file comes once.
 - Writing: rows of (name, content). A task writes its files below `_temporary`, and Spark's commit moves each task's folder into place by one rename,
   so the driver's work and messages grow with tasks, not with files. A failed job leaves nothing but what it found.
+
+A task's folder (part-<id>) holds folders of at most `CHUNK` files, numbered from 0. Nothing is added to them once they are committed, so the driver
+lists, logs and deals them whole (a path that ends with /), and tasks list what is in them. Files elsewhere are listed one by one; so are all where
+filters choose files, or maxFilesPerTrigger or filesPerPartition counts them.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Iterator
@@ -27,6 +32,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from tessera.sources import part10
 
 STAGING, DONE = "_temporary", "_SUCCESS"
+#: Files in a folder that is listed, logged and dealt whole.
+CHUNK = 1024
 
 
 def register(spark: SparkSession) -> None:
@@ -41,23 +48,61 @@ def listed(folder: str) -> list[str]:
     return sorted(i.path for i in found if i.is_file and i.path.endswith(".dcm") and f"/{STAGING}/" not in i.path)
 
 
+def units(folder: str) -> list[str]:
+    """What `listed` gives, in order, with each chunk of the writer's as the path of its folder and a /: as many entries as there are chunks and other files."""
+    system, root = fs.FileSystem.from_uri(folder)
+    out, open_ = [], [root]
+    while open_:
+        at = open_.pop()
+        committed = re.search(r"/part-[0-9a-f]{32}$", at)
+        for i in system.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+            if i.type != fs.FileType.Directory:
+                out += [i.path] if i.is_file and i.path.endswith(".dcm") else []
+            elif committed and i.base_name.isdecimal():
+                out.append(f"{i.path}/")
+            elif i.base_name != STAGING:
+                open_.append(i.path)
+    return sorted(out)
+
+
+def files_in(system: fs.FileSystem, paths: list[str]) -> Iterator[str]:
+    """Paths of files, chunks being listed one at a time."""
+    for path in paths:
+        if path.endswith("/"):
+            yield from sorted(i.path for i in system.get_file_info(fs.FileSelector(path[:-1])) if i.is_file and i.path.endswith(".dcm"))
+        else:
+            yield path
+
+
 @dataclass
 class FilePart(InputPartition):
     paths: list[str]
 
 
 def parts(paths: list[str], size: int) -> list[FilePart]:
-    return [FilePart(paths[k : k + size]) for k in range(0, len(paths), size)] or [FilePart([])]
+    """Partitions of `size` files; where it is 0 of as many as give 256 partitions, but from 64 to 4096: a task costs as much as hundreds of small
+    files. A chunk counts as full."""
+    weights = [CHUNK if p.endswith("/") else 1 for p in paths]
+    size = size or min(max(sum(weights) // 256, 64), 4096)
+    out, held = [FilePart([])], 0
+    for path, weight in zip(paths, weights, strict=True):
+        if held and held + weight > size:
+            out.append(FilePart([]))
+            held = 0
+        out[-1].paths.append(path)
+        held += weight
+    return out
 
 
 def read_files(folder: str, paths: list[str], tags: frozenset[int] | None) -> Iterator[pa.RecordBatch]:
-    """Element rows of the files, of one file at a time."""
+    """Element rows of the files, read one at a time; a batch has those of many files."""
     system, _ = fs.FileSystem.from_uri(folder)
-    run = part10._parsed(tags)
-    for path in paths:
+
+    def content(path: str) -> bytes:
         with system.open_input_stream(path) as file:
-            batch = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([file.read()], pa.binary())], names=["file", "content"])
-        yield from run([batch])
+            return file.read()
+
+    return part10.parse_files(tags)((path, content(path)) for path in files_in(system, paths))
 
 
 def told_tags(options: dict) -> frozenset[int] | None:
@@ -66,7 +111,7 @@ def told_tags(options: dict) -> frozenset[int] | None:
 
 class DicomReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder, self.size, self.tags = options["path"], int(options.get("filesPerPartition", "64")), told_tags(options)
+        self.folder, self.size, self.tags = options["path"], int(options.get("filesPerPartition", "0")), told_tags(options)
         self.files: frozenset[str] | None = None
         self.only: frozenset[int] | None = None
         self.prefixes: list[str] = []
@@ -87,8 +132,9 @@ class DicomReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        paths = [p for p in listed(self.folder) if (self.files is None or p in self.files) and all(p.startswith(x) for x in self.prefixes)]
-        return parts(paths, self.size)
+        if self.size or self.files is not None or self.prefixes:
+            return parts([p for p in listed(self.folder) if (self.files is None or p in self.files) and all(p.startswith(x) for x in self.prefixes)], self.size)
+        return parts(units(self.folder), 0)
 
     def read(self, partition: FilePart):
         if self.only is None:
@@ -100,13 +146,13 @@ class DicomReader(DataSourceReader):
 
 
 class DicomStreamReader(DataSourceStreamReader):
-    """Offsets are numbers of planned batches; entry n of the log, one small file, names the files of batch n."""
+    """Offsets are numbers of planned batches; entry n of the log, one small file, names the files and chunks of batch n."""
 
     def __init__(self, options: dict):
         if not options.get("log"):
             raise ValueError("a stream of dicom files needs the option log: a folder that outlives the query and that nothing else uses")
         self.folder, self.log, self.tags = options["path"], options["log"], told_tags(options)
-        self.size, self.most = int(options.get("filesPerPartition", "64")), int(options.get("maxFilesPerTrigger", "0"))
+        self.size, self.most = int(options.get("filesPerPartition", "0")), int(options.get("maxFilesPerTrigger", "0"))
         self.seen: set[str] | None = None
         self.planned = 0
 
@@ -128,7 +174,7 @@ class DicomStreamReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         if self.seen is None:
             self._load()
-        new = [p for p in listed(self.folder) if p not in self.seen]
+        new = self._new()
         new = new[: self.most] if self.most else new
         if new:
             system, root = fs.FileSystem.from_uri(self.log)
@@ -140,6 +186,16 @@ class DicomStreamReader(DataSourceStreamReader):
             self.seen.update(new)
         return {"batch": self.planned}
 
+    def _new(self) -> list[str]:
+        """Files, and chunks where files aren't counted, that no batch has. An earlier run may have counted: of a chunk it has files of, the others are new."""
+        chunk = lambda path: path.rpartition("/")[0] + "/"
+        if self.most or self.size:
+            return [p for p in listed(self.folder) if p not in self.seen and chunk(p) not in self.seen]
+        system, _ = fs.FileSystem.from_uri(self.folder)
+        begun = {chunk(p) for p in self.seen if not p.endswith("/")}
+        own = (q for p in units(self.folder) if p not in self.seen for q in (files_in(system, [p]) if p in begun else [p]))
+        return [p for p in own if p not in self.seen]
+
     def partitions(self, start: dict, end: dict):
         return parts([p for n in range(start["batch"] + 1, end["batch"] + 1) for p in self._entry(n)], self.size)
 
@@ -169,8 +225,11 @@ class DicomWriter(DataSourceArrowWriter):
                     raise ValueError(f"no name for a file of its own: {name!r}")
                 if not names:
                     system.create_dir(target, recursive=False)  # fails where the job was aborted: a task that still runs then leaves nothing
+                chunk = f"{target}/{len(names) // CHUNK}"
+                if len(names) % CHUNK == 0:
+                    system.create_dir(chunk, recursive=False)
                 names.add(name)
-                with system.open_output_stream(f"{target}/{name}") as out:
+                with system.open_output_stream(f"{chunk}/{name}") as out:
                     out.write(content.as_buffer() if content.is_valid else b"")
         return Written(own if names else None)
 
